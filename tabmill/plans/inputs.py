@@ -46,7 +46,7 @@ def study(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders")
     per_cust = o.groupBy(F.col("o_custkey").alias("id")).agg(
         F.count(F.lit(1)).alias("n_orders"),
-        F.round(F.avg("o_totalprice"), 2).alias("avg_price"),
+        F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("__cents"),
         F.max("o_totalprice").alias("max_price"),
         F.round(F.avg((F.col("o_orderstatus") == "F").cast("double")), 4).alias("share_f"),
         F.avg(urgent().cast("double")).alias("__u"))
@@ -56,8 +56,10 @@ def study(spark: SparkSession, sf: str) -> DataFrame:
     n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("nation"),
                                           F.col("n_regionkey").alias("region"))
     df = c.join(per_cust, "id", "inner").join(n, "nation", "inner")
+    # mean price in whole cents (integer division), exact in any engine
+    avg_price = (F.expr("__cents div n_orders") / 100.0).alias("avg_price")
     return df.select(
-        "id", "acctbal", "n_orders", "avg_price", "max_price", "share_f", "seg", "nation", "region",
+        "id", "acctbal", "n_orders", avg_price, "max_price", "share_f", "seg", "nation", "region",
         (F.col("acctbal") > 5000).cast("int").alias("big"),
         (F.col("__u") > 0.4).cast("int").alias("label"))
 
@@ -68,7 +70,8 @@ study AS (
          {_SEG_SQL} AS seg, c.c_nationkey AS nation, n.n_regionkey AS region,
          CAST(c.c_acctbal > 5000 AS INTEGER) AS big, CAST(p.u > 0.4 AS INTEGER) AS label
   FROM customer c
-  JOIN (SELECT o_custkey, count(*) AS n_orders, round(avg(o_totalprice), 2) AS avg_price,
+  JOIN (SELECT o_custkey, count(*) AS n_orders,
+               (sum(CAST(round(o_totalprice * 100) AS BIGINT)) // count(*)) / 100.0::DOUBLE AS avg_price,
                max(o_totalprice) AS max_price,
                round(avg(CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS share_f,
                avg(CASE WHEN o_orderpriority IN {_URGENT_SQL} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS u
