@@ -121,8 +121,8 @@ def combinations(items: DataFrame, name: str, sizes: Sequence[int], max_items: i
     m = idx.select(F.count(F.lit(1))).scalar()
     guarded_m = F.when(m > max_items, F.raise_error(F.lit("too many items for subsets"))).otherwise(m)
     masks = idx.withColumn("mask", F.explode(F.sequence(F.lit(1).cast("long"),
-                                                        F.shiftleft(F.lit(1).cast("long"), guarded_m) - 1)))
-    members = masks.where(F.shiftright("mask", "idx").bitwiseAND(1) == 1)
+                                                        F.pow(F.lit(2), guarded_m).cast("long") - 1)))
+    members = masks.where(F.expr("(mask >> idx) & 1") == 1)
     members = members.withColumn("size", F.bit_count("mask"))
     return members.where(F.col("size").isin(list(sizes))).select("mask", "size", name, "idx")
 

@@ -125,9 +125,9 @@ def scores(spark: SparkSession, sf: str) -> DataFrame:
     forms = {
         "logit_1": F.pmod(k * 37 + 11, F.lit(1000)) / 1000.0,
         "logit_2": 0.6 * lab + 0.4 * (F.pmod(k * 17 + 3, F.lit(1000)) / 1000.0),
-        "forest_1": F.pmod(price, F.lit(1000)) / 1000.0,
+        "rfc_1": F.pmod(price, F.lit(1000)) / 1000.0,
         "knn_1": 0.3 * lab + 0.7 * (F.pmod(c * 53 + k, F.lit(997)) / 997.0),
-        "gbt_1": 0.5 * lab + 0.5 * (F.pmod(k * 7 + c, F.lit(1000)) / 1000.0),
+        "gbm_1": 0.5 * lab + 0.5 * (F.pmod(k * 7 + c, F.lit(1000)) / 1000.0),
     }
     arr = F.array(*[F.struct(F.lit(m).alias("model"), f.cast("double").alias("p")) for m, f in forms.items()])
     return o.select(k.alias("id"), lab.alias("label"), F.explode(arr).alias("s")).select(
@@ -140,9 +140,9 @@ olab AS (SELECT o_orderkey AS k, o_custkey AS c, floor(o_totalprice) AS price,
 scores AS (
   SELECT k AS id, 'logit_1' AS model, ((k*37+11) % 1000) / 1000.0::DOUBLE AS p, label FROM olab
   UNION ALL SELECT k, 'logit_2', 0.6::DOUBLE*label + 0.4::DOUBLE*(((k*17+3) % 1000) / 1000.0::DOUBLE), label FROM olab
-  UNION ALL SELECT k, 'forest_1', (price % 1000) / 1000.0::DOUBLE, label FROM olab
+  UNION ALL SELECT k, 'rfc_1', (price % 1000) / 1000.0::DOUBLE, label FROM olab
   UNION ALL SELECT k, 'knn_1', 0.3::DOUBLE*label + 0.7::DOUBLE*(((c*53+k) % 997) / 997.0::DOUBLE), label FROM olab
-  UNION ALL SELECT k, 'gbt_1', 0.5::DOUBLE*label + 0.5::DOUBLE*(((k*7+c) % 1000) / 1000.0::DOUBLE), label FROM olab)"""
+  UNION ALL SELECT k, 'gbm_1', 0.5::DOUBLE*label + 0.5::DOUBLE*(((k*7+c) % 1000) / 1000.0::DOUBLE), label FROM olab)"""
 
 
 def date_parts(spark: SparkSession, sf: str) -> DataFrame:
@@ -164,3 +164,45 @@ date_parts AS (
     CAST(CASE WHEN o_orderkey % 501 = 0 THEN 2 ELSE month(o_orderdate) END AS INTEGER) AS mo,
     CAST(CASE WHEN o_orderkey % 501 = 0 THEN 30 ELSE day(o_orderdate) END AS INTEGER) AS day
   FROM orders)"""
+
+
+def packed_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """(line_no, value) text lines of a token stream: one record of 4 tokens
+    per customer (key, nation, balance in cents, the constant 'name'),
+    records cut across lines of 3 tokens, with irregular blank runs."""
+    from tabmill.operators.ordering import row_index
+    c = table(spark, sf, "customer").select(
+        "c_custkey", "c_nationkey", F.round(F.col("c_acctbal") * 100).cast("long").alias("cents"))
+    r = row_index(c, ["c_custkey"], "r")
+    toks = r.select(F.explode(F.array(
+        F.struct((F.col("r") * 4).alias("pos"), F.col("c_custkey").cast("string").alias("tok")),
+        F.struct((F.col("r") * 4 + 1).alias("pos"), F.col("c_nationkey").cast("string").alias("tok")),
+        F.struct((F.col("r") * 4 + 2).alias("pos"), F.col("cents").cast("string").alias("tok")),
+        F.struct((F.col("r") * 4 + 3).alias("pos"), F.lit("name").alias("tok")))).alias("t")).select("t.*")
+    lines = toks.groupBy((F.col("pos") / 3).cast("long").alias("line_no")).agg(
+        F.array_sort(F.collect_list(F.struct("pos", "tok"))).alias("a"))
+    return lines.select("line_no", F.concat(F.lit("  "), F.array_join(F.transform("a", lambda x: x["tok"]), "   "),
+                                            F.lit(" ")).alias("value"))
+
+
+PACKED_TOKENS_SQL = """
+cr AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS r, c_custkey, c_nationkey,
+              CAST(round(c_acctbal * 100) AS BIGINT) AS cents FROM customer),
+toks AS (SELECT r * 4 AS pos, CAST(c_custkey AS VARCHAR) AS token FROM cr
+         UNION ALL SELECT r * 4 + 1, CAST(c_nationkey AS VARCHAR) FROM cr
+         UNION ALL SELECT r * 4 + 2, CAST(cents AS VARCHAR) FROM cr
+         UNION ALL SELECT r * 4 + 3, 'name' FROM cr)"""
+
+
+def dup_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """(id, seq, v): customer keys where every 50th pair shares one id
+    (id = key - key % 2 when key % 100 < 2)."""
+    c = table(spark, sf, "customer")
+    k = F.col("c_custkey")
+    return c.select(F.when(k % 100 < 2, k - k % 2).otherwise(k).alias("id"), k.alias("seq"),
+                    F.col("c_acctbal").alias("v"))
+
+
+DUP_IDS_SQL = """
+dup_ids AS (SELECT CASE WHEN c_custkey % 100 < 2 THEN c_custkey - c_custkey % 2 ELSE c_custkey END AS id,
+                   c_custkey AS seq, c_acctbal AS v FROM customer)"""
