@@ -33,7 +33,10 @@ def display_name(value, replace: dict[str, str] | None = None,
                    F.concat(F.lit(new), F.substring(c, len(old) + 1, 1 << 20))).otherwise(c)
     if drop_suffix:
         c = F.replace(c, F.lit(drop_suffix), F.lit(""))
-    return F.trim(F.initcap(F.replace(c, F.lit("_"), F.lit(" "))))
+    c = F.replace(c, F.lit("_"), F.lit(" "))
+    # title case that also capitalises after '-' (initcap only splits on blanks)
+    c = F.array_join(F.transform(F.split(c, "-"), lambda w: F.initcap(w)), "-")
+    return F.trim(c)
 
 
 def full_year(yy) -> Column:
