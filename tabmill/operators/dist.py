@@ -108,18 +108,29 @@ def boxcox_apply(x: Column, lam: Column) -> Column:
     return _yl(x.cast("double"), lam)
 
 
-def zscore(df: DataFrame, cols: Sequence[str], train: Column | None = None, suffix: str = "") -> DataFrame:
-    """H7: z-scores with mean and population std fitted on the ``train``
-    rows (all rows if None), applied to every row; a zero std scales by 1.
-    The fitted statistics are scalar subqueries (one aggregate)."""
+def zscore_fit(df: DataFrame, cols: Sequence[str], train: Column | None = None) -> dict[str, tuple[float, float]]:
+    """H7 fit: mean and population std per column over the ``train`` rows,
+    one aggregate whose one-row result (2 numbers per column) is the fitted
+    model.  A zero or undefined std scales by 1."""
     fit = df.where(train) if train is not None else df
-    st = fit.agg(*[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"s_{c}") for c in cols])
-    row = st.select(F.struct(*st.columns).alias("s")).scalar()
+    row = fit.agg(*[F.avg(c).alias(f"m_{i}") for i, c in enumerate(cols)],
+                  *[F.stddev_pop(c).alias(f"s_{i}") for i, c in enumerate(cols)]).first()
     out = {}
-    for c in cols:
-        sd = row[f"s_{c}"]
-        out[c + suffix] = (F.col(c) - row[f"m_{c}"]) / F.when((sd == 0) | sd.isNull(), F.lit(1.0)).otherwise(sd)
-    return df.withColumns(out)
+    for i, c in enumerate(cols):
+        m, sd = row[f"m_{i}"], row[f"s_{i}"]
+        out[c] = (float(m) if m is not None else 0.0, float(sd) if sd else 1.0)
+    return out
+
+
+def zscore_apply(df: DataFrame, params: dict[str, tuple[float, float]], suffix: str = "") -> DataFrame:
+    """H7 apply: (x - mean) / std with the fitted literals."""
+    return df.withColumns({c + suffix: (F.col(c) - F.lit(m)) / F.lit(sd) for c, (m, sd) in params.items()})
+
+
+def zscore(df: DataFrame, cols: Sequence[str], train: Column | None = None, suffix: str = "") -> DataFrame:
+    """H7: z-scores fitted on the ``train`` rows (all rows if None) and
+    applied to every row."""
+    return zscore_apply(df, zscore_fit(df, cols, train), suffix)
 
 
 def pca1(df: DataFrame, a: str, b: str, name: str = "pca") -> DataFrame:

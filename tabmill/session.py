@@ -31,6 +31,8 @@ def get_session(master: str | None = None, app: str = "tabmill",
     if master:
         builder = builder.master(master)
     conf = dict(_DEFAULTS)
+    if master and master.startswith("local"):
+        conf["spark.driver.memory"] = os.environ.get("TABMILL_DRIVER_MEMORY", "16g")
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
