@@ -1 +1,296 @@
-"""placeholder"""
+"""Model queries on MLlib.
+
+Fitted, seeded models are checked rows-only.  Where a closed form exists
+the query has an exact oracle: one-hot encodings, the no-intercept logit on
+a single 0/1 predictor, random Fourier features from a fixed rule, Lloyd
+iterations from fixed centres and the cluster profile built on them.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.tuning import ParamGridBuilder
+from pyspark.sql import functions as F
+
+from tabmill.functions.pvalues import chi2_sf_sql
+from tabmill.operators import evaluate as ev
+from tabmill.operators import models as md
+from tabmill.operators.dist import zscore
+from tabmill.operators.impute import one_hot
+from tabmill.plans.inputs import STUDY_SQL, study
+from tabmill.plans.registry import query
+from tabmill.session import cut_lineage
+
+FEATS = ["acctbal", "n_orders", "avg_price", "max_price", "share_f"]
+
+
+def _r(c, d=6):
+    return F.round(c, d)
+
+
+def _data(spark, sf, with_folds=True):
+    """z-scored study features + label (+ stratified folds), assembled."""
+    s = study(spark, sf)
+    z = zscore(s, FEATS)
+    if with_folds:
+        z = ev.stratified_folds(z, "label", "id", 5)
+    # iterative fits read this table many times: materialise it once
+    return cut_lineage(md.assemble(z, FEATS))
+
+
+# ---- H10 / H11 ----------------------------------------------------------------------------------
+
+@query("one_hot_all", f"""WITH {STUDY_SQL} SELECT id, {", ".join(f"CAST(region = {v} AS INTEGER) AS region_{v}" for v in range(5))},
+  CAST(big = 0 AS INTEGER) AS big_0, CAST(big = 1 AS INTEGER) AS big_1 FROM study""")
+def one_hot_all(spark, sf):
+    """Every level of region and big as a 0/1 column."""
+    out, _ = one_hot(study(spark, sf).select("id", "region", "big"), ["region", "big"])
+    return out
+
+
+@query("one_hot_drop_first", f"""WITH {STUDY_SQL} SELECT id, {", ".join(f"CAST(region = {v} AS INTEGER) AS region_{v}" for v in range(1, 5))},
+  CAST(big = 1 AS INTEGER) AS big_1 FROM study""")
+def one_hot_drop_first(spark, sf):
+    """The smallest level dropped (regression design)."""
+    out, _ = one_hot(study(spark, sf).select("id", "region", "big"), ["region", "big"], drop_first=True)
+    return out
+
+
+# ---- J4 / J5 / J6 / J3 --------------------------------------------------------------------------
+
+@query("shuffle_split_sets")
+def shuffle_split_sets(spark, sf):
+    """Five seeded 70/30 splits of the study ids, with train/test sizes
+    and the logistic model's test accuracy per split."""
+    d = _data(spark, sf, with_folds=False)
+    splits = md.shuffle_splits(d, "id", 5, 70, seed=43)
+    sizes = splits.groupBy("split").agg(F.sum("is_train").alias("n_train"),
+                                        F.sum(1 - F.col("is_train")).alias("n_test"))
+    acc = md.shuffle_split_score(LogisticRegression(maxIter=50), d, splits, "id")
+    return sizes.join(acc, "split")
+
+
+@query("grid_search")
+def grid_search(spark, sf):
+    """Cross-validated grid over the regularisation of a logistic model."""
+    d = _data(spark, sf)
+    lr = LogisticRegression(maxIter=50)
+    grid = ParamGridBuilder().addGrid(lr.regParam, [0.001, 0.01, 0.1]).build()
+    cvm = md.grid_search(lr, grid, d)
+    rows = [(float(pm[lr.regParam]), float(m)) for pm, m in zip(grid, cvm.avgMetrics)]
+    return spark.createDataFrame(rows, "reg_param double, avg_auc double")
+
+
+@query("logit_oof")
+def logit_oof(spark, sf):
+    """L2 logistic regression (C = 1), out-of-fold probabilities."""
+    d = _data(spark, sf)
+    n = d.count()
+    return md.oof_predictions(lambda: md.logistic(n, 1.0), d, "id")
+
+
+@query("rfe_ranking")
+def rfe_ranking(spark, sf):
+    """Recursive feature elimination with logistic weights."""
+    return md.rfe_ranking(_data(spark, sf, with_folds=False), FEATS)
+
+
+_LOGIT_SQL = f"""WITH {STUDY_SQL},
+c AS (SELECT count(*) AS n, count_if(big = 1 AND label = 1) AS n11, count_if(big = 1 AND label = 0) AS n10,
+             count_if(big = 0) AS n0, avg(label::DOUBLE) AS pbar FROM study),
+e AS (SELECT *, ln(n11 / n10::DOUBLE) AS b, sqrt(1.0 / n11 + 1.0 / n10) AS se, n11 / (n11 + n10)::DOUBLE AS p1 FROM c),
+f AS (SELECT *, n11 * ln(p1) + n10 * ln(1 - p1) + n0 * ln(0.5) AS ll,
+             n * (pbar * ln(pbar) + (1 - pbar) * ln(1 - pbar)) AS null_ll FROM e)
+SELECT 'big' AS variable, round(b, 5) AS coef, round(se, 5) AS std_err, round(b / se, 5) AS z,
+       round({chi2_sf_sql('(b / se) * (b / se)', '1')}, 5) AS p_value, n, 1 AS k, round(ll, 5) AS ll,
+       round(null_ll, 5) AS null_ll, round(1 - ll / null_ll, 5) AS pseudo_r2, round(2 - 2 * ll, 5) AS aic,
+       round(ln(n) - 2 * ll, 5) AS bic, round({chi2_sf_sql('2 * (ll - null_ll)', '1')}, 5) AS llr_p_value FROM f"""
+
+
+@query("logit_inference", _LOGIT_SQL)
+def logit_inference(spark, sf):
+    """No-intercept logistic regression of the label on the 0/1 high
+    balance flag (binomial GLM); the closed form is the oracle."""
+    s = study(spark, sf)
+    coefs, fit = md.logit_inference(s.withColumn("big", F.col("big").cast("double")), "label", ["big"])
+    c = coefs.select("variable", *[_r(F.col(x), 5).alias(x) for x in ("coef", "std_err", "z", "p_value")])
+    names = ("ll", "null_ll", "pseudo_r2", "aic", "bic", "llr_p_value")
+    f = fit.select(F.struct("n", "k", *[_r(F.col(x), 5).alias(x) for x in names]).alias("f")).scalar()
+    return c.select("*", *[f[x].alias(x) for x in ("n", "k", *names)])
+
+
+@query("forward_selection")
+def forward_selection(spark, sf):
+    """Forward selection by rank with region as a dummy group."""
+    s = study(spark, sf)
+    z = zscore(s, FEATS)
+    enc, dummies = one_hot(z, ["region"], drop_first=True)
+    enc = cut_lineage(enc.withColumns({c: F.col(c).cast("double") for c in dummies}))
+    groups = {"region": dummies}
+    ranking = ["avg_price", "region", "acctbal", "n_orders", "share_f", "max_price"]
+    return md.forward_select(enc, "label", ranking, groups, alpha=0.04)
+
+
+# ---- J11 / J12: forests -----------------------------------------------------------------------------
+
+@query("rf_importance")
+def rf_importance(spark, sf):
+    """Small forest grid (trees x impurity) by cross-validation, then
+    the best forest's feature importances."""
+    d = _data(spark, sf)
+    rf = RandomForestClassifier(seed=43, maxDepth=4)
+    grid = ParamGridBuilder().addGrid(rf.numTrees, [10, 20]).addGrid(rf.impurity, ["gini", "entropy"]).build()
+    cvm = md.grid_search(rf, grid, d)
+    return spark.createDataFrame(md.importances(cvm.bestModel, FEATS), "variable string, importance double")
+
+
+@query("backward_elimination")
+def backward_elimination(spark, sf):
+    """Drop the weakest variable group while all its columns are below
+    0.01 importance (region as one group of dummies)."""
+    s = zscore(study(spark, sf), FEATS)
+    enc, dummies = one_hot(s, ["region"])
+    enc = cut_lineage(enc.withColumns({c: F.col(c).cast("double") for c in dummies}))
+    groups = {**{f: [f] for f in FEATS}, "region": dummies}
+    return md.backward_eliminate(enc, groups, lambda: RandomForestClassifier(seed=43, numTrees=20, maxDepth=4),
+                                 threshold=0.01)
+
+
+# ---- J13 / J14: support vectors -----------------------------------------------------------------------
+
+@query("linear_svc_oof")
+def linear_svc_oof(spark, sf):
+    """Linear SVC (C = 1, regParam = 1/(C n)), out-of-fold labels."""
+    d = _data(spark, sf)
+    n = d.count()
+    return md.oof_predictions(lambda: LinearSVC(regParam=1.0 / n, maxIter=50), d, "id", proba=False)
+
+
+RFF_D = 8
+RFF_GAMMA = 0.2
+
+
+def _rff_sql() -> str:
+    u = "((({a}) * 7919 + ({b}) * 104729 + {c}) % 10007 + 0.5) / 10007.0"
+    w = (f"sqrt(2 * {RFF_GAMMA}) * sqrt(-2 * ln({u.format(a='j', b='i', c=1)})) "
+         f"* cos(2 * pi() * {u.format(a='j', b='i', c=2)})")
+    b = f"2 * pi() * {u.format(a='j', b='0', c=3)}"
+    zs = ", ".join(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS {c}" for c in FEATS)
+    dot = " + ".join(f"w{i} * z.{c}" for i, c in enumerate(FEATS))
+    wcols = ", ".join(f"max(CASE WHEN i = {i} THEN w END) AS w{i}" for i in range(len(FEATS)))
+    piv = ", ".join(f"round(max(CASE WHEN j = {j} THEN v END), 6) AS rff_{j}" for j in range(RFF_D))
+    return f"""WITH {STUDY_SQL},
+z AS (SELECT id, {zs} FROM study),
+wt AS (SELECT j, i, {w} AS w FROM range(0, {RFF_D}) a(j) CROSS JOIN range(0, {len(FEATS)}) b(i)),
+wr AS (SELECT j, {wcols}, max({b}) AS b FROM wt GROUP BY j),
+v AS (SELECT z.id, wr.j, sqrt(2.0 / {RFF_D}) * cos({dot} + wr.b) AS v FROM z CROSS JOIN wr)
+SELECT id, {piv} FROM v GROUP BY id"""
+
+
+def _rff_data(spark, sf):
+    s = zscore(study(spark, sf), FEATS)
+    return md.rff(s, FEATS, RFF_D, RFF_GAMMA)
+
+
+@query("rff_features", _rff_sql())
+def rff_features(spark, sf):
+    """Random Fourier features of the z-scored study features, weights
+    from a fixed rule."""
+    out = _rff_data(spark, sf)
+    return out.select("id", *[_r(F.col(f"rff_{j}")).alias(f"rff_{j}") for j in range(RFF_D)])
+
+
+@query("rbf_svc_oof")
+def rbf_svc_oof(spark, sf):
+    """Approximate RBF-kernel SVC = linear SVC on the Fourier
+    features, out-of-fold labels."""
+    d = ev.stratified_folds(_rff_data(spark, sf), "label", "id", 5)
+    d = cut_lineage(md.assemble(d, [f"rff_{j}" for j in range(RFF_D)]))
+    n = d.count()
+    return md.oof_predictions(lambda: LinearSVC(regParam=1.0 / n, maxIter=50), d, "id", proba=False)
+
+
+# ---- J16: boosting ----------------------------------------------------------------------------------------
+
+@query("gbt_oof")
+def gbt_oof(spark, sf):
+    """Gradient-boosted trees, out-of-fold probabilities."""
+    d = _data(spark, sf)
+    return md.oof_predictions(lambda: GBTClassifier(maxIter=10, maxDepth=3, seed=43), d, "id")
+
+
+@query("gbt_importance")
+def gbt_importance(spark, sf):
+    """Staged tuning - trees first, then depth with the chosen trees,
+    then the learning rate - each stage a cross-validated grid; importances
+    of the final model."""
+    d = _data(spark, sf)
+    best = {"maxIter": 10, "maxDepth": 3, "stepSize": 0.1}
+    for pname, values in (("maxIter", [5, 10]), ("maxDepth", [2, 3]), ("stepSize", [0.1, 0.3])):
+        gbt = GBTClassifier(seed=43, **best)
+        grid = ParamGridBuilder().addGrid(gbt.getParam(pname), values).build()
+        cvm = md.grid_search(gbt, grid, d, parallelism=2)
+        i = max(range(len(values)), key=lambda k: (cvm.avgMetrics[k], -k))
+        best[pname] = values[i]
+    model = GBTClassifier(seed=43, **best).fit(d)
+    return spark.createDataFrame(md.importances(model, FEATS), "variable string, importance double")
+
+
+# ---- J24 / J25: clustering ----------------------------------------------------------------------------------
+
+KM_COLS = ["acctbal", "n_orders", "avg_price", "max_price", "share_f", "nation"]
+
+
+@query("kmeans_label")
+def kmeans_label(spark, sf):
+    """MLlib k-means, k = 2, six raw columns, label appended."""
+    s = study(spark, sf)
+    d = cut_lineage(md.assemble(s.withColumns({c: F.col(c).cast("double") for c in KM_COLS}), KM_COLS))
+    m = KMeans(k=2, seed=43, featuresCol=md.FEATURES).fit(d)
+    return m.transform(d).select("id", F.col("prediction").alias("cluster"))
+
+
+KM_ITERS = 3
+
+
+def _kmeans_fixed(spark, sf):
+    s = cut_lineage(study(spark, sf).withColumns({c: F.col(c).cast("double") for c in KM_COLS}))
+    lo = s.orderBy("id").select(*KM_COLS).first()
+    hi = s.orderBy(F.col("id").desc()).select(*KM_COLS).first()
+    return md.kmeans_fixed(s, KM_COLS, [list(lo), list(hi)], iters=KM_ITERS)
+
+
+def _kmeans_sql() -> str:
+    cols = KM_COLS
+    parts = [f"c0 AS (SELECT 0 AS cl, {', '.join(cols)} FROM study WHERE id = (SELECT min(id) FROM study) "
+             f"UNION ALL SELECT 1, {', '.join(cols)} FROM study WHERE id = (SELECT max(id) FROM study))"]
+
+    def assign(prev):
+        d0 = " + ".join(f"power(s.{c} - a.{c}, 2)" for c in cols)
+        d1 = " + ".join(f"power(s.{c} - b.{c}, 2)" for c in cols)
+        return (f"SELECT s.*, CASE WHEN ({d1}) < ({d0}) THEN 1 ELSE 0 END AS cl FROM study s "
+                f"CROSS JOIN (SELECT * FROM {prev} WHERE cl = 0) a CROSS JOIN (SELECT * FROM {prev} WHERE cl = 1) b")
+    for it in range(1, KM_ITERS + 1):
+        parts.append(f"a{it} AS ({assign(f'c{it - 1}')})")
+        parts.append(f"c{it} AS (SELECT cl, {', '.join(f'avg({c}) AS {c}' for c in cols)} FROM a{it} GROUP BY cl)")
+    parts.append(f"fin AS ({assign(f'c{KM_ITERS}')})")
+    return ",\n".join(parts)
+
+
+@query("kmeans_fixed_steps", f"WITH {STUDY_SQL}, {_kmeans_sql()} SELECT id, cl AS cluster FROM fin")
+def kmeans_fixed_steps(spark, sf):
+    """J24, deterministic: three Lloyd iterations from the rows with the
+    smallest and largest id as centres."""
+    return _kmeans_fixed(spark, sf).select("id", F.col("cluster").cast("int").alias("cluster"))
+
+
+@query("cluster_profile", f"""WITH {STUDY_SQL}, {_kmeans_sql()}
+SELECT cl AS cluster, count(*) AS n, {", ".join(f"round(avg({c}), 6) AS mean_{c}" for c in KM_COLS)},
+       round(avg(label), 6) AS label_share FROM fin GROUP BY cl""")
+def cluster_profile(spark, sf):
+    """Size, column means and label share per cluster."""
+    k = _kmeans_fixed(spark, sf)
+    return k.groupBy(F.col("cluster").cast("int").alias("cluster")).agg(
+        F.count(F.lit(1)).alias("n"), *[_r(F.avg(c)).alias(f"mean_{c}") for c in KM_COLS],
+        _r(F.avg("label")).alias("label_share"))
