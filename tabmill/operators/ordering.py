@@ -4,16 +4,20 @@ A window ``ORDER BY x`` without ``PARTITION BY`` (or partitioned by a key that
 may hold a third of all rows) is executed by a single task.  Here the same
 running totals are computed in three distributed steps:
 
-1. ``repartitionByRange`` on (group, order) - the range bounds come from a
-   sample, so a hot group is split over many partitions;
-2. a running total inside each (partition, group) slice, plus that slice's
-   total;
-3. per group, the totals of the earlier partitions (a table of at most
-   ``partitions x groups-per-partition`` rows) are added as an offset.
-
-Equal order keys never straddle two range partitions, so RANGE and ROWS
-semantics both hold.  Callers that need row numbers supply a total order
-(unique tie-breaker).
+1. every row gets a slice id that is monotone in the sort order: the slice
+   bounds are quantiles of the first sort key from one ``approxQuantile``
+   pass (a hot group is split by its keys, not kept whole);
+2. a running total inside each (slice, group), and each slice's total;
+3. per group, the totals of the earlier slices (a table of at most
+   ``slices x groups`` rows) are added as an offset.
+
+The slice id is a pure function of the row (literal bounds), so the two
+branches that read the input - and any recomputation after a lost executor
+- agree on it.  (``repartitionByRange`` samples with a per-RDD seed, so two
+separately planned range exchanges may disagree.)  Equal first keys share a
+slice, so RANGE and ROWS semantics both hold.  Callers that need row numbers
+supply a total order (unique tie-breaker).  A non-numeric first key falls
+back to materialising one range-partitioned copy in the checkpoint folder.
 """
 
 from __future__ import annotations
@@ -21,44 +25,64 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import NumericType
 
 
-def _sort_exprs(order: Sequence) -> list[Column]:
+def _order_spec(order: Sequence) -> list[tuple[str, bool]]:
     out = []
     for o in order:
-        if isinstance(o, Column):
-            out.append(o)
-        elif isinstance(o, tuple):
-            name, asc = o
-            out.append(F.col(name).asc_nulls_first() if asc else F.col(name).desc_nulls_last())
+        if isinstance(o, tuple):
+            out.append((o[0], bool(o[1])))
+        elif isinstance(o, str):
+            out.append((o, True))
         else:
-            out.append(F.col(o).asc_nulls_first())
+            raise TypeError("order items are column names or (name, ascending) pairs")
     return out
 
 
+def _sort_cols(spec: list[tuple[str, bool]]) -> list[Column]:
+    return [F.col(c).asc_nulls_first() if asc else F.col(c).desc_nulls_last() for c, asc in spec]
+
+
 def _partitions(df: DataFrame, num_partitions: int | None) -> int:
     if num_partitions:
         return num_partitions
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def _slice_ids(df: DataFrame, spec: list[tuple[str, bool]], group: list[str], n: int) -> DataFrame:
+    key, asc = spec[0]
+    if isinstance(df.schema[key].dataType, NumericType):
+        probs = [i / n for i in range(1, n)]
+        bounds = sorted(set(b for b in df.approxQuantile(key, probs, 1.0 / (4 * n)) if b is not None))
+        arr = F.array(*[F.lit(float(b)) for b in bounds]) if bounds else F.array().cast("array<double>")
+        k = F.col(key).cast("double")
+        if asc:
+            pid = F.when(k.isNull(), F.lit(0)).otherwise(F.size(F.filter(arr, lambda b: b < k)))
+        else:
+            pid = F.when(k.isNull(), F.lit(len(bounds) + 1)).otherwise(F.size(F.filter(arr, lambda b: b > k)))
+        return df.withColumn("__pid", pid)
+    from tabmill.session import cut_lineage
+    parted = df.repartitionByRange(n, *[F.col(g).asc_nulls_first() for g in group], *_sort_cols(spec))
+    return cut_lineage(parted.withColumn("__pid", F.spark_partition_id()))
+
+
 def running_sums(df: DataFrame, order: Sequence, sums: dict[str, Column],
                  group: Sequence[str] = (), inclusive: bool = True,
                  num_partitions: int | None = None) -> DataFrame:
     """Add running totals of ``sums`` along ``order`` within ``group``.
 
-    ``order`` items are column names (ascending), ``(name, ascending)`` pairs
-    or sort Columns.  ``inclusive=False`` gives the total of the rows strictly
-    before each row.  The groups are expected to be few (classes, models):
-    the offset table holds one row per (range partition, group).
+    ``order`` items are column names (ascending) or ``(name, ascending)``
+    pairs.  ``inclusive=False`` gives the total of the rows strictly before
+    each row.  The groups are expected to be few (classes, models): the
+    offset table holds one row per (slice, group).
     """
     group = list(group)
-    sort_cols = _sort_exprs(order)
+    spec = _order_spec(order)
+    sort_cols = _sort_cols(spec)
     n = _partitions(df, num_partitions)
     vals = {f"__v_{k}": v for k, v in sums.items()}
-    parted = (df.withColumns(vals)
-              .repartitionByRange(n, *[F.col(g).asc_nulls_first() for g in group], *sort_cols)
-              .withColumn("__pid", F.spark_partition_id()))
+    parted = _slice_ids(df.withColumns(vals), spec, group, n)
     w_local = (Window.partitionBy("__pid", *group).orderBy(*sort_cols)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = parted.withColumns({f"__l_{k}": F.sum(f"__v_{k}").over(w_local) for k in sums})

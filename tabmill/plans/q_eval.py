@@ -212,8 +212,10 @@ def leaderboard_sort(spark, sf):
     """two-key sort (total correct desc, F1 desc, NULL last) with the
     resulting 0-based position."""
     lb = _leaderboard(spark, sf).select("model", "total_correct", "f1_score")
-    return with_position(lb, [F.col("total_correct").desc(), F.col("f1_score").desc_nulls_last(),
-                              F.col("model").asc()], "position")
+    # f1 NULL sorts last: order on a non-null key with NULL mapped below any score
+    lb = lb.withColumn("__f1", F.coalesce(F.col("f1_score"), F.lit(-1.0)))
+    out = with_position(lb, [("total_correct", False), ("__f1", False), ("model", True)], "position")
+    return out.drop("__f1")
 
 
 @query("unpivot_counts", f"""WITH {_LB_CTE.replace('lb AS (SELECT model_type', 'lb AS (SELECT true_negatives, false_positives, false_negatives, true_positives, model_type')}
