@@ -1,0 +1,9 @@
+"""Streaming: nothing to rebuild.
+
+The studied project has no streams, watermarks, event-time windows, state
+or late data - every step is a batch computation over one table - so this
+package intentionally holds no operators.  All tabmill operators are pure
+``DataFrame -> DataFrame`` functions; the row-local ones (projections,
+conditional updates, ratios, scalar functions) can be applied unchanged to a
+streaming DataFrame, and the aggregate ones inside ``foreachBatch``.
+"""
