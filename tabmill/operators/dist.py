@@ -67,40 +67,54 @@ def _yl(z: Column, lam: Column) -> Column:
     return F.when(lam == 0, F.log(z)).otherwise((F.pow(z, lam) - 1) / lam)
 
 
+def _yl_search(z: Column, lam: Column) -> Column:
+    """y_lambda for z > 0 via exp(lambda ln z) (same value, cheaper than pow)."""
+    lz = F.log(z)
+    return F.when(lam == 0, lz).otherwise((F.exp(lam * lz) - 1) / lam)
+
+
 def boxcox_lambda(df: DataFrame, cols: Sequence[str] | None = None, long: DataFrame | None = None) -> DataFrame:
     """H3: maximum-likelihood Box-Cox lambda per column by a refined grid.
 
     The log-likelihood of lambda on x equals, up to a constant, minus n/2 ln
     var_pop(y_lambda(x / gm)) with gm the geometric mean, so each stage is
-    one aggregate of ``var_pop`` per (column, lambda): grid -2..2 step 0.1,
-    then +/-0.1 step 0.01, then +/-0.01 step 0.001 around the best (ties to
-    the smaller lambda).  Columns with a value <= 0 get lambda NULL and
-    positive = 0 (the transform is undefined there).
+    one aggregate with a ``var_pop`` column per grid point (grid -2..2 step
+    0.1, then +/-0.1 step 0.01, then +/-0.01 step 0.001 around the best; ties
+    to the smaller lambda).  Between stages only the per-column best lambda
+    (one number per column) goes to the driver, like any fitted parameter.
+    Columns with a value <= 0 get lambda NULL and positive = 0 (the
+    transform is undefined there).
     """
+    from tabmill.session import cut_lineage
     data = long if long is not None else _long(df, cols)
-    data = data.select("variable", "x").where(F.col("x").isNotNull())
+    data = data.select("variable", F.col("x").cast("double").alias("x")).where(F.col("x").isNotNull())
     st = data.groupBy("variable").agg(F.count("x").alias("n"), F.min("x").alias("mn"),
                                       F.avg(F.when(F.col("x") > 0, F.log("x"))).alias("mlog"))
-    pos = data.join(st.where(F.col("mn") > 0).select("variable", F.exp("mlog").alias("gm")), "variable")
-    pos = pos.select("variable", (F.col("x") / F.col("gm")).alias("z"))
-
-    def stage(centre: DataFrame | None, half: int, step: float) -> DataFrame:
-        if centre is None:
-            g = pos.withColumn("lam", F.explode(F.transform(F.sequence(F.lit(-half), F.lit(half)),
-                                                            lambda i: F.round(i * step, 9))))
-        else:
-            g = pos.join(centre, "variable").withColumn(
-                "lam", F.explode(F.transform(F.sequence(F.lit(-half), F.lit(half)),
-                                             lambda i: F.round(F.col("best") + i * step, 9))))
-        v = g.groupBy("variable", "lam").agg(F.var_pop(_yl(F.col("z"), F.col("lam"))).alias("v"))
-        return v.groupBy("variable").agg(F.min_by("lam", F.struct("v", "lam")).alias("best"))
-
-    b1 = stage(None, 20, 0.1)
-    b2 = stage(b1, 10, 0.01)
-    b3 = stage(b2, 10, 0.001)
-    return (st.join(b3, "variable", "left")
-            .select("variable", "n", (F.col("mn") > 0).cast("int").alias("positive"),
-                    F.round("best", 3).alias("bc_lambda")))
+    st_rows = st.collect()                       # one row per column
+    gm = {r["variable"]: math.exp(r["mlog"]) for r in st_rows if r["mn"] is not None and r["mn"] > 0}
+    if not gm:
+        return st.select("variable", "n", F.lit(0).alias("positive"), F.lit(None).cast("double").alias("bc_lambda"))
+    gmap = F.create_map(*[F.lit(x) for v, g in gm.items() for x in (v, g)])
+    pos = cut_lineage(data.where(F.col("variable").isin(list(gm)))
+                      .select("variable", (F.col("x") / gmap[F.col("variable")]).alias("z")))
+
+    def stage(centre: dict[str, float], half: int, step: float) -> dict[str, float]:
+        # (variable, lambda) groups: one narrow var_pop, partial aggregation,
+        # each row meets the 2*half+1 grid points by explode (no join)
+        cmap = F.create_map(*[F.lit(x) for v, c in centre.items() for x in (v, float(c))])
+        g = pos.select("variable", "z", cmap[F.col("variable")].alias("c"))
+        g = g.withColumn("lam", F.explode(F.transform(F.sequence(F.lit(-half), F.lit(half)),
+                                                      lambda i: F.round(F.col("c") + i * step, 9))))
+        v = g.groupBy("variable", "lam").agg(F.var_pop(_yl_search(F.col("z"), F.col("lam"))).alias("v"))
+        best = v.where(~F.isnan("v")).groupBy("variable").agg(F.min_by("lam", F.struct("v", "lam")).alias("b"))
+        return {r["variable"]: float(r["b"]) for r in best.collect()}
+
+    b = stage({v: 0.0 for v in gm}, 20, 0.1)
+    b = stage(b, 10, 0.01)
+    b = stage(b, 10, 0.001)
+    lam = F.create_map(*[F.lit(x) for v, l in b.items() for x in (v, float(l))])
+    return st.select("variable", "n", (F.col("mn") > 0).cast("int").alias("positive"),
+                     F.round(lam[F.col("variable")], 3).alias("bc_lambda"))
 
 
 def boxcox_apply(x: Column, lam: Column) -> Column:

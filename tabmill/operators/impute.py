@@ -69,12 +69,14 @@ def knn_impute(df: DataFrame, id_col: str, spec: ImputeSpec, predictors: Sequenc
     """(id, prediction) for every row whose target is the
     sentinel."""
     t = spec.target
-    base = df.select(id_col, t, *predictors)
+    # the fit steps below (levels, scaler, grid) each read the input: read it once
+    base = cut_lineage(df.select(id_col, t, *predictors))
     cats = [c for c in predictors if c in set(categorical)]
     enc, dummies = one_hot(base, cats)
+    blocks = [[d for d in dummies if d.startswith(f"{c}_")] for c in cats]
     feats = [c for c in predictors if c not in set(cats)] + dummies
     is_train = F.col(t) != sentinel
-    z = zscore(enc, feats, train=is_train)
+    z = cut_lineage(zscore(enc, feats, train=is_train))
     train = z.where(is_train)
     query = z.where(~is_train)
     n_train = train.count()
@@ -82,7 +84,8 @@ def knn_impute(df: DataFrame, id_col: str, spec: ImputeSpec, predictors: Sequenc
     if spec.force_odd and k % 2 == 0:
         k -= 1
     k = max(k, 1)
-    nb = knn.knn_join(query, train, feats, k, id_col, id_col, out_q=id_col, out_t="__tid", carry=[t], salt=salt)
+    nb = knn.knn_join(query, train, feats, k, id_col, id_col, out_q=id_col, out_t="__tid", carry=[t],
+                      blocks=blocks, salt=salt)
     if spec.kind == "class":
         pred = knn.vote(nb, id_col, t)
     else:
@@ -105,6 +108,7 @@ def impute_chain(df: DataFrame, id_col: str, specs: Sequence[ImputeSpec], catego
     """Impute the spec'd columns in ascending order of missing count;
     each step's predictors are the columns complete at that point."""
     by_name = {s.target: s for s in specs}
+    df = cut_lineage(df)
     counts = df.agg(*[F.count_if(F.col(s.target) == sentinel).alias(s.target) for s in specs]).first()
     order = sorted(by_name, key=lambda c: (counts[c], c))
     cur = df

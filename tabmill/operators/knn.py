@@ -12,7 +12,10 @@ A query is final when it has k candidates and its k-th distance is strictly
 below the distance from the query to the boundary of the searched box (any
 unsearched training row lies outside the box in some grid dimension, hence
 at least that far away), or when the box covers the whole training range.
-Unresolved queries move to the next level; the last level covers
+An unresolved query that already holds k candidates jumps to the first
+level whose box reaches its provisional k-th distance in every grid
+dimension (the true k nearest lie inside; the search there is final);
+one with fewer candidates moves up one level.  The last level covers
 everything, so the result equals brute force (ties broken by
 (round(distance, 9), training id)).
 
@@ -40,13 +43,16 @@ BIG = 1e300
 
 def knn_join(queries: DataFrame, train: DataFrame, feats: Sequence[str], k: int,
              qid: str = "id", tid: str = "id", out_q: str = "qid", out_t: str = "tid",
-             carry: Sequence[str] = (), grid_dims: int = 2,
+             carry: Sequence[str] = (), grid_dims: int = 2, blocks: Sequence[Sequence[str]] = (),
              salt: int = 4, target_per_cell: int | None = None, max_levels: int = 64) -> DataFrame:
     """Rows (out_q, out_t, dist, rank, *carry) - the k nearest training rows
     of every query row (rank 1 = nearest).  ``qid`` / ``tid`` name the id
     columns of the two inputs; ``carry`` are training columns passed
-    through (labels / values to vote on)."""
+    through (labels / values to vote on).  ``blocks`` lists groups of
+    feature columns that are one z-scored one-hot encoding each: they
+    become exact-match keys of a first, restricted search."""
     feats = list(feats)
+    blocks = [list(b) for b in blocks]
     k = int(k)
     nf = len(feats)
     p = max(1, min(grid_dims, nf))
@@ -59,7 +65,32 @@ def knn_join(queries: DataFrame, train: DataFrame, feats: Sequence[str], k: int,
     n = int(st["n"])
     dims = sorted(range(nf), key=lambda i: (-int(st[f"d{i}"]), i))[:p]
     target = target_per_cell or max(2 * k, 64)
-    cells = max(1, math.ceil((max(n, 1) / target) ** (1.0 / p)))
+    fidx = {f: i for i, f in enumerate(feats)}
+
+    def block_key(prefix: str, b: list[str]) -> Column:
+        # 1-based index of the hot dummy (z-scored: hot > 0 > cold), 0 = none
+        return F.array_position(F.array(*[F.col(f"{prefix}{fidx[c]}") > 0 for c in b]), True).cast("int")
+
+    combos = 1
+    gaps: list[dict] = []
+    if blocks:
+        tb = train.select(*[F.col(c).cast("double").alias(f"__t{fidx[c]}") for b in blocks for c in b])
+        combos = max(1, tb.select(*[block_key("__t", b) for b in blocks]).distinct().count())
+        ga = train.agg(*[F.min(c).alias(f"mn{fidx[c]}") for b in blocks for c in b],
+                       *[F.max(c).alias(f"mx{fidx[c]}") for b in blocks for c in b]).first()
+        qa = queries.agg(*[F.max(c).alias(f"mx{fidx[c]}") for b in blocks for c in b]).first()
+        base = tb.agg(*[F.count_if(block_key("__t", b) == 0).alias(f"b{i}") for i, b in enumerate(blocks)]).first()
+        for i, b in enumerate(blocks):
+            g = {}
+            present = []
+            for c in b:
+                j = fidx[c]
+                hot = max(float(ga[f"mx{j}"] or 0.0), float(qa[f"mx{j}"] or 0.0))
+                g[c] = hot - float(ga[f"mn{j}"] or 0.0)
+                if (ga[f"mx{j}"] or 0.0) > 0:
+                    present.append(g[c])
+            gaps.append({"gap": g, "present": sorted(present), "baseline": int(base[f"b{i}"]) > 0})
+    cells = max(1, math.ceil((max(n, 1) / combos / target) ** (1.0 / p)))
     lo = {j: float(st[f"lo{j}"] or 0.0) for j in dims}
     hi = {j: float(st[f"hi{j}"] or 0.0) for j in dims}
     width = {j: (hi[j] - lo[j]) / cells for j in dims}
@@ -75,32 +106,64 @@ def knn_join(queries: DataFrame, train: DataFrame, feats: Sequence[str], k: int,
                      *[F.col(c) for c in carry])
     t = t.withColumns({f"__c{j}": cell(F.col(f"__t{j}"), j, True) for j in dims})
     t = t.withColumn("__salt", F.pmod(F.xxhash64("__tid"), F.lit(salt)).cast("int"))
+    t = t.withColumns({f"__b{i}": block_key("__t", b) for i, b in enumerate(blocks)})
     t = t.persist(StorageLevel.MEMORY_AND_DISK)
 
     q = queries.select(F.col(qid).alias("__qid"), *[F.col(f).cast("double").alias(f"__q{i}") for i, f in enumerate(feats)])
     q = q.withColumns({f"__c{j}": cell(F.col(f"__q{j}"), j, False) for j in dims})
+    q = q.withColumns({f"__b{i}": block_key("__q", b) for i, b in enumerate(blocks)})
+    bkeys = [f"__b{i}" for i in range(len(blocks))]
+
+    def block_bound() -> Column:
+        """Lower bound on the distance to any training row whose level
+        differs in some block: sqrt(gap(own)^2 + smallest other gap^2)."""
+        out = F.lit(BIG)
+        for i, b in enumerate(blocks):
+            info = gaps[i]
+            own = F.lit(0.0)
+            for pos, c in enumerate(b, 1):
+                own = F.when(F.col(f"__b{i}") == pos, F.lit(info["gap"][c])).otherwise(own)
+            pres = info["present"]
+            cands = ([0.0] if info["baseline"] else []) + pres
+            smallest = F.lit(min(cands) if cands else BIG)
+            # the query's own level may be the smallest present one: use the next
+            second = F.lit(sorted(cands)[1] if len(cands) > 1 else BIG)
+            other = F.when(F.lit(len(pres) > 0) & (own == F.lit(pres[0] if pres else -1.0)) & F.lit(not info["baseline"]),
+                           second).otherwise(smallest)
+            other = F.when(F.col(f"__b{i}") == 0, F.lit(min(pres) if pres else BIG)).otherwise(other)
+            out = F.least(out, F.sqrt(own * own + other * other))
+        return out
 
     dist = F.sqrt(sum(F.pow(F.col(f"__q{i}") - F.col(f"__t{i}"), 2) for i in range(nf)))
     offsets = list(itertools.product([-1, 0, 1], repeat=p))
-    done: list[DataFrame] = []
-    level = 0
-    while True:
+    live_w = [width[j] for j in dims if width[j] > 0]
+    w_min = min(live_w) if live_w else 0.0
+
+    def search(qs: DataFrame, level: int, restricted: bool) -> DataFrame:
+        """Provisional top k of the queries ``qs`` at grid level ``level``
+        (``restricted``: only training rows of the same block levels)."""
         s = 1 << level
         key = {j: F.floor(F.col(f"__c{j}") / F.lit(s)).cast("long") for j in dims}
         off = F.array(*[F.struct(*[F.lit(o[a]).alias(f"o{a}") for a in range(p)]) for o in offsets])
-        qx = q.select("*", F.explode(off).alias("__o"), F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("__salt"))
+        qx = qs.select("*", F.explode(off).alias("__o"),
+                       F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("__salt"))
         qx = qx.withColumns({f"__k{j}": key[j] + F.col(f"__o.o{a}") for a, j in enumerate(dims)}).drop("__o")
         tx = t.withColumns({f"__k{j}": key[j] for j in dims}).drop(*[f"__c{j}" for j in dims])
-        cand = qx.join(tx, [*[f"__k{j}" for j in dims], "__salt"], "inner")
+        jkeys = [*[f"__k{j}" for j in dims], "__salt"] + (bkeys if restricted else [])
+        if not restricted:
+            qx, tx = qx.drop(*bkeys), tx.drop(*bkeys)
+        cand = qx.join(tx, jkeys, "inner")
         cand = cand.select("__qid", "__tid", "__salt", *carry, dist.alias("dist"))
         order = [F.round("dist", 9), F.col("__tid")]
         w1 = Window.partitionBy("__qid", "__salt").orderBy(*order)
         cand = cand.withColumn("__r1", F.row_number().over(w1)).where(F.col("__r1") <= k)
         w2 = Window.partitionBy("__qid").orderBy(*order)
-        top = cand.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= k).drop("__r1", "__salt")
-        top = cut_lineage(top)
-        summ = top.groupBy("__qid").agg(F.count(F.lit(1)).alias("__cnt"), F.max("dist").alias("__kth"))
-        # distance from the query to the outside of the searched box, per grid dim
+        return cand.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= k).drop("__r1", "__salt")
+
+    def bound_and_cover(level: int) -> tuple[Column, Column]:
+        """Distance from the query to the outside of its searched box (grid
+        dims only) and whether the box covers the whole training range."""
+        s = 1 << level
         bound = F.lit(BIG)
         covers = F.lit(True)
         for j in dims:
@@ -112,14 +175,60 @@ def knn_join(queries: DataFrame, train: DataFrame, feats: Sequence[str], k: int,
             bound = F.least(bound, F.when(low_covered, F.lit(BIG)).otherwise(d_low),
                             F.when(high_covered, F.lit(BIG)).otherwise(d_high))
             covers = covers & low_covered & high_covered
-        status = q.join(summ, "__qid", "left").select(
-            "__qid", (covers | ((F.coalesce("__cnt", F.lit(0)) >= k) & (F.col("__kth") < bound))).alias("__ok"))
-        status = cut_lineage(status)
-        done.append(top.join(status.where("__ok").select("__qid"), "__qid", "left_semi"))
-        q = cut_lineage(q.join(status.where(~F.col("__ok")).select("__qid"), "__qid", "left_semi"))
-        level += 1
-        if q.isEmpty() or level > max_levels:
+        return bound, covers
+
+    # queue of (query, level, final, restricted): restricted searches run
+    # first and stay inside the query's block levels
+    queue = cut_lineage(q.withColumns({"__lvl": F.lit(0), "__final": F.lit(False),
+                                       "__res": F.lit(bool(blocks))}))
+    done: list[DataFrame] = []
+    for _ in range(2 * max_levels + 2):
+        nxt = queue.agg(F.max(F.col("__res").cast("int")).alias("r")).first()["r"]
+        if nxt is None:
             break
+        restricted = bool(nxt)
+        lv = queue.where(F.col("__res") == restricted).agg(F.min("__lvl")).first()[0]
+        level = int(lv)
+        here = queue.where((F.col("__res") == restricted) & (F.col("__lvl") == level))
+        top = cut_lineage(search(here.drop("__lvl", "__final", "__res"), level, restricted))
+        summ = top.groupBy("__qid").agg(F.count(F.lit(1)).alias("__cnt"), F.max("dist").alias("__kth"))
+        bound, covers = bound_and_cover(level)
+        st = here.join(summ, "__qid", "left").withColumn("__cnt", F.coalesce("__cnt", F.lit(0)))
+        full = F.col("__cnt") >= k
+        if restricted:
+            bb = block_bound()
+            inside = full & (F.col("__kth") < bb)          # true neighbours share the block levels
+            ok = (F.col("__final") & inside) | (inside & (covers | (F.col("__kth") < bound)))
+        else:
+            inside = F.lit(True)
+            ok = F.col("__final") | covers | (full & (F.col("__kth") < bound))
+        # a query holding k candidates knows a radius (its k-th distance)
+        # containing its true k nearest: jump to the first level whose box
+        # reaches that far in every grid dimension - final there.
+        if w_min > 0:
+            need = F.ceil(F.log2(F.greatest(F.col("__kth") / F.lit(w_min), F.lit(1.0)))).cast("int")
+        else:
+            need = F.lit(level + 1)
+        jump = F.greatest(need, F.lit(level + 1))
+        st = cut_lineage(st.select(*q.columns, ok.alias("__ok"), full.alias("__full"), inside.alias("__in"),
+                                   jump.alias("__jump"), F.col("__final").alias("__was_final")))
+        done.append(top.join(st.where("__ok").select("__qid"), "__qid", "left_semi"))
+        rest = st.where(~F.col("__ok"))
+        if restricted:
+            # stay restricted (jump) while the k-th distance is inside the block
+            # bound; otherwise open the search, jumping by the known radius
+            moved = rest.select(*q.columns,
+                                F.when(F.col("__full"), F.col("__jump")).otherwise(F.lit(0)).alias("__lvl"),
+                                F.col("__full").alias("__final"),
+                                (F.col("__in") & ~F.col("__was_final")).alias("__res"))
+            moved = moved.withColumn("__lvl", F.when(F.col("__res"), F.col("__lvl")).otherwise(
+                F.when(F.col("__final"), F.col("__lvl")).otherwise(F.lit(0))))
+        else:
+            moved = rest.select(*q.columns,
+                                F.when(F.col("__full"), F.col("__jump")).otherwise(F.lit(level + 1)).alias("__lvl"),
+                                F.col("__full").alias("__final"), F.lit(False).alias("__res"))
+        remaining = queue.where(~((F.col("__res") == restricted) & (F.col("__lvl") == level)))
+        queue = cut_lineage(remaining.unionByName(moved))
     t.unpersist()
     out = done[0]
     for d in done[1:]:

@@ -80,7 +80,7 @@ def _bc_stage(prev: str | None, half: int, step: float, name: str) -> str:
     lam = (f"round(i * {step}::DOUBLE, 9)" if prev is None else f"round({prev}.best + i * {step}::DOUBLE, 9)")
     join = f"JOIN {prev} USING (variable)" if prev else ""
     return f"""{name}v AS (SELECT z.variable, {lam} AS lam,
-      var_pop(CASE WHEN {lam} = 0 THEN ln(z) ELSE (power(z, {lam}) - 1) / {lam} END) AS v
+      var_pop(CASE WHEN {lam} = 0 THEN ln(z) ELSE (exp({lam} * ln(z)) - 1) / {lam} END) AS v
     FROM zz z {join} CROSS JOIN range({-half}, {half + 1}) r(i) GROUP BY ALL),
 {name} AS (SELECT variable, lam AS best FROM {name}v
     QUALIFY row_number() OVER (PARTITION BY variable ORDER BY v, lam) = 1)"""

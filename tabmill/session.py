@@ -70,11 +70,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the reliable checkpoint folder and cut its lineage.
+    """Materialise ``df`` as a Parquet table in the reliable checkpoint
+    folder and read it back, cutting the lineage.
 
     Used between the steps of iterative operators (chained imputation,
-    ring-expanding neighbour search) so that a lost executor recomputes one
-    step, not the whole chain.
+    level-wise neighbour search, model inputs) so that a lost executor
+    recomputes one step, not the whole chain.  One write job (an RDD
+    checkpoint would compute its input twice unless cached), and the
+    re-read table carries real sizes for AQE's join planning.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    import uuid
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tabmill-cut-{uuid.uuid4().hex}"
+    spread(df).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """At least the session's default parallelism of partitions (round
+    robin) - a no-op for inputs that already have them, e.g. many files."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(par)
+    return df

@@ -219,3 +219,28 @@ def test_knn_join_equals_brute_force_with_hot_cell(spark):
     for qid, qx, qy, qz in queries:
         d = sorted((round(math.dist((qx, qy, qz), (tx, ty, tz)), 9), tid) for tid, tx, ty, tz in train)[:k]
         assert [t for _, t in sorted(res[qid])] == [t for _, t in d]
+
+
+def test_knn_join_with_one_hot_blocks_equals_brute_force(spark):
+    # continuous x, y plus a z-scored one-hot block: the restricted search
+    # (same category first) must give exactly the brute-force neighbours
+    import random
+    from tabmill.operators.dist import zscore
+    from tabmill.operators.impute import one_hot
+    rnd = random.Random(11)
+    rows = [(i, rnd.gauss(0, 1), rnd.gauss(0, 1), rnd.choice([0, 1, 1, 2, 3]), int(i % 17 == 0)) for i in range(700)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, c int, is_q int")
+    enc, dummies = one_hot(df, ["c"])
+    feats = ["x", "y", *dummies]
+    z = zscore(enc, feats, train=F.col("is_q") == 0)
+    tr, qs = z.where("is_q = 0"), z.where("is_q = 1")
+    k = 9
+    got = knn.knn_join(qs, tr, feats, k, blocks=[dummies], salt=2).collect()
+    res = {}
+    for r in got:
+        res.setdefault(r["qid"], []).append((r["rank"], r["tid"]))
+    tl = [(r["id"], [r[f] for f in feats]) for r in tr.collect()]
+    for r in qs.collect():
+        qv = [r[f] for f in feats]
+        d = sorted((round(math.dist(qv, tv), 9), tid) for tid, tv in tl)[:k]
+        assert [t for _, t in sorted(res[r["id"]])] == [t for _, t in d]
