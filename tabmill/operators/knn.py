@@ -57,39 +57,39 @@ def knn_join(queries: DataFrame, train: DataFrame, feats: Sequence[str], k: int,
     nf = len(feats)
     p = max(1, min(grid_dims, nf))
     # --- fit the grid on the training rows: one aggregate, O(#features) result
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for i, f in enumerate(feats):
-        aggs += [F.approx_count_distinct(f).alias(f"d{i}"), F.min(f).cast("double").alias(f"lo{i}"),
-                 F.max(f).cast("double").alias(f"hi{i}")]
-    st = train.agg(*aggs).first()
-    n = int(st["n"])
-    dims = sorted(range(nf), key=lambda i: (-int(st[f"d{i}"]), i))[:p]
-    target = target_per_cell or max(2 * k, 64)
     fidx = {f: i for i, f in enumerate(feats)}
 
     def block_key(prefix: str, b: list[str]) -> Column:
         # 1-based index of the hot dummy (z-scored: hot > 0 > cold), 0 = none
         return F.array_position(F.array(*[F.col(f"{prefix}{fidx[c]}") > 0 for c in b]), True).cast("int")
 
+    tcast = train.select(*[F.col(f).cast("double").alias(f"__t{i}") for i, f in enumerate(feats)])
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for i in range(nf):
+        aggs += [F.approx_count_distinct(f"__t{i}").alias(f"d{i}"), F.min(f"__t{i}").alias(f"lo{i}"),
+                 F.max(f"__t{i}").alias(f"hi{i}")]
+    if blocks:
+        aggs.append(F.approx_count_distinct(F.struct(*[block_key("__t", b) for b in blocks])).alias("combos"))
+        aggs += [F.count_if(block_key("__t", b) == 0).alias(f"base{i}") for i, b in enumerate(blocks)]
+    st = tcast.agg(*aggs).first()
+    n = int(st["n"])
+    dims = sorted(range(nf), key=lambda i: (-int(st[f"d{i}"]), i))[:p]
+    target = target_per_cell or max(2 * k, 64)
     combos = 1
     gaps: list[dict] = []
     if blocks:
-        tb = train.select(*[F.col(c).cast("double").alias(f"__t{fidx[c]}") for b in blocks for c in b])
-        combos = max(1, tb.select(*[block_key("__t", b) for b in blocks]).distinct().count())
-        ga = train.agg(*[F.min(c).alias(f"mn{fidx[c]}") for b in blocks for c in b],
-                       *[F.max(c).alias(f"mx{fidx[c]}") for b in blocks for c in b]).first()
-        qa = queries.agg(*[F.max(c).alias(f"mx{fidx[c]}") for b in blocks for c in b]).first()
-        base = tb.agg(*[F.count_if(block_key("__t", b) == 0).alias(f"b{i}") for i, b in enumerate(blocks)]).first()
+        combos = max(1, int(st["combos"]))
+        qa = queries.agg(*[F.max(F.col(c).cast("double")).alias(f"mx{fidx[c]}") for b in blocks for c in b]).first()
         for i, b in enumerate(blocks):
             g = {}
             present = []
             for c in b:
                 j = fidx[c]
-                hot = max(float(ga[f"mx{j}"] or 0.0), float(qa[f"mx{j}"] or 0.0))
-                g[c] = hot - float(ga[f"mn{j}"] or 0.0)
-                if (ga[f"mx{j}"] or 0.0) > 0:
+                hot = max(float(st[f"hi{j}"] or 0.0), float(qa[f"mx{j}"] or 0.0))
+                g[c] = hot - float(st[f"lo{j}"] or 0.0)
+                if (st[f"hi{j}"] or 0.0) > 0:
                     present.append(g[c])
-            gaps.append({"gap": g, "present": sorted(present), "baseline": int(base[f"b{i}"]) > 0})
+            gaps.append({"gap": g, "present": sorted(present), "baseline": int(st[f"base{i}"]) > 0})
     cells = max(1, math.ceil((max(n, 1) / combos / target) ** (1.0 / p)))
     lo = {j: float(st[f"lo{j}"] or 0.0) for j in dims}
     hi = {j: float(st[f"hi{j}"] or 0.0) for j in dims}
@@ -183,12 +183,12 @@ def knn_join(queries: DataFrame, train: DataFrame, feats: Sequence[str], k: int,
                                        "__res": F.lit(bool(blocks))}))
     done: list[DataFrame] = []
     for _ in range(2 * max_levels + 2):
-        nxt = queue.agg(F.max(F.col("__res").cast("int")).alias("r")).first()["r"]
-        if nxt is None:
+        pend = {bool(r["__res"]): int(r["lvl"]) for r in
+                queue.groupBy("__res").agg(F.min("__lvl").alias("lvl")).collect()}
+        if not pend:
             break
-        restricted = bool(nxt)
-        lv = queue.where(F.col("__res") == restricted).agg(F.min("__lvl")).first()[0]
-        level = int(lv)
+        restricted = True in pend
+        level = pend[restricted]
         here = queue.where((F.col("__res") == restricted) & (F.col("__lvl") == level))
         top = cut_lineage(search(here.drop("__lvl", "__final", "__res"), level, restricted))
         summ = top.groupBy("__qid").agg(F.count(F.lit(1)).alias("__cnt"), F.max("dist").alias("__kth"))
@@ -210,8 +210,10 @@ def knn_join(queries: DataFrame, train: DataFrame, feats: Sequence[str], k: int,
         else:
             need = F.lit(level + 1)
         jump = F.greatest(need, F.lit(level + 1))
-        st = cut_lineage(st.select(*q.columns, ok.alias("__ok"), full.alias("__full"), inside.alias("__in"),
-                                   jump.alias("__jump"), F.col("__final").alias("__was_final")))
+        # small (one row per query of this level) and cheap to recompute from
+        # the two materialised inputs: used twice without its own cut
+        st = st.select(*q.columns, ok.alias("__ok"), full.alias("__full"), inside.alias("__in"),
+                       jump.alias("__jump"), F.col("__final").alias("__was_final"))
         done.append(top.join(st.where("__ok").select("__qid"), "__qid", "left_semi"))
         rest = st.where(~F.col("__ok"))
         if restricted:
