@@ -96,7 +96,7 @@ def boxcox_lambda(df: DataFrame, cols: Sequence[str] | None = None, long: DataFr
         return st.select("variable", "n", F.lit(0).alias("positive"), F.lit(None).cast("double").alias("bc_lambda"))
     gmap = F.create_map(*[F.lit(x) for v, g in gm.items() for x in (v, g)])
     pos = cut_lineage(data.where(F.col("variable").isin(list(gm)))
-                      .select("variable", (F.col("x") / gmap[F.col("variable")]).alias("z")))
+                      .select("variable", (F.col("x") / gmap[F.col("variable")]).alias("z")), min_partitions=True)
 
     def stage(centre: dict[str, float], half: int, step: float) -> dict[str, float]:
         # (variable, lambda) groups: one narrow var_pop, partial aggregation,
@@ -138,7 +138,8 @@ def zscore_fit(df: DataFrame, cols: Sequence[str], train: Column | None = None)
 
 def zscore_apply(df: DataFrame, params: dict[str, tuple[float, float]], suffix: str = "") -> DataFrame:
     """H7 apply: (x - mean) / std with the fitted literals."""
-    return df.withColumns({c + suffix: (F.col(c) - F.lit(m)) / F.lit(sd) for c, (m, sd) in params.items()})
+    return df.withColumns({c + suffix: F.expr(f"(`{c}` - CAST('{m!r}' AS DOUBLE)) / CAST('{sd!r}' AS DOUBLE)")
+                           for c, (m, sd) in params.items()})
 
 
 def zscore(df: DataFrame, cols: Sequence[str], train: Column | None = None, suffix: str = "") -> DataFrame:

@@ -41,6 +41,11 @@ from tabmill.session import cut_lineage
 BIG = 1e300
 
 
+def _d(x: float) -> str:
+    """Exact double literal for SQL text (a bare 1.5 would be DECIMAL)."""
+    return f"CAST('{float(x)!r}' AS DOUBLE)"
+
+
 def knn_join(queries: DataFrame, train: DataFrame, feats: Sequence[str], k: int,
              qid: str = "id", tid: str = "id", out_q: str = "qid", out_t: str = "tid",
              carry: Sequence[str] = (), grid_dims: int = 2, blocks: Sequence[Sequence[str]] = (),
@@ -61,7 +66,8 @@ def knn_join(queries: DataFrame, train: DataFrame, feats: Sequence[str], k: int,
 
     def block_key(prefix: str, b: list[str]) -> Column:
         # 1-based index of the hot dummy (z-scored: hot > 0 > cold), 0 = none
-        return F.array_position(F.array(*[F.col(f"{prefix}{fidx[c]}") > 0 for c in b]), True).cast("int")
+        arr = ", ".join(f"{prefix}{fidx[c]} > 0" for c in b)
+        return F.expr(f"CAST(array_position(array({arr}), true) AS INT)")
 
     tcast = train.select(*[F.col(f).cast("double").alias(f"__t{i}") for i, f in enumerate(feats)])
     aggs = [F.count(F.lit(1)).alias("n")]
@@ -117,24 +123,26 @@ def knn_join(queries: DataFrame, train: DataFrame, feats: Sequence[str], k: int,
     def block_bound() -> Column:
         """Lower bound on the distance to any training row whose level
         differs in some block: sqrt(gap(own)^2 + smallest other gap^2)."""
-        out = F.lit(BIG)
+        terms = []
         for i, b in enumerate(blocks):
             info = gaps[i]
-            own = F.lit(0.0)
-            for pos, c in enumerate(b, 1):
-                own = F.when(F.col(f"__b{i}") == pos, F.lit(info["gap"][c])).otherwise(own)
+            own = "CASE " + " ".join(f"WHEN __b{i} = {pos} THEN {_d(info['gap'][c])}" for pos, c in enumerate(b, 1)) \
+                + " ELSE CAST(0 AS DOUBLE) END"
             pres = info["present"]
-            cands = ([0.0] if info["baseline"] else []) + pres
-            smallest = F.lit(min(cands) if cands else BIG)
-            # the query's own level may be the smallest present one: use the next
-            second = F.lit(sorted(cands)[1] if len(cands) > 1 else BIG)
-            other = F.when(F.lit(len(pres) > 0) & (own == F.lit(pres[0] if pres else -1.0)) & F.lit(not info["baseline"]),
-                           second).otherwise(smallest)
-            other = F.when(F.col(f"__b{i}") == 0, F.lit(min(pres) if pres else BIG)).otherwise(other)
-            out = F.least(out, F.sqrt(own * own + other * other))
-        return out
+            cands = sorted(([0.0] if info["baseline"] else []) + pres)
+            smallest = cands[0] if cands else BIG
+            second = cands[1] if len(cands) > 1 else BIG
+            # the query's own level may be the smallest present one: then the next
+            if pres and not info["baseline"]:
+                other = f"CASE WHEN ({own}) = {_d(pres[0])} THEN {_d(second)} ELSE {_d(smallest)} END"
+            else:
+                other = f"{_d(smallest)}"
+            other = f"CASE WHEN __b{i} = 0 THEN {_d((min(pres) if pres else BIG))} ELSE {other} END"
+            terms.append(f"sqrt(({own}) * ({own}) + ({other}) * ({other}))")
+        return F.expr(f"least({', '.join(terms + [_d(BIG)])})")
 
-    dist = F.sqrt(sum(F.pow(F.col(f"__q{i}") - F.col(f"__t{i}"), 2) for i in range(nf)))
+    # one SQL expression: built in a single call instead of one per operator
+    dist = F.expr("sqrt(" + " + ".join(f"(__q{i} - __t{i}) * (__q{i} - __t{i})" for i in range(nf)) + ")")
     offsets = list(itertools.product([-1, 0, 1], repeat=p))
     live_w = [width[j] for j in dims if width[j] > 0]
     w_min = min(live_w) if live_w else 0.0
@@ -163,19 +171,18 @@ def knn_join(queries: DataFrame, train: DataFrame, feats: Sequence[str], k: int,
     def bound_and_cover(level: int) -> tuple[Column, Column]:
         """Distance from the query to the outside of its searched box (grid
         dims only) and whether the box covers the whole training range."""
-        s = 1 << level
-        bound = F.lit(BIG)
-        covers = F.lit(True)
+        sz = 1 << level
+        bounds, covers = [f"{_d(BIG)}"], ["true"]
         for j in dims:
-            cj = F.floor(F.col(f"__c{j}") / F.lit(s))
-            low_covered = (cj - 1) * s <= 0
-            high_covered = (cj + 2) * s >= nb[j]
-            d_low = F.col(f"__q{j}") - (F.lit(lo[j]) + (cj - 1) * s * F.lit(width[j]))
-            d_high = (F.lit(lo[j]) + (cj + 2) * s * F.lit(width[j])) - F.col(f"__q{j}")
-            bound = F.least(bound, F.when(low_covered, F.lit(BIG)).otherwise(d_low),
-                            F.when(high_covered, F.lit(BIG)).otherwise(d_high))
-            covers = covers & low_covered & high_covered
-        return bound, covers
+            cj = f"floor(__c{j} / {sz})"
+            low = f"(({cj} - 1) * {sz} <= 0)"
+            high = f"(({cj} + 2) * {sz} >= {nb[j]})"
+            d_low = f"(__q{j} - ({_d(lo[j])} + ({cj} - 1) * {sz} * {_d(width[j])}))"
+            d_high = f"(({_d(lo[j])} + ({cj} + 2) * {sz} * {_d(width[j])}) - __q{j})"
+            bounds += [f"CASE WHEN {low} THEN {_d(BIG)} ELSE {d_low} END",
+                       f"CASE WHEN {high} THEN {_d(BIG)} ELSE {d_high} END"]
+            covers += [low, high]
+        return F.expr(f"least({', '.join(bounds)})"), F.expr(" AND ".join(covers))
 
     # queue of (query, level, final, restricted): restricted searches run
     # first and stay inside the query's block levels
@@ -183,54 +190,65 @@ def knn_join(queries: DataFrame, train: DataFrame, feats: Sequence[str], k: int,
                                        "__res": F.lit(bool(blocks))}))
     done: list[DataFrame] = []
     for _ in range(2 * max_levels + 2):
-        pend = {bool(r["__res"]): int(r["lvl"]) for r in
-                queue.groupBy("__res").agg(F.min("__lvl").alias("lvl")).collect()}
-        if not pend:
+        # every pending (mode, level) group is searched in this round: one
+        # union of searches, one materialised top-k table
+        groups = sorted((bool(r["__res"]), int(r["__lvl"])) for r in
+                        queue.select("__res", "__lvl").distinct().collect())
+        if not groups:
             break
-        restricted = True in pend
-        level = pend[restricted]
-        here = queue.where((F.col("__res") == restricted) & (F.col("__lvl") == level))
-        top = cut_lineage(search(here.drop("__lvl", "__final", "__res"), level, restricted))
+        heres = {g: queue.where((F.col("__res") == g[0]) & (F.col("__lvl") == g[1])) for g in groups}
+        tops = [search(h.drop("__lvl", "__final", "__res"), g[1], g[0]) for g, h in heres.items()]
+        top = tops[0]
+        for x in tops[1:]:
+            top = top.unionByName(x)
+        top = cut_lineage(top)
         summ = top.groupBy("__qid").agg(F.count(F.lit(1)).alias("__cnt"), F.max("dist").alias("__kth"))
-        bound, covers = bound_and_cover(level)
-        st = here.join(summ, "__qid", "left").withColumn("__cnt", F.coalesce("__cnt", F.lit(0)))
-        full = F.col("__cnt") >= k
-        if restricted:
-            bb = block_bound()
-            inside = full & (F.col("__kth") < bb)          # true neighbours share the block levels
-            ok = (F.col("__final") & inside) | (inside & (covers | (F.col("__kth") < bound)))
-        else:
-            inside = F.lit(True)
-            ok = F.col("__final") | covers | (full & (F.col("__kth") < bound))
-        # a query holding k candidates knows a radius (its k-th distance)
-        # containing its true k nearest: jump to the first level whose box
-        # reaches that far in every grid dimension - final there.
-        if w_min > 0:
-            need = F.ceil(F.log2(F.greatest(F.col("__kth") / F.lit(w_min), F.lit(1.0)))).cast("int")
-        else:
-            need = F.lit(level + 1)
-        jump = F.greatest(need, F.lit(level + 1))
-        # small (one row per query of this level) and cheap to recompute from
-        # the two materialised inputs: used twice without its own cut
-        st = st.select(*q.columns, ok.alias("__ok"), full.alias("__full"), inside.alias("__in"),
-                       jump.alias("__jump"), F.col("__final").alias("__was_final"))
-        done.append(top.join(st.where("__ok").select("__qid"), "__qid", "left_semi"))
-        rest = st.where(~F.col("__ok"))
-        if restricted:
-            # stay restricted (jump) while the k-th distance is inside the block
-            # bound; otherwise open the search, jumping by the known radius
-            moved = rest.select(*q.columns,
-                                F.when(F.col("__full"), F.col("__jump")).otherwise(F.lit(0)).alias("__lvl"),
-                                F.col("__full").alias("__final"),
-                                (F.col("__in") & ~F.col("__was_final")).alias("__res"))
-            moved = moved.withColumn("__lvl", F.when(F.col("__res"), F.col("__lvl")).otherwise(
-                F.when(F.col("__final"), F.col("__lvl")).otherwise(F.lit(0))))
-        else:
-            moved = rest.select(*q.columns,
-                                F.when(F.col("__full"), F.col("__jump")).otherwise(F.lit(level + 1)).alias("__lvl"),
-                                F.col("__full").alias("__final"), F.lit(False).alias("__res"))
-        remaining = queue.where(~((F.col("__res") == restricted) & (F.col("__lvl") == level)))
-        queue = cut_lineage(remaining.unionByName(moved))
+        oks, moves = [], []
+        for (restricted, level), here in heres.items():
+            bound, covers = bound_and_cover(level)
+            st = here.join(summ, "__qid", "left").withColumn("__cnt", F.coalesce("__cnt", F.lit(0)))
+            full = F.col("__cnt") >= k
+            if restricted:
+                bb = block_bound()
+                inside = full & (F.col("__kth") < bb)          # true neighbours share the block levels
+                ok = (F.col("__final") & inside) | (inside & (covers | (F.col("__kth") < bound)))
+            else:
+                inside = F.lit(True)
+                ok = F.col("__final") | covers | (full & (F.col("__kth") < bound))
+            # a query holding k candidates knows a radius (its k-th distance)
+            # containing its true k nearest: jump to the first level whose box
+            # reaches that far in every grid dimension - final there.
+            if w_min > 0:
+                need = F.ceil(F.log2(F.greatest(F.col("__kth") / F.lit(w_min), F.lit(1.0)))).cast("int")
+            else:
+                need = F.lit(level + 1)
+            jump = F.greatest(need, F.lit(level + 1))
+            st = st.select(*q.columns, ok.alias("__ok"), full.alias("__full"), inside.alias("__in"),
+                           jump.alias("__jump"), F.col("__final").alias("__was_final"))
+            oks.append(st.where("__ok").select("__qid"))
+            rest = st.where(~F.col("__ok"))
+            if restricted:
+                # stay restricted (jump) while the k-th distance is inside the
+                # block bound; otherwise open the search, jumping by the radius
+                moved = rest.select(*q.columns,
+                                    F.when(F.col("__full"), F.col("__jump")).otherwise(F.lit(0)).alias("__lvl"),
+                                    F.col("__full").alias("__final"),
+                                    (F.col("__in") & ~F.col("__was_final")).alias("__res"))
+                moved = moved.withColumn("__lvl", F.when(F.col("__res"), F.col("__lvl")).otherwise(
+                    F.when(F.col("__final"), F.col("__lvl")).otherwise(F.lit(0))))
+            else:
+                moved = rest.select(*q.columns,
+                                    F.when(F.col("__full"), F.col("__jump")).otherwise(F.lit(level + 1)).alias("__lvl"),
+                                    F.col("__full").alias("__final"), F.lit(False).alias("__res"))
+            moves.append(moved)
+        ok_ids = oks[0]
+        for x in oks[1:]:
+            ok_ids = ok_ids.unionByName(x)
+        done.append(top.join(ok_ids, "__qid", "left_semi"))
+        nxt = moves[0]
+        for x in moves[1:]:
+            nxt = nxt.unionByName(x)
+        queue = cut_lineage(nxt)
     t.unpersist()
     out = done[0]
     for d in done[1:]:

@@ -69,7 +69,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or scratch
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, min_partitions: bool = False) -> DataFrame:
     """Materialise ``df`` as a Parquet table in the reliable checkpoint
     folder and read it back, cutting the lineage.
 
@@ -78,11 +78,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     recomputes one step, not the whole chain.  One write job (an RDD
     checkpoint would compute its input twice unless cached), and the
     re-read table carries real sizes for AQE's join planning.
+    ``min_partitions`` spreads a narrow input (one unsplittable file) over
+    the default parallelism first, for callers that fan rows out next.
     """
     import uuid
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/tabmill-cut-{uuid.uuid4().hex}"
-    spread(df).write.mode("overwrite").parquet(path)
+    (spread(df) if min_partitions else df).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
