@@ -89,8 +89,13 @@ def chi2_test(df: DataFrame, a: str, b: str, yates: bool = True, keys: Sequence[
               weight: str | None = None) -> DataFrame:
     """H4: Pearson chi-square of the a x b table: statistic, dof, p, n.
     Yates' correction applies when dof = 1 (SciPy's default)."""
+    return chi2_from_table(contingency(df, a, b, keys, weight), yates, keys)
+
+
+def chi2_from_table(full: DataFrame, yates: bool = True, keys: Sequence[str] = ()) -> DataFrame:
+    """H4 on an already built ``contingency`` table (reuse it for both the
+    table and the test)."""
     keys = list(keys)
-    full = contingency(df, a, b, keys, weight)
     agg = full.groupBy(*keys).agg(
         F.sum(_chi2_terms(full, yates)).alias("statistic"),
         F.first((F.col("n_a") - 1) * (F.col("n_b") - 1)).alias("dof"),

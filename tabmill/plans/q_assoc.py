@@ -8,6 +8,7 @@ from tabmill.functions.pvalues import chi2_sf_sql, normal_two_sided_sql
 from tabmill.operators import assoc
 from tabmill.plans.inputs import STUDY_SQL, URGENT, study, urgent
 from tabmill.plans.registry import query
+from tabmill.session import cut_lineage
 from tabmill.sources.tables import table
 
 R = 6  # digits kept on floating outputs (engines sum in different orders)
@@ -34,8 +35,10 @@ def segment_urgency(spark: SparkSession, sf: str) -> DataFrame:
     """Crosstab segment x urgent (counts, row shares, expected) with the
     chi-square test, its p-value and the decision against alpha(n)."""
     rows = orders_segment(spark, sf)
-    full = assoc.contingency(rows, "c_mktsegment", "urgent", weight="n")
-    test = assoc.chi2_test(rows, "c_mktsegment", "urgent", weight="n")
+    # the contingency table is tiny (levels x levels): materialise it once and
+    # derive both the table and the test from it
+    full = cut_lineage(assoc.contingency(rows, "c_mktsegment", "urgent", weight="n"))
+    test = assoc.chi2_from_table(full)
     t = test.select(F.struct("statistic", "dof", "p_value", "n").alias("t")).scalar()
     alpha = assoc.alpha_by_n(t["n"])
     return full.select(
