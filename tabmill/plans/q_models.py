@@ -294,3 +294,20 @@ def cluster_profile(spark, sf):
     return k.groupBy(F.col("cluster").cast("int").alias("cluster")).agg(
         F.count(F.lit(1)).alias("n"), *[_r(F.avg(c)).alias(f"mean_{c}") for c in KM_COLS],
         _r(F.avg("label")).alias("label_share"))
+
+
+@query("oof_predictions")
+def oof_predictions(spark, sf):
+    """Out-of-fold probabilities of several model families in one long
+    table (id, fold, label, model, proba) - the per-run score columns of a
+    wide results table, kept long so more runs are a union, not new columns."""
+    d = _data(spark, sf)
+    n = d.count()
+    makers = {"logit_1": lambda: md.logistic(n, 1.0),
+              "rfc_1": lambda: RandomForestClassifier(seed=43, numTrees=20, maxDepth=4)}
+    labels = d.select("id", "label")
+    out = None
+    for name, make in makers.items():
+        p = md.oof_predictions(make, d, "id").select("id", "fold", F.lit(name).alias("model"), "proba")
+        out = p if out is None else out.unionByName(p)
+    return out.join(labels, "id").select("id", "fold", "label", "model", _r(F.col("proba")).alias("proba"))
