@@ -21,9 +21,12 @@ from tabmill.operators.ordering import running_sums
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Text scan with a line number that follows the file: ids increase
     within a split and splits of one file are ordered by offset (several
-    files are packed by size, so their relative order is not kept)."""
+    files are packed by size, so their relative order is not kept).  The
+    numbered lines are materialised once in the checkpoint folder, so every
+    later branch (and any recomputation) sees the same numbers."""
+    from tabmill.session import cut_lineage
     df = spark.read.text(path)
-    return df.select(F.monotonically_increasing_id().alias("line_no"), "value")
+    return cut_lineage(df.select(F.monotonically_increasing_id().alias("line_no"), "value"))
 
 
 def token_stream(lines: DataFrame, line_col: str = "line_no", value_col: str = "value") -> DataFrame:
