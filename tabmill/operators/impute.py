@@ -43,12 +43,21 @@ def one_hot(df: DataFrame, cols: Sequence[str], drop_first: bool = False,
     levels = dict(levels or {})
     names: list[str] = []
     out = {}
-    for c in cols:
-        if c not in levels:
-            vals = [r[0] for r in df.select(c).distinct().limit(MAX_LEVELS_ONE_HOT + 1).collect()]
-            if len(vals) > MAX_LEVELS_ONE_HOT:
+    todo = [c for c in cols if c not in levels]
+    if todo:
+        # one distributed distinct over (column, value) pairs for all columns,
+        # capped: a categorical's domain, never an unbounded collect
+        pairs = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in todo]))
+                          .alias("p")).select("p.c", "p.v").distinct()
+        cap = MAX_LEVELS_ONE_HOT * len(todo) + 1
+        got: dict[str, list] = {c: [] for c in todo}
+        for r in pairs.limit(cap).collect():
+            got[r["c"]].append(r["v"])
+        for c in todo:
+            if len(got[c]) > MAX_LEVELS_ONE_HOT:
                 raise ValueError(f"{c}: more than {MAX_LEVELS_ONE_HOT} levels; not categorical")
-            levels[c] = sorted(v for v in vals if v is not None)
+            levels[c] = sorted(v for v in got[c] if v is not None)
+    for c in cols:
         lv = levels[c][1:] if drop_first else levels[c]
         for v in lv:
             name = f"{c}_{v}"
@@ -79,12 +88,14 @@ def knn_impute(df: DataFrame, id_col: str, spec: ImputeSpec, predictors: Sequenc
     z = cut_lineage(zscore(enc, feats, train=is_train))
     train = z.where(is_train)
     query = z.where(~is_train)
-    n_train = train.count()
-    k = int(round(n_train ** 0.5))          # Python round: half to even
-    if spec.force_odd and k % 2 == 0:
-        k -= 1
-    k = max(k, 1)
-    nb = knn.knn_join(query, train, feats, k, id_col, id_col, out_q=id_col, out_t="__tid", carry=[t],
+
+    def k_of(n_train: int) -> int:
+        k = int(round(n_train ** 0.5))          # Python round: half to even
+        if spec.force_odd and k % 2 == 0:
+            k -= 1
+        return max(k, 1)
+
+    nb = knn.knn_join(query, train, feats, k_of, id_col, id_col, out_q=id_col, out_t="__tid", carry=[t],
                       blocks=blocks, salt=salt)
     if spec.kind == "class":
         pred = knn.vote(nb, id_col, t)
@@ -112,10 +123,13 @@ def impute_chain(df: DataFrame, id_col: str, specs: Sequence[ImputeSpec], catego
     counts = df.agg(*[F.count_if(F.col(s.target) == sentinel).alias(s.target) for s in specs]).first()
     order = sorted(by_name, key=lambda c: (counts[c], c))
     cur = df
+    # columns complete now: found once, then each imputed column joins them
+    complete = complete_predictors(cur, [id_col, *exclude], sentinel)
     for target in order:
         if counts[target] == 0:
             continue
-        preds = complete_predictors(cur, [id_col, target, *exclude], sentinel)
+        preds = [c for c in cur.columns if c in set(complete) and c != target]
         p = knn_impute(cur, id_col, by_name[target], preds, categorical, sentinel)
         cur = cut_lineage(apply_imputation(cur, id_col, target, p))
+        complete.append(target)
     return cur

@@ -46,7 +46,7 @@ def _d(x: float) -> str:
     return f"CAST('{float(x)!r}' AS DOUBLE)"
 
 
-def knn_join(queries: DataFrame, train: DataFrame, feats: Sequence[str], k: int,
+def knn_join(queries: DataFrame, train: DataFrame, feats: Sequence[str], k,
              qid: str = "id", tid: str = "id", out_q: str = "qid", out_t: str = "tid",
              carry: Sequence[str] = (), grid_dims: int = 2, blocks: Sequence[Sequence[str]] = (),
              salt: int = 4, target_per_cell: int | None = None, max_levels: int = 64) -> DataFrame:
@@ -55,10 +55,10 @@ def knn_join(queries: DataFrame, train: DataFrame, feats: Sequence[str], k: int,
     columns of the two inputs; ``carry`` are training columns passed
     through (labels / values to vote on).  ``blocks`` lists groups of
     feature columns that are one z-scored one-hot encoding each: they
-    become exact-match keys of a first, restricted search."""
+    become exact-match keys of a first, restricted search.  ``k`` is an int
+    or a function of the number of training rows (counted in the fit pass)."""
     feats = list(feats)
     blocks = [list(b) for b in blocks]
-    k = int(k)
     nf = len(feats)
     p = max(1, min(grid_dims, nf))
     # --- fit the grid on the training rows: one aggregate, O(#features) result
@@ -79,6 +79,7 @@ def knn_join(queries: DataFrame, train: DataFrame, feats: Sequence[str], k: int,
         aggs += [F.count_if(block_key("__t", b) == 0).alias(f"base{i}") for i, b in enumerate(blocks)]
     st = tcast.agg(*aggs).first()
     n = int(st["n"])
+    k = int(k(n)) if callable(k) else int(k)
     dims = sorted(range(nf), key=lambda i: (-int(st[f"d{i}"]), i))[:p]
     target = target_per_cell or max(2 * k, 64)
     combos = 1
