@@ -251,6 +251,11 @@ def knn_join(queries: DataFrame, train: DataFrame, feats: Sequence[str], k,
             nxt = nxt.unionByName(x)
         queue = cut_lineage(nxt)
     t.unpersist()
+    if not done:   # no query rows: an empty result with the same schema
+        empty = q.select("__qid").limit(0)
+        return empty.select(F.col("__qid").alias(out_q), F.lit(None).cast(train.schema[tid].dataType).alias(out_t),
+                            F.lit(None).cast("double").alias("dist"), F.lit(None).cast("int").alias("rank"),
+                            *[F.lit(None).cast(train.schema[c].dataType).alias(c) for c in carry])
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

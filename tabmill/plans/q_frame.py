@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tabmill.functions import scalars
 from tabmill.operators import frame, profile
-from tabmill.operators.ordering import row_index
 from tabmill.plans.inputs import (DATE_PARTS_SQL, DUP_IDS_SQL, PACKED_TOKENS_SQL, SCORES_SQL, SEGMENTS, STUDY_MISSING_SQL,
                                   STUDY_SQL, date_parts, dup_ids, packed_lines, scores, study, study_missing)
 from tabmill.plans.registry import query

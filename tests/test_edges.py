@@ -244,3 +244,9 @@ def test_knn_join_with_one_hot_blocks_equals_brute_force(spark):
         qv = [r[f] for f in feats]
         d = sorted((round(math.dist(qv, tv), 9), tid) for tid, tv in tl)[:k]
         assert [t for _, t in sorted(res[r["id"]])] == [t for _, t in d]
+
+
+def test_knn_join_without_queries(spark):
+    tr = spark.createDataFrame([(1, 0.0, 1.0), (2, 1.0, 0.0)], "id long, x double, y double")
+    out = knn.knn_join(tr.limit(0), tr, ["x", "y"], 1)
+    assert out.count() == 0 and out.columns == ["qid", "tid", "dist", "rank"]
