@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.ml import Estimator
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
@@ -26,6 +27,32 @@ from tabmill.functions.pvalues import chi2_sf
 FEATURES = "features"
 
 
+@dataclass(frozen=True)
+class FeatureSet:
+    """One modelling run's columns - drop these, one-hot encode those
+    (the categorical list), keep the rest.  ``groups`` maps every variable
+    to its exact list of model columns (a categorical to its dummies), so
+    eliminations never match siblings by substring."""
+    name: str
+    drop: tuple[str, ...] = ()
+    categorical: tuple[str, ...] = ()
+    drop_first: bool = False
+
+    def apply(self, df: DataFrame, exclude: Sequence[str] = ()) -> tuple[DataFrame, list[str], dict[str, list[str]]]:
+        from tabmill.operators.impute import one_hot
+        kept = [c for c in df.columns if c not in set(self.drop)]
+        base = df.select(*kept)
+        cats = [c for c in self.categorical if c in kept]
+        enc, dummies = one_hot(base, cats, drop_first=self.drop_first)
+        enc = enc.withColumns({c: F.col(c).cast("double") for c in dummies})
+        groups = {c: [d for d in dummies if d.startswith(f"{c}_")] for c in cats}
+        for c in kept:
+            if c not in set(cats) and c not in set(exclude):
+                groups[c] = [c]
+        cols = [c for g in groups.values() for c in g]
+        return enc, cols, groups
+
+
 def assemble(df: DataFrame, cols: Sequence[str], out: str = FEATURES) -> DataFrame:
     return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="error").transform(df)
 

@@ -120,16 +120,22 @@ def logit_inference(spark, sf):
     return c.select("*", *[f[x].alias(x) for x in ("n", "k", *names)])
 
 
+# The feature sets of the model runs (drop list + categorical list)
+FEATURE_SETS = {
+    "regression": md.FeatureSet("regression", drop=("seg", "nation", "big"), categorical=("region",), drop_first=True),
+    "trees": md.FeatureSet("trees", drop=("seg", "nation", "big"), categorical=("region",)),
+}
+
+
 @query("forward_selection")
 def forward_selection(spark, sf):
-    """Forward selection by rank with region as a dummy group."""
-    s = study(spark, sf)
-    z = zscore(s, FEATS)
-    enc, dummies = one_hot(z, ["region"], drop_first=True)
-    enc = cut_lineage(enc.withColumns({c: F.col(c).cast("double") for c in dummies}))
-    groups = {"region": dummies}
+    """Forward selection by rank with region as a dummy group (the
+    regression feature set: first level dropped)."""
+    z = zscore(study(spark, sf), FEATS)
+    enc, _, groups = FEATURE_SETS["regression"].apply(z, exclude=["id", "label"])
+    enc = cut_lineage(enc)
     ranking = ["avg_price", "region", "acctbal", "n_orders", "share_f", "max_price"]
-    return md.forward_select(enc, "label", ranking, groups, alpha=0.04)
+    return md.forward_select(enc, "label", ranking, {"region": groups["region"]}, alpha=0.04)
 
 
 # ---- J11 / J12: forests -----------------------------------------------------------------------------
@@ -150,9 +156,9 @@ def backward_elimination(spark, sf):
     """Drop the weakest variable group while all its columns are below
     0.01 importance (region as one group of dummies)."""
     s = zscore(study(spark, sf), FEATS)
-    enc, dummies = one_hot(s, ["region"])
-    enc = cut_lineage(enc.withColumns({c: F.col(c).cast("double") for c in dummies}))
-    groups = {**{f: [f] for f in FEATS}, "region": dummies}
+    enc, _, groups = FEATURE_SETS["trees"].apply(s, exclude=["id", "label"])
+    enc = cut_lineage(enc)
+    groups = {v: g for v, g in groups.items() if v in set(FEATS) | {"region"}}
     return md.backward_eliminate(enc, groups, lambda: RandomForestClassifier(seed=43, numTrees=20, maxDepth=4),
                                  threshold=0.01)
 
