@@ -45,22 +45,29 @@ def contingency(df: DataFrame, a: str, b: str, keys: Sequence[str] = (),
     # the data pass: one partial aggregate; all later joins are between
     # aggregated tables of (levels_a x levels_b) rows per key
     cnt = _counts(df, a, b, keys, weight)
-    if not keys:
-        cnt = cnt.withColumn("__k", F.lit(0))
-    kk = keys or ["__k"]
-    b_levels = cnt.groupBy(*kk).agg(F.array_sort(F.collect_set(b)).alias("__bl"))
-    b_levels = b_levels.withColumn("__bl", F.when(F.size("__bl") > MAX_LEVELS,
-                                                  F.raise_error(F.lit("too many levels"))).otherwise(F.col("__bl")))
-    a_levels = cnt.select(*kk, a).distinct()
-    grid = a_levels.join(b_levels, kk, "inner").select(*kk, a, F.explode("__bl").alias(b))
-    full = grid.join(cnt, [*kk, a, b], "left").fillna(0, ["observed"])
-    rows = cnt.groupBy(*kk, a).agg(F.sum("observed").alias("row_total"))
-    cols = cnt.groupBy(*kk, b).agg(F.sum("observed").alias("col_total"))
-    tot = cnt.groupBy(*kk).agg(F.sum("observed").alias("n"), F.countDistinct(a).alias("n_a"),
-                               F.countDistinct(b).alias("n_b"))
-    full = full.join(rows, [*kk, a]).join(cols, [*kk, b]).join(tot, kk)
-    if not keys:
-        full = full.drop("__k")
+
+    def guarded(levels: Column) -> Column:
+        return F.when(F.size(levels) > MAX_LEVELS, F.raise_error(F.lit("too many levels"))).otherwise(levels)
+
+    rows = cnt.groupBy(*keys, a).agg(F.sum("observed").alias("row_total"))
+    cols = cnt.groupBy(*keys, b).agg(F.sum("observed").alias("col_total"))
+    tot_aggs = [F.sum("observed").alias("n"), F.countDistinct(a).alias("n_a"), F.countDistinct(b).alias("n_b")]
+    if keys:
+        b_levels = cnt.groupBy(*keys).agg(guarded(F.array_sort(F.collect_set(b))).alias("__bl"))
+        grid = cnt.select(*keys, a).distinct().join(b_levels, keys, "inner").select(
+            *keys, a, F.explode("__bl").alias(b))
+        full = grid.join(cnt, [*keys, a, b], "left").fillna(0, ["observed"])
+        full = full.join(rows, [*keys, a]).join(cols, [*keys, b]).join(cnt.groupBy(*keys).agg(*tot_aggs), keys)
+    else:
+        # one table: its column levels and totals are scalar subqueries (no
+        # join on a constant key, which the optimizer would turn into a
+        # cartesian product)
+        b_levels = cnt.select(guarded(F.array_sort(F.collect_set(b)))).scalar()
+        grid = cnt.select(a).distinct().select(a, F.explode(b_levels).alias(b))
+        full = grid.join(cnt, [a, b], "left").fillna(0, ["observed"])
+        full = full.join(rows, a).join(cols, b)
+        t = cnt.select(F.struct(*tot_aggs).alias("t")).scalar()
+        full = full.withColumns({"n": t["n"], "n_a": t["n_a"], "n_b": t["n_b"]})
     return full.withColumn("expected", F.col("row_total") * F.col("col_total") / F.col("n").cast("double"))
 
 
