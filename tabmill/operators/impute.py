@@ -74,12 +74,15 @@ def complete_predictors(df: DataFrame, exclude: Sequence[str], sentinel=SENTINEL
 
 
 def knn_impute(df: DataFrame, id_col: str, spec: ImputeSpec, predictors: Sequence[str],
-               categorical: Sequence[str], sentinel=SENTINEL, salt: int = 4) -> DataFrame:
+               categorical: Sequence[str], sentinel=SENTINEL, salt: int = 4,
+               materialized: bool = False) -> DataFrame:
     """(id, prediction) for every row whose target is the
-    sentinel."""
+    sentinel.  ``materialized`` says the input is already a cut table."""
     t = spec.target
     # the fit steps below (levels, scaler, grid) each read the input: read it once
-    base = cut_lineage(df.select(id_col, t, *predictors))
+    base = df.select(id_col, t, *predictors)
+    if not materialized:
+        base = cut_lineage(base)
     cats = [c for c in predictors if c in set(categorical)]
     enc, dummies = one_hot(base, cats)
     blocks = [[d for d in dummies if d.startswith(f"{c}_")] for c in cats]
@@ -129,7 +132,7 @@ def impute_chain(df: DataFrame, id_col: str, specs: Sequence[ImputeSpec], catego
         if counts[target] == 0:
             continue
         preds = [c for c in cur.columns if c in set(complete) and c != target]
-        p = knn_impute(cur, id_col, by_name[target], preds, categorical, sentinel)
+        p = knn_impute(cur, id_col, by_name[target], preds, categorical, sentinel, materialized=True)
         cur = cut_lineage(apply_imputation(cur, id_col, target, p))
         complete.append(target)
     return cur
