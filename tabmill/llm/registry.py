@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabmill.llm import dedup_mph
+from tabmill.llm import dedup_mph, mix
 from tabmill.sources.tables import table
 
 
@@ -15,6 +15,7 @@ def _docs(op: Callable[[DataFrame], DataFrame], name: str = "documents"):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_entropy_mix": _docs(mix.query),
     "op2_exact_dedup": _docs(dedup_mph.query),
 }
 
