@@ -30,7 +30,7 @@ from tabmill.llm.common import fresh
 #: Characters up to which a text is encoded in one go.
 LONG = 32_768
 #: White space as the pattern's \s has it.
-_WS = "\t-\r \x85\xa0  -     　"
+_WS = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _CUT = re.compile(f"(?<=[^{_WS}])(?=[{_WS}])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
 _RUN = re.compile(f"[{_WS}]{{10000,}}")
 #: Largest rank file that is sent to the executors.
