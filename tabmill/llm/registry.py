@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabmill.llm import bpe, dedup_mph, mix, quality_zstd
+from tabmill.llm import bpe, dedup_mph, jaccard_rtree, mix, quality_zstd
 from tabmill.sources.tables import table
 
 
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_entropy_mix": _docs(mix.query),
     "op2_exact_dedup": _docs(dedup_mph.query),
     "op3_byte_bpe": _docs(bpe.query),
+    "op7_jaccard_rtree": _docs(jaccard_rtree.query),
     "op8_quality_zstd": lambda spark, sf_dir: quality_zstd.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
 }
 
