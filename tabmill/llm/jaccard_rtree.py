@@ -1,6 +1,6 @@
 """N-gram Jaccard join by count-vector R-trees.
 
-A document is its set of distinct 3-word shingles.  Shingles are hashed into
+A document is its set of distinct shingles (3 words unless given).  Shingles are hashed into
 groups and the counts per group make the document a point; the overlap of
 two sets is at most the sum of the coordinate minima, so a pair (or a pair
 of R-tree boxes, by their upper corners) whose sum is too small for the
@@ -18,8 +18,8 @@ components is joined with itself by an R-tree, and only pairs across
 components are verified.
 
 Defined results: ASCII letters are lower-cased and words are runs of
-anything but ASCII white space; texts of one or two words have that whole
-sequence as their only shingle; null, empty and blank texts have an empty
+anything but ASCII white space; texts with fewer words than a shingle have that
+whole sequence as their only shingle; null, empty and blank texts have an empty
 set and link with nothing; a null id takes part like any other but has no
 component of its own (its component_id is the smallest id in reach, or
 null); repeated rows share a component; an empty table gives no rows; other
@@ -29,6 +29,7 @@ columns are not read, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -87,11 +88,17 @@ def shingles(text: bytes | None, words: int = WORDS) -> np.ndarray:
     return np.unique(h)
 
 
+@lru_cache
 def _scheme(c: int, threshold: int) -> tuple[int, int]:
-    """Groups and allowed differences for sets whose larger one has 2^c to 2^(c+1) - 1 shingles."""
+    """Groups and allowed differences for sets whose larger one has 2^c to
+    2^(c+1) - 1 shingles: so many groups more than differences that a hashed
+    set of the class rarely leaves as many empty."""
     largest = (2 << c) - 1
     differ = 2 * largest * (100 - threshold) // (100 + threshold)
-    return differ + 3 + (differ + 1) // 12, differ
+    spare = 0.05
+    while spare < 1 and spare / (1 + spare) < 1.4 * np.exp(-(1 << c) / max(1, differ) / (1 + spare)):
+        spare += 0.05
+    return differ + 3 + int(differ * spare), differ
 
 
 def cells(s: np.ndarray, threshold: int = THRESHOLD) -> np.ndarray:
@@ -117,14 +124,14 @@ def counts(s: np.ndarray) -> np.ndarray:
     return np.bincount((s >> _U(40)).astype(np.int64) % DIMS, minlength=DIMS).astype(np.int32)
 
 
-def _points(threshold: int):
+def _points(threshold: int, words: int):
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols = {k: [] for k in ("n", "digest", "counts", "cells")}
             for t in b.column("text"):
-                s = shingles(t.as_py())
+                s = shingles(t.as_py(), words)
                 cols["n"].append(len(s))
                 cols["digest"].append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 cols["counts"].append(counts(s).tobytes())
@@ -136,9 +143,9 @@ def _points(threshold: int):
     return run
 
 
-def points(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def points(rows: DataFrame, threshold: int = THRESHOLD, words: int = WORDS) -> DataFrame:
     """rid, doc_id, n (set size), digest of the set, counts and cells; written once."""
-    return cut_lineage(rows.mapInArrow(_points(threshold), "rid long, doc_id long, n long, digest binary, counts binary, cells binary"))
+    return cut_lineage(rows.mapInArrow(_points(threshold, words), "rid long, doc_id long, n long, digest binary, counts binary, cells binary"))
 
 
 def least_overlap(a, b, threshold: int = THRESHOLD):
@@ -247,7 +254,7 @@ def _shared_cells(classes: DataFrame) -> DataFrame:
     return cut_lineage(many.join(hubs, "cell"))
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+def _verify(pairs: DataFrame, texts: DataFrame, threshold: int, words: int) -> DataFrame:
     """The pairs (a, b, a_n, b_n) that reach the similarity.  The texts of
     pairs with the same a are compared in chunks of ``VERIFY``, so a text
     that very many others may resemble is read by many tasks."""
@@ -259,10 +266,10 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
 
     def compare(p: pd.DataFrame) -> pd.DataFrame:
         first = p["side"] == 0
-        a = shingles(p.loc[first, "text"].iloc[0])
+        a = shingles(p.loc[first, "text"].iloc[0], words)
         out = []
         for b, t in zip(p.loc[~first, "class_id"], p.loc[~first, "text"]):
-            s = shingles(t)
+            s = shingles(t, words)
             both = len(np.intersect1d(a, s, assume_unique=True))
             if 100 * both >= threshold * (len(a) + len(s) - both):
                 out.append(b)
@@ -318,12 +325,12 @@ def _across(cells_of: DataFrame, labels: DataFrame, classes: DataFrame, threshol
     return lower.union(upper).groupBy("cell", "i", "j").applyInPandas(join, "a long, b long").distinct()
 
 
-def near_groups(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def near_groups(rows: DataFrame, threshold: int = THRESHOLD, words: int = WORDS) -> DataFrame:
     """rid, doc_id, n, comp of each row (rid, doc_id, text as binary).
 
     comp numbers the components by their smallest rid; null for empty sets.
     """
-    pts = points(rows, threshold)
+    pts = points(rows, threshold, words)
     own = pts.where("digest IS NOT NULL")
     classes = cut_lineage(own.groupBy("digest").agg(F.min("rid").alias("class_id")))
     rep = cut_lineage(own.join(classes.select(F.col("class_id").alias("rid")), "rid")
@@ -331,9 +338,9 @@ def near_groups(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     texts = rows.select(F.col("rid").alias("class_id"), "text")
     shared = _shared_cells(rep)
     star = shared.where("class_id != hub").select(F.col("hub").alias("a"), F.col("class_id").alias("b")).distinct()
-    links = _verify(_bounded(star, rep, threshold), texts, threshold)
+    links = _verify(_bounded(star, rep, threshold), texts, threshold, words)
     labels = components(links)
-    more = _verify(_bounded(_across(shared.drop("hub"), labels, rep, threshold), rep, threshold), texts, threshold)
+    more = _verify(_bounded(_across(shared.drop("hub"), labels, rep, threshold), rep, threshold), texts, threshold, words)
     if not more.isEmpty():
         labels = components(links.union(more))
     named = classes.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select(
@@ -361,13 +368,13 @@ def query(docs: DataFrame) -> DataFrame:
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
-def one_per_group(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_per_group(docs: DataFrame, threshold: int = THRESHOLD, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, all columns: the first of each group
     (smallest id) and every row without words.  The input is written once
     with a row locator."""
     rid = fresh(docs, "rid")
     held = cut_lineage(docs.withColumn(rid, F.monotonically_increasing_id()))
-    found = cut_lineage(near_groups(_rows(held, id_col, text_col, rid), threshold))
+    found = cut_lineage(near_groups(_rows(held, id_col, text_col, rid), threshold, words))
     first = found.where("comp IS NOT NULL").groupBy("comp").agg(
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("m")).select("comp", F.col("m.rid").alias("keep"))
     gone = found.join(first, "comp").where("rid != keep").select(F.col("rid").alias(rid))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from tabmill.llm import bpe, dedup_mph, jaccard_rtree, mix, quality_zstd
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": _docs(bpe.query),
     "op7_jaccard_rtree": _docs(jaccard_rtree.query),
     "op8_quality_zstd": lambda spark, sf_dir: quality_zstd.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
