@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from tabmill.llm import bpe, dedup_mph, jaccard_rtree, mix, quality_zstd
+from tabmill.llm import bpe, chat_collapse, dedup_mph, jaccard_rtree, mix, quality_zstd, shard_prefix
 from tabmill.sources.tables import table
 
 
@@ -21,6 +21,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": _docs(bpe.query),
     "op7_jaccard_rtree": _docs(jaccard_rtree.query),
     "op8_quality_zstd": lambda spark, sf_dir: quality_zstd.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
+    "op9_shard_prefix": _docs(shard_prefix.query),
+    "op10_chat_collapse": _docs(chat_collapse.query, "conversations"),
     "pipeline": corpus_pipeline.run,
 }
 
@@ -31,4 +33,5 @@ ORACLES: dict[str, str] = {
                      max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
                      count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size
               FROM documents)""",
+    "op10_chat_collapse": chat_collapse.QUERY_SQL,
 }
