@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from tabmill.llm import bpe, chat_collapse, dedup_mph, html_blocks, jaccard_rtree, mix, quality_zstd, shard_prefix
+from tabmill.llm import bpe, chat_collapse, dedup_mph, html_blocks, jaccard_rtree, mix, quality_zstd, secret_scan, shard_prefix
 from tabmill.sources.tables import table
 
 
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_entropy_mix": _docs(mix.query),
     "op2_exact_dedup": _docs(dedup_mph.query),
     "op3_byte_bpe": _docs(bpe.query),
+    "op4_secret_scan": _docs(secret_scan.query),
     "op5_html_blocks": _docs(html_blocks.query, "pages"),
     "op7_jaccard_rtree": _docs(jaccard_rtree.query),
     "op8_quality_zstd": lambda spark, sf_dir: quality_zstd.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
@@ -34,5 +35,6 @@ ORACLES: dict[str, str] = {
                      max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
                      count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size
               FROM documents)""",
+    "op4_secret_scan": secret_scan.query_sql(),
     "op10_chat_collapse": chat_collapse.QUERY_SQL,
 }
