@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from tabmill.llm import bpe, chat_collapse, dedup_mph, html_blocks, jaccard_rtree, mix, quality_zstd, secret_scan, shard_prefix
+from tabmill.llm import bpe, chat_collapse, cover_tree, dedup_mph, html_blocks, jaccard_rtree, mix, quality_zstd, secret_scan, shard_prefix
 from tabmill.sources.tables import table
 
 
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": _docs(bpe.query),
     "op4_secret_scan": _docs(secret_scan.query),
     "op5_html_blocks": _docs(html_blocks.query, "pages"),
+    "op6_cover_tree": _docs(cover_tree.query, "embeddings"),
     "op7_jaccard_rtree": _docs(jaccard_rtree.query),
     "op8_quality_zstd": lambda spark, sf_dir: quality_zstd.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op9_shard_prefix": _docs(shard_prefix.query),
