@@ -59,16 +59,14 @@ def _net(cos: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray]:
 
 
 def build_tree(x: np.ndarray, theta: float) -> list[dict]:
-    """Levels from the root down, radii halving until they are small against
-    theta; the last level is the points.  Each level: centre (a row of x),
+    """Levels from the root down, radii halving from 4 theta to theta / 16;
+    the last level is the points.  Each level: centre (a row of x),
     radius (largest distance below), kids (indices into the next level)."""
     levels = [{"centre": np.arange(len(x)), "kids": None}]
     cos = x @ x.T
-    radii = []
-    r = 2.0
-    while r > theta / 8:
-        radii.append(r)
-        r /= 2
+    radii = [4 * theta / 2 ** k for k in range(7)]
+    if radii[0] < 2:
+        radii.insert(0, 2.0)
     # nets are nested bottom up: the centres of a level are among those of the one below
     for r in reversed(radii):
         low = levels[0]["centre"]
