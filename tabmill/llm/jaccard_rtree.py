@@ -28,6 +28,7 @@ columns are not read, whatever their names.
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,8 +42,12 @@ from tabmill.session import cut_lineage
 
 #: Similarity in hundredths, and words of a shingle.
 THRESHOLD, WORDS = 90, 3
-#: Coordinates of a point, entries of a tree node, members of a block that is joined in one task.
-DIMS, FANOUT, BLOCK = 32, 16, 2048
+#: Coordinates of a point (a multiple of those of the tree's boxes) and of a box, entries of a tree node.
+POINT_DIMS, DIMS, FANOUT = 1024, 32, 16
+#: Members of a block that is joined in one task, and of small cells that share a task.
+BLOCK, SHARED_TASK = 2048, 8192
+#: Shingles that a worker remembers of the texts it has read last.
+REMEMBERED = 4_000_000
 #: Members verified against one text in one task.
 VERIFY = 256
 #: Bits of the filter that keeps cells of one member out of the shuffle.
@@ -120,8 +125,21 @@ def cells(s: np.ndarray, threshold: int = THRESHOLD) -> np.ndarray:
     return np.concatenate(out).view(np.int64)
 
 
-def counts(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s >> _U(40)).astype(np.int64) % DIMS, minlength=DIMS).astype(np.int32)
+def counts(s: np.ndarray) -> bytes:
+    """The point: shingles per group, packed."""
+    import zstandard
+    return zstandard.compress(np.bincount((s >> _U(40)).astype(np.int64) % POINT_DIMS, minlength=POINT_DIMS).astype(np.uint32).tobytes(), 1)
+
+
+def unpacked(points: list[bytes]) -> np.ndarray:
+    import zstandard
+    d = zstandard.ZstdDecompressor()
+    return np.frombuffer(b"".join(d.decompress(p) for p in points), np.uint32).reshape(-1, POINT_DIMS)
+
+
+def folded(points: np.ndarray) -> np.ndarray:
+    """The same counts over fewer, larger groups."""
+    return points.reshape(len(points), -1, DIMS).sum(axis=1).astype(np.int64)
 
 
 def _points(threshold: int, words: int):
@@ -134,7 +152,7 @@ def _points(threshold: int, words: int):
                 s = shingles(t.as_py(), words)
                 cols["n"].append(len(s))
                 cols["digest"].append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                cols["counts"].append(counts(s).tobytes())
+                cols["counts"].append(counts(s))
                 cols["cells"].append(cells(s, threshold).tobytes() if len(s) else b"")
             yield pa.RecordBatch.from_arrays(
                 [b.column("rid"), b.column("doc_id"), pa.array(cols["n"], pa.int64()), pa.array(cols["digest"], pa.binary()),
@@ -264,12 +282,22 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: int, words: int) -> D
     wanted = cut_lineage(sides.select("class_id").distinct())
     some = cut_lineage(texts.join(F.broadcast(wanted) if wanted.count() <= PICK_ROWS else wanted, "class_id", "left_semi"))
 
+    known: OrderedDict[int, np.ndarray] = OrderedDict()
+
+    def read(i: int, text: bytes) -> np.ndarray:
+        if i not in known:
+            known[i] = shingles(text, words)
+            total = sum(map(len, known.values())) if len(known) % 64 == 0 else 0
+            while total > REMEMBERED and len(known) > 1:
+                total -= len(known.popitem(last=False)[1])
+        return known[i]
+
     def compare(p: pd.DataFrame) -> pd.DataFrame:
         first = p["side"] == 0
-        a = shingles(p.loc[first, "text"].iloc[0], words)
+        a = read(int(p["a"].iloc[0]), p.loc[first, "text"].iloc[0])
         out = []
         for b, t in zip(p.loc[~first, "class_id"], p.loc[~first, "text"]):
-            s = shingles(t, words)
+            s = read(int(b), t)
             both = len(np.intersect1d(a, s, assume_unique=True))
             if 100 * both >= threshold * (len(a) + len(s) - both):
                 out.append(b)
@@ -281,11 +309,11 @@ def _bounded(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
     """Pairs (a < b) whose sizes and summed coordinate minima allow a link,
     with the number of chunks that a's partners are verified in."""
     def allowed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            if len(p):
-                u, v = (np.frombuffer(b"".join(p[c]), np.int32).reshape(-1, DIMS) for c in ("a_counts", "b_counts"))
-                na, nb = p["a_n"].to_numpy(), p["b_n"].to_numpy()
-                yield p[np.minimum(u, v).sum(axis=1) >= least_overlap(na, nb, threshold)][["a", "b"]]
+        for batch in batches:
+            for k in range(0, len(batch), 2048):
+                p = batch.iloc[k:k + 2048]
+                least = least_overlap(p["a_n"].to_numpy(), p["b_n"].to_numpy(), threshold)
+                yield p[np.minimum(unpacked(p["a_counts"]), unpacked(p["b_counts"])).sum(axis=1) >= least][["a", "b"]]
     for side in ("a", "b"):
         own = classes.select(F.col("class_id").alias(side), F.col("n").alias(f"{side}_n"), F.col("counts").alias(f"{side}_counts"))
         pairs = pairs.join(own, side)
@@ -295,34 +323,76 @@ def _bounded(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
     return left.join(per, "a")
 
 
-def _across(cells_of: DataFrame, labels: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a < b) of one cell in different components, by R-trees.
+def _across(shared: DataFrame, labels: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a < b) of one cell in different components that the bounds
+    allow and the stars have not verified, by R-trees.
 
-    A cell of more than ``BLOCK`` members is dealt by hash into
-    blocks, which are joined pairwise, each pair as a group of its own.
+    Of cells with the same members one is kept.  Small cells share tasks; a
+    cell of more than ``BLOCK`` members is dealt by hash into blocks, which
+    are joined pairwise, each pair as a group of its own.
     """
-    member = (cells_of.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left")
-              .select("cell", "class_id", F.coalesce("root", "class_id").alias("root")))
-    per = (member.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m"))
-           .where("lo < hi").select("cell", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
-    left = cut_lineage(member.join(per, "cell").join(classes.select("class_id", "n", "counts"), "class_id")
+    member = (shared.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left")
+              .select("cell", "hub", "class_id", F.coalesce("root", "class_id").alias("root")))
+    per = member.groupBy("cell").agg(
+        F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m"),
+        F.bit_xor(F.xxhash64("class_id")).alias("x"), F.bit_xor(F.xxhash64("class_id", F.lit(1))).alias("y"))
+    mixed = cut_lineage(per.where("lo < hi AND m > 2").groupBy("m", "x", "y").agg(F.min("cell").alias("cell")).select("cell", "m"))
+    tasks = 1 + (mixed.agg(F.sum("m")).first()[0] or 0) // SHARED_TASK
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    left = cut_lineage(member.join(mixed.withColumn("blocks", blocks).drop("m"), "cell")
+                       .join(classes.select("class_id", "n", "counts"), "class_id")
                        .withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")))
-    cols = ("cell", "class_id", "root", "n", "counts")
-    lower = left.select(*cols, F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.lit(0).alias("side"))
-    upper = left.select(*cols, F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"))
+    cols = ("cell", "hub", "class_id", "root", "n", "counts")
+    key = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cell"), F.lit(tasks)).cast("string")).otherwise(F.concat_ws(":", "cell", "i", "j"))
+    lower = left.select(*cols, "blocks", F.lit(0).alias("side"), F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
+    upper = left.where("block > 0").select(*cols, "blocks", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("i"), F.col("block").alias("j"))
 
     def join(p: pd.DataFrame) -> pd.DataFrame:
-        x, y = p[p["side"] == 0], p[p["side"] == 1]
-        if not len(x) or not len(y):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        vx, vy = (np.frombuffer(b"".join(q["counts"]), np.int32).reshape(-1, DIMS) for q in (x, y))
-        ids, roots = (x["class_id"].to_numpy(), y["class_id"].to_numpy()), (x["root"].to_numpy(), y["root"].to_numpy())
-        found = [(np.minimum(ids[0][i], ids[1][j])[m], np.maximum(ids[0][i], ids[1][j])[m])
-                 for i, j in rtree_pairs(vx, x["n"].to_numpy(), vy, y["n"].to_numpy(), threshold)
-                 for m in [roots[0][i] != roots[1][j]]]
-        a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-        return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
-    return lower.union(upper).groupBy("cell", "i", "j").applyInPandas(join, "a long, b long").distinct()
+        p = p.sort_values(["cell", "side"])
+        own, at = np.unique(p["class_id"].to_numpy(), return_index=True)
+        fine = unpacked(p["counts"].iloc[at])
+        pos = np.searchsorted(own, p["class_id"].to_numpy())
+        box, size, root, hub, side = folded(fine), p["n"].to_numpy()[at], p["root"].to_numpy()[at], p["hub"].to_numpy(), p["side"].to_numpy()
+        edges = np.flatnonzero(np.diff(p["cell"].to_numpy(), prepend=0, append=0) != 0)
+        edges = np.unique(np.concatenate([[0], edges, [len(p)]]))
+        start, count = edges[:-1], np.diff(edges)
+        out = []
+
+        def sift(i: np.ndarray, j: np.ndarray, hubs) -> None:
+            i, j = np.minimum(i, j), np.maximum(i, j)
+            keep = (root[i] != root[j]) & (own[i] != hubs) & (own[j] != hubs) & (100 * np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]))
+            i, j = i[keep], j[keep]
+            least = least_overlap(size[i], size[j], threshold)
+            for k in range(0, len(i), 4096):
+                u, v, need = i[k:k + 4096], j[k:k + 4096], least[k:k + 4096]
+                ok = np.minimum(box[u], box[v]).sum(axis=1) >= need
+                u, v, need = u[ok], v[ok], need[ok]
+                ok = np.minimum(fine[u], fine[v]).sum(axis=1) >= need
+                if ok.any():
+                    out.append(np.stack([u[ok], v[ok]]))
+
+        single = side[start + count - 1] == 0
+        for m in np.unique(count[single & (count <= FANOUT)]):  # trees of one leaf, all cells of a size at once
+            rows = start[single & (count == m)]
+            a, b = np.triu_indices(m, 1)
+            per_call = max(1, 200_000 // max(1, len(a)))
+            for k in range(0, len(rows), per_call):
+                r = rows[k:k + per_call]
+                sift(pos[(r[:, None] + a).ravel()], pos[(r[:, None] + b).ravel()], np.repeat(hub[r], len(a)))
+        for s, m, one in zip(start, count, single):
+            if one and m <= FANOUT:
+                continue
+            x = pos[s:s + m][side[s:s + m] == 0]
+            y = x if one else pos[s:s + m][side[s:s + m] == 1]
+            names, n = np.unique(root[np.concatenate([x, y])], return_counts=True)
+            main = names[n.argmax()]  # pairs within the largest component are not needed
+            for u, v in [(x[root[x] != main], y), *([] if one else [(x[root[x] == main], y[root[y] != main])])]:
+                if len(u) and len(v):
+                    for i, j in rtree_pairs(box[u], size[u], box[v], size[v], threshold):
+                        sift(u[i], v[j], hub[s])
+        i, j = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
+        return pd.DataFrame({"a": own[i], "b": own[j]})
+    return lower.union(upper).withColumn("key", key).groupBy("key").applyInPandas(join, "a long, b long").distinct()
 
 
 def near_groups(rows: DataFrame, threshold: int = THRESHOLD, words: int = WORDS) -> DataFrame:
@@ -340,7 +410,7 @@ def near_groups(rows: DataFrame, threshold: int = THRESHOLD, words: int = WORDS)
     star = shared.where("class_id != hub").select(F.col("hub").alias("a"), F.col("class_id").alias("b")).distinct()
     links = _verify(_bounded(star, rep, threshold), texts, threshold, words)
     labels = components(links)
-    more = _verify(_bounded(_across(shared.drop("hub"), labels, rep, threshold), rep, threshold), texts, threshold, words)
+    more = _verify(_bounded(_across(shared, labels, rep, threshold), rep, threshold), texts, threshold, words)
     if not more.isEmpty():
         labels = components(links.union(more))
     named = classes.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select(
