@@ -11,7 +11,7 @@ Sub-packages:
                   imputation, evaluation and MLlib model search.
 * ``plans``     - stand-in inputs built from the driver tables and the
                   registry of named queries with their SQL oracles.
-* ``streaming`` - nothing to rebuild (the studied project has no streams);
+* no streaming (the studied project has no streams);
                   see its module docstring.
 """
 

@@ -35,14 +35,15 @@ class ImputeSpec:
 
 
 def one_hot(df: DataFrame, cols: Sequence[str], drop_first: bool = False,
-            levels: dict | None = None) -> tuple[DataFrame, list[str]]:
-    """0/1 column per level, named ``col_level``; the level lists
+            levels: dict | None = None) -> tuple[DataFrame, dict[str, list[str]]]:
+    """0/1 column per level, named ``col_level``, and the map from
+    each variable to its columns (in order); the level lists
     come from one distinct-values aggregate per column (a categorical's
     domain, guarded by ``MAX_LEVELS_ONE_HOT``).  ``drop_first`` drops the
     smallest level (the regression-design variant)."""
     levels = dict(levels or {})
-    names: list[str] = []
-    out = {}
+    names: dict[str, list[str]] = {c: [] for c in cols}
+    out: dict = {}
     todo = [c for c in cols if c not in levels]
     if todo:
         # one distributed distinct over (column, value) pairs for all columns,
@@ -61,8 +62,10 @@ def one_hot(df: DataFrame, cols: Sequence[str], drop_first: bool = False,
         lv = levels[c][1:] if drop_first else levels[c]
         for v in lv:
             name = f"{c}_{v}"
+            while name in out or name in df.columns and name not in cols:
+                name += "_"  # another variable's level has this name
             out[name] = (F.col(c) == F.lit(v)).cast("int")
-            names.append(name)
+            names[c].append(name)
     return df.withColumns(out).drop(*cols), names
 
 
@@ -85,8 +88,8 @@ def knn_impute(df: DataFrame, id_col: str, spec: ImputeSpec, predictors: Sequenc
         base = cut_lineage(base)
     cats = [c for c in predictors if c in set(categorical)]
     enc, dummies = one_hot(base, cats)
-    blocks = [[d for d in dummies if d.startswith(f"{c}_")] for c in cats]
-    feats = [c for c in predictors if c not in set(cats)] + dummies
+    blocks = [dummies[c] for c in cats]
+    feats = [c for c in predictors if c not in set(cats)] + [d for b in blocks for d in b]
     is_train = F.col(t) != sentinel
     z = cut_lineage(zscore(enc, feats, train=is_train))
     train = z.where(is_train)

@@ -190,7 +190,7 @@ def knn_join(queries: DataFrame, train: DataFrame, feats: Sequence[str], k,
     queue = cut_lineage(q.withColumns({"__lvl": F.lit(0), "__final": F.lit(False),
                                        "__res": F.lit(bool(blocks))}))
     done: list[DataFrame] = []
-    for _ in range(2 * max_levels + 2):
+    while True:  # until no query is pending; every round finishes a query or raises its level
         # every pending (mode, level) group is searched in this round: one
         # union of searches, one materialised top-k table
         groups = sorted((bool(r["__res"]), int(r["__lvl"])) for r in

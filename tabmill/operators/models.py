@@ -9,6 +9,7 @@ union the held-out predictions.
 from __future__ import annotations
 
 import math
+import random
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -43,9 +44,8 @@ class FeatureSet:
         kept = [c for c in df.columns if c not in set(self.drop)]
         base = df.select(*kept)
         cats = [c for c in self.categorical if c in kept]
-        enc, dummies = one_hot(base, cats, drop_first=self.drop_first)
-        enc = enc.withColumns({c: F.col(c).cast("double") for c in dummies})
-        groups = {c: [d for d in dummies if d.startswith(f"{c}_")] for c in cats}
+        enc, groups = one_hot(base, cats, drop_first=self.drop_first)
+        enc = enc.withColumns({d: F.col(d).cast("double") for g in groups.values() for d in g})
         for c in kept:
             if c not in set(cats) and c not in set(exclude):
                 groups[c] = [c]
@@ -96,13 +96,15 @@ def grid_search(est: Estimator, grid: list, data: DataFrame, fold_col: str = "fo
     return cv.fit(data.withColumn(fold_col, (F.col(fold_col) - 1).cast("int")))
 
 
-def oof_predictions(make_est: Callable[[], Estimator], data: DataFrame, id_col: str, fold_col: str = "fold",
+def oof_predictions(make_est: Callable[[int], Estimator], data: DataFrame, id_col: str, fold_col: str = "fold",
                     proba: bool = True) -> DataFrame:
-    """Out-of-fold predictions (id, fold, prediction[, proba])."""
-    folds = [r[0] for r in data.select(fold_col).distinct().orderBy(fold_col).collect()]
+    """Out-of-fold predictions (id, fold, prediction[, proba]).
+    ``make_est`` gets the number of training rows of the fold (the penalty
+    of a cost C depends on it)."""
+    sizes = {r[0]: r[1] for r in data.groupBy(fold_col).count().orderBy(fold_col).collect()}
     outs = []
-    for f in folds:
-        model = make_est().fit(data.where(F.col(fold_col) != f))
+    for f in sizes:
+        model = make_est(sum(sizes.values()) - sizes[f]).fit(data.where(F.col(fold_col) != f))
         pred = model.transform(data.where(F.col(fold_col) == f))
         cols = [id_col, fold_col, F.col("prediction").cast("int").alias("prediction")]
         if proba:
@@ -208,21 +210,19 @@ def backward_eliminate(data: DataFrame, groups: Mapping[str, Sequence[str]], mak
     return data.sparkSession.createDataFrame(rows, "step int, dropped string, importance double")
 
 
-def rff_weights(n_in: int, n_out: int, gamma: float) -> tuple[list[list[float]], list[float]]:
-    """Random Fourier feature weights for an RBF kernel, drawn from a
-    fixed rule (so every engine reproduces them): Box-Muller normals from
-    uniforms u = ((a*7919 + b*104729 + c) mod 10007 + 0.5) / 10007."""
-    def u(a, b, c):
-        return (((a * 7919 + b * 104729 + c) % 10007) + 0.5) / 10007.0
-    w = [[math.sqrt(2 * gamma) * math.sqrt(-2 * math.log(u(j, i, 1))) * math.cos(2 * math.pi * u(j, i, 2))
-          for i in range(n_in)] for j in range(n_out)]
-    b = [2 * math.pi * u(j, 0, 3) for j in range(n_out)]
-    return w, b
+def rff_weights(n_in: int, n_out: int, gamma: float, seed: int = 43) -> tuple[list[list[float]], list[float]]:
+    """Random Fourier feature weights for the kernel exp(-gamma d^2):
+    independent normals of variance 2 gamma and uniform phases, seeded."""
+    rng = random.Random(seed)
+    w = [[rng.gauss(0.0, math.sqrt(2 * gamma)) for _ in range(n_in)] for _ in range(n_out)]
+    return w, [rng.uniform(0.0, 2 * math.pi) for _ in range(n_out)]
 
 
-def rff(df: DataFrame, cols: Sequence[str], n_out: int = 8, gamma: float = 0.2, prefix: str = "rff_") -> DataFrame:
-    """z_j = sqrt(2/D) cos(w_j . x + b_j) as column expressions."""
-    w, b = rff_weights(len(cols), n_out, gamma)
+def rff(df: DataFrame, cols: Sequence[str], n_out: int = 64, gamma: float = 0.2, prefix: str = "rff_",
+        seed: int = 43) -> DataFrame:
+    """z_j = sqrt(2/D) cos(w_j . x + b_j) as column expressions; z(x).z(y)
+    estimates the kernel with an error of order 1/sqrt(D)."""
+    w, b = rff_weights(len(cols), n_out, gamma, seed)
     scale = math.sqrt(2.0 / n_out)
     return df.withColumns({f"{prefix}{j}": scale * F.cos(sum(F.lit(w[j][i]) * F.col(c) for i, c in enumerate(cols))
                                                           + F.lit(b[j])) for j in range(n_out)})

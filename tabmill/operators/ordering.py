@@ -117,14 +117,17 @@ def exact_quantiles(long_df: DataFrame, key: Sequence[str], value: str,
     Same definition as pandas ``quantile`` / Spark ``percentile`` /
     DuckDB ``quantile_cont``: h = p (n - 1), v[floor h] + (h - floor h)
     (v[ceil h] - v[floor h]).  Instead of holding every value of a group in
-    one aggregation buffer, rows are range-sorted, numbered by
-    ``running_sums`` and only the 2 x len(probs) rows at the needed
+    one aggregation buffer, rows are counted per distinct value, the
+    distinct values range-sorted and their counts summed by
+    ``running_sums``, and only the values at the 2 x len(probs) needed
     positions are kept.  NULL values are ignored.
     """
     key = list(key)
     data = long_df.select(*key, F.col(value).cast("double").alias("__x")).where(F.col("__x").isNotNull())
-    counts = data.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
-    ranked = running_sums(data, ["__x"], {"__r": F.lit(1)}, group=key, inclusive=False,
+    # equal values are one row with a count from here on: a value that most rows share is no hot slice
+    values = data.groupBy(*key, "__x").agg(F.count(F.lit(1)).alias("__c"))
+    counts = values.groupBy(*key).agg(F.sum("__c").alias("__n"))
+    ranked = running_sums(values, ["__x"], {"__r": F.col("__c")}, group=key, inclusive=False,
                           num_partitions=num_partitions)
     # the key cardinality is the number of (group, variable) pairs - small
     ranked = ranked.join(counts, key, "inner")
@@ -132,12 +135,14 @@ def exact_quantiles(long_df: DataFrame, key: Sequence[str], value: str,
     for name, p in probs.items():
         h = (F.col("__n") - 1).cast("double") * F.lit(float(p))
         want.append(F.struct(F.lit(name).alias("q"), h.alias("h")))
-    exploded = (ranked.select(*key, "__x", "__r", F.explode(F.array(*want)).alias("__w"))
-                .select(*key, "__x", "__r", F.col("__w.q").alias("q"), F.col("__w.h").alias("h")))
-    hits = exploded.where((F.col("__r") == F.floor("h")) | (F.col("__r") == F.ceil("h")))
-    agg = hits.groupBy(*key, "q", "h").agg(
-        F.max(F.when(F.col("__r") == F.floor("h"), F.col("__x"))).alias("lo"),
-        F.max(F.when(F.col("__r") == F.ceil("h"), F.col("__x"))).alias("hi"))
+    def covers(at) -> Column:  # the value's rows are at positions __r to __r + __c - 1
+        return (F.col("__r") <= at) & (at < F.col("__r") + F.col("__c"))
+
+    exploded = (ranked.select(*key, "__x", "__r", "__c", F.explode(F.filter(F.array(*want), lambda w: covers(F.floor(w["h"])) | covers(F.ceil(w["h"])))).alias("__w"))
+                .select(*key, "__x", "__r", "__c", F.col("__w.q").alias("q"), F.col("__w.h").alias("h")))
+    agg = exploded.groupBy(*key, "q", "h").agg(
+        F.max(F.when(covers(F.floor("h")), F.col("__x"))).alias("lo"),
+        F.max(F.when(covers(F.ceil("h")), F.col("__x"))).alias("hi"))
     val = F.col("lo") + (F.col("h") - F.floor("h")) * (F.col("hi") - F.col("lo"))
     wide = agg.groupBy(*key).pivot("q", list(probs)).agg(F.first(val))
     return wide

@@ -153,6 +153,17 @@ def chi2_expected(spark, sf):
     return full.select("c_mktsegment", "o_orderpriority", "observed", _r(F.col("expected")).alias("expected"))
 
 
+@query("chi2_parts", f"""WITH {_full_sql('lineitem', 'l_partkey', 'l_returnflag')},
+t AS ({_chi2_sql()})
+SELECT round(statistic, 4) AS statistic, CAST(dof AS BIGINT) AS dof, CAST(n AS BIGINT) AS n,
+       round({chi2_sf_sql('statistic', 'dof')}, 8) AS p_value FROM t""")
+def chi2_parts(spark, sf):
+    """H4 with thousands of degrees of freedom: parts against return flags."""
+    t = assoc.chi2_test(table(spark, sf, "lineitem").select("l_partkey", "l_returnflag"), "l_partkey", "l_returnflag")
+    return t.select(_r(F.col("statistic"), 4).alias("statistic"), F.col("dof").cast("long").alias("dof"),
+                    F.col("n").cast("long").alias("n"), _r(F.col("p_value"), 8).alias("p_value"))
+
+
 SCREEN_CATS = ["seg", "nation", "region", "big"]
 
 

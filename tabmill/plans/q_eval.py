@@ -155,18 +155,13 @@ _WIN_VOTE = " QUALIFY row_number() OVER (ORDER BY total_correct DESC, f1_score D
 
 
 @query("outcome_report", f"""WITH {_VOTE_CTE}, w AS (SELECT * FROM vs {_WIN_VOTE})
-SELECT 'Correctly Predicted' AS outcome, true_negatives + true_positives AS total,
-       least(true_negatives, true_positives) AS minimum, accuracy,
-       CASE WHEN true_negatives + true_positives > false_positives + false_negatives THEN 'Correctly Predicted'
-            ELSE 'Incorrectly Predicted' END AS hue_label FROM w
-UNION ALL SELECT 'Incorrectly Predicted', false_positives + false_negatives, least(false_positives, false_negatives),
-       accuracy, 'Incorrectly Predicted' FROM w""")
+SELECT 'right' AS outcome, true_negatives + true_positives AS total,
+       least(true_negatives, true_positives) AS minimum, accuracy FROM w
+UNION ALL SELECT 'wrong', false_positives + false_negatives, least(false_positives, false_negatives), accuracy FROM w""")
 def outcome_report(spark, sf):
     """Report of the winning vote subset."""
     v = _rs(_votes(spark, sf))
-    w = v.withColumn("__rn", F.row_number().over(
-        __import__("pyspark.sql", fromlist=["Window"]).Window.orderBy(
-            F.col("total_correct").desc(), F.col("f1_score").desc_nulls_last(), "size", "mask"))).where("__rn = 1")
+    w = v.orderBy(F.col("total_correct").desc(), F.col("f1_score").desc_nulls_last(), "size", "mask").limit(1)
     return ev.outcome_report(w).withColumn("accuracy", _r(F.col("accuracy")))
 
 

@@ -85,9 +85,7 @@ def grid_search(spark, sf):
 @query("logit_oof")
 def logit_oof(spark, sf):
     """L2 logistic regression (C = 1), out-of-fold probabilities."""
-    d = _data(spark, sf)
-    n = d.count()
-    return md.oof_predictions(lambda: md.logistic(n, 1.0), d, "id")
+    return md.oof_predictions(lambda n: md.logistic(n, 1.0), _data(spark, sf), "id")
 
 
 @query("rfe_ranking")
@@ -154,11 +152,12 @@ def rf_importance(spark, sf):
 @query("backward_elimination")
 def backward_elimination(spark, sf):
     """Drop the weakest variable group while all its columns are below
-    0.01 importance (region as one group of dummies)."""
-    s = zscore(study(spark, sf), FEATS)
+    0.01 importance (region as one group of dummies).  A column of one value
+    is among the variables; it must fall, and does so first."""
+    s = zscore(study(spark, sf), FEATS).withColumn("flat", F.lit(1.0))
     enc, _, groups = FEATURE_SETS["trees"].apply(s, exclude=["id", "label"])
     enc = cut_lineage(enc)
-    groups = {v: g for v, g in groups.items() if v in set(FEATS) | {"region"}}
+    groups = {v: g for v, g in groups.items() if v in set(FEATS) | {"region", "flat"}}
     return md.backward_eliminate(enc, groups, lambda: RandomForestClassifier(seed=43, numTrees=20, maxDepth=4),
                                  threshold=0.01)
 
@@ -168,30 +167,21 @@ def backward_elimination(spark, sf):
 @query("linear_svc_oof")
 def linear_svc_oof(spark, sf):
     """Linear SVC (C = 1, regParam = 1/(C n)), out-of-fold labels."""
-    d = _data(spark, sf)
-    n = d.count()
-    return md.oof_predictions(lambda: LinearSVC(regParam=1.0 / n, maxIter=50), d, "id", proba=False)
+    return md.oof_predictions(lambda n: LinearSVC(regParam=1.0 / n, maxIter=100), _data(spark, sf), "id", proba=False)
 
 
-RFF_D = 8
+RFF_D = 64
 RFF_GAMMA = 0.2
 
 
 def _rff_sql() -> str:
-    u = "((({a}) * 7919 + ({b}) * 104729 + {c}) % 10007 + 0.5) / 10007.0"
-    w = (f"sqrt(2 * {RFF_GAMMA}) * sqrt(-2 * ln({u.format(a='j', b='i', c=1)})) "
-         f"* cos(2 * pi() * {u.format(a='j', b='i', c=2)})")
-    b = f"2 * pi() * {u.format(a='j', b='0', c=3)}"
+    w, b = md.rff_weights(len(FEATS), RFF_D, RFF_GAMMA)
     zs = ", ".join(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS {c}" for c in FEATS)
-    dot = " + ".join(f"w{i} * z.{c}" for i, c in enumerate(FEATS))
-    wcols = ", ".join(f"max(CASE WHEN i = {i} THEN w END) AS w{i}" for i in range(len(FEATS)))
-    piv = ", ".join(f"round(max(CASE WHEN j = {j} THEN v END), 6) AS rff_{j}" for j in range(RFF_D))
+    dots = [" + ".join(f"{w[j][i]!r}::DOUBLE * {c}" for i, c in enumerate(FEATS)) for j in range(RFF_D)]
+    cols = ", ".join(f"round(sqrt(2.0 / {RFF_D}) * cos({dots[j]} + {b[j]!r}::DOUBLE), 6) AS rff_{j}" for j in range(RFF_D))
     return f"""WITH {STUDY_SQL},
-z AS (SELECT id, {zs} FROM study),
-wt AS (SELECT j, i, {w} AS w FROM range(0, {RFF_D}) a(j) CROSS JOIN range(0, {len(FEATS)}) b(i)),
-wr AS (SELECT j, {wcols}, max({b}) AS b FROM wt GROUP BY j),
-v AS (SELECT z.id, wr.j, sqrt(2.0 / {RFF_D}) * cos({dot} + wr.b) AS v FROM z CROSS JOIN wr)
-SELECT id, {piv} FROM v GROUP BY id"""
+z AS (SELECT id, {zs} FROM study)
+SELECT id, {cols} FROM z"""
 
 
 def _rff_data(spark, sf):
@@ -201,8 +191,8 @@ def _rff_data(spark, sf):
 
 @query("rff_features", _rff_sql())
 def rff_features(spark, sf):
-    """Random Fourier features of the z-scored study features, weights
-    from a fixed rule."""
+    """Random Fourier features of the z-scored study features with
+    seeded weights (the oracle has them as literals)."""
     out = _rff_data(spark, sf)
     return out.select("id", *[_r(F.col(f"rff_{j}")).alias(f"rff_{j}") for j in range(RFF_D)])
 
@@ -213,8 +203,7 @@ def rbf_svc_oof(spark, sf):
     features, out-of-fold labels."""
     d = ev.stratified_folds(_rff_data(spark, sf), "label", "id", 5)
     d = cut_lineage(md.assemble(d, [f"rff_{j}" for j in range(RFF_D)]))
-    n = d.count()
-    return md.oof_predictions(lambda: LinearSVC(regParam=1.0 / n, maxIter=50), d, "id", proba=False)
+    return md.oof_predictions(lambda n: LinearSVC(regParam=1.0 / n, maxIter=100), d, "id", proba=False)
 
 
 # ---- J16: boosting ----------------------------------------------------------------------------------------
@@ -223,7 +212,7 @@ def rbf_svc_oof(spark, sf):
 def gbt_oof(spark, sf):
     """Gradient-boosted trees, out-of-fold probabilities."""
     d = _data(spark, sf)
-    return md.oof_predictions(lambda: GBTClassifier(maxIter=10, maxDepth=3, seed=43), d, "id")
+    return md.oof_predictions(lambda n: GBTClassifier(maxIter=10, maxDepth=3, seed=43), d, "id")
 
 
 @query("gbt_importance")
@@ -308,9 +297,8 @@ def oof_predictions(spark, sf):
     table (id, fold, label, model, proba) - the per-run score columns of a
     wide results table, kept long so more runs are a union, not new columns."""
     d = _data(spark, sf)
-    n = d.count()
-    makers = {"logit_1": lambda: md.logistic(n, 1.0),
-              "rfc_1": lambda: RandomForestClassifier(seed=43, numTrees=20, maxDepth=4)}
+    makers = {"logit_1": lambda n: md.logistic(n, 1.0),
+              "rfc_1": lambda n: RandomForestClassifier(seed=43, numTrees=20, maxDepth=4)}
     labels = d.select("id", "label")
     out = None
     for name, make in makers.items():

@@ -11,7 +11,6 @@ import uuid
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.utils import AnalysisException
 
 from tabmill.session import checkpoint_dir
 
@@ -28,11 +27,11 @@ def save(df: DataFrame, path: str) -> str:
 
 def load_or(spark: SparkSession, path: str, builder: Callable[[], DataFrame]) -> DataFrame:
     """Read the snapshot if it exists, else build, save and read it."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
         save(builder(), path)
-        return spark.read.parquet(path)
+    return spark.read.parquet(path)
 
 
 def to_csv(df: DataFrame, path: str, rename: Mapping[str, str]) -> str:

@@ -15,18 +15,22 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabmill.functions.scalars import tokens
-from tabmill.operators.ordering import running_sums
+from tabmill.operators.ordering import row_index, running_sums
+from tabmill.session import cut_lineage
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text scan with a line number that follows the file: ids increase
-    within a split and splits of one file are ordered by offset (several
-    files are packed by size, so their relative order is not kept).  The
-    numbered lines are materialised once in the checkpoint folder, so every
-    later branch (and any recomputation) sees the same numbers."""
-    from tabmill.session import cut_lineage
+    """Text scan with line numbers that run through the files in path order,
+    through each file's splits by offset and through each split's lines.
+    (Spark packs splits into tasks by size, so a task id alone mixes files.)
+    The lines are materialised once in the checkpoint folder, so every later
+    branch (and any recomputation) sees the same numbers."""
     df = spark.read.text(path)
-    return cut_lineage(df.select(F.monotonically_increasing_id().alias("line_no"), "value"))
+    lines = cut_lineage(df.select("value", F.col("_metadata.file_path").alias("file"),
+                                  F.col("_metadata.file_block_start").alias("start"),
+                                  F.monotonically_increasing_id().alias("at")))
+    numbered = row_index(lines, ["file", "start", "at"], "line_no")
+    return cut_lineage(numbered.select("line_no", "value"))
 
 
 def token_stream(lines: DataFrame, line_col: str = "line_no", value_col: str = "value") -> DataFrame:
