@@ -11,8 +11,8 @@ Sub-packages:
                   imputation, evaluation and MLlib model search.
 * ``plans``     - stand-in inputs built from the driver tables and the
                   registry of named queries with their SQL oracles.
-* no streaming (the studied project has no streams);
-                  see its module docstring.
+
+The studied project has no streams, so there is no streaming package.
 """
 
 from tabmill.session import get_session, checkpoint_dir, cut_lineage

@@ -83,5 +83,5 @@ def pct(value, digits: int = 1) -> Column:
 def sig3(value) -> Column:
     """S10: '{:.3}' style: three significant digits (fixed notation)."""
     v = _c(value).cast("double")
-    mag = F.floor(F.log10(F.abs(v)))
-    return F.when(v == 0, F.lit(0.0)).otherwise(F.round(v, (F.lit(2) - mag).cast("int")))
+    unit = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(v))).cast("double") - 2)
+    return F.when(v == 0, F.lit(0.0)).otherwise(F.round(F.round(v / unit) * unit, 12))

@@ -73,6 +73,10 @@ def _yl_search(z: Column, lam: Column) -> Column:
     return F.when(lam == 0, lz).otherwise((F.exp(lam * lz) - 1) / lam)
 
 
+#: Beyond this the powers overflow; a lambda this large means a column of one value.
+LAMBDA_END = 200.0
+
+
 def boxcox_lambda(df: DataFrame, cols: Sequence[str] | None = None, long: DataFrame | None = None) -> DataFrame:
     """H3: maximum-likelihood Box-Cox lambda per column by a refined grid.
 
@@ -80,7 +84,7 @@ def boxcox_lambda(df: DataFrame, cols: Sequence[str] | None = None, long: DataFr
     var_pop(y_lambda(x / gm)) with gm the geometric mean, so each stage is
     one aggregate with a ``var_pop`` column per grid point (grid -2..2 step
     0.1, then +/-0.1 step 0.01, then +/-0.01 step 0.001 around the best; ties
-    to the smaller lambda).  Between stages only the per-column best lambda
+    to the smaller lambda; a grid whose best point is at an end moves on).  Between stages only the per-column best lambda
     (one number per column) goes to the driver, like any fitted parameter.
     Columns with a value <= 0 get lambda NULL and positive = 0 (the
     transform is undefined there).
@@ -98,20 +102,31 @@ def boxcox_lambda(df: DataFrame, cols: Sequence[str] | None = None, long: DataFr
     pos = cut_lineage(data.where(F.col("variable").isin(list(gm)))
                       .select("variable", (F.col("x") / gmap[F.col("variable")]).alias("z")), min_partitions=True)
 
+    def best(centre: dict[str, float], half: int, step: float) -> dict[str, float]:
+        # one var_pop column per grid point, the point's lambda being the variable's own
+        cmap = F.create_map(*[F.lit(x) for v, c in centre.items() for x in (v, float(c))])[F.col("variable")]
+        live = pos.where(F.col("variable").isin(list(centre))).withColumn("c", cmap)
+        wide = live.groupBy("variable").agg(F.first("c").alias("c"), *[
+            F.var_pop(_yl_search(F.col("z"), F.round(F.col("c") + i * step, 9))).alias(f"v{i + half}") for i in range(-half, half + 1)])
+        points = F.array(*[F.struct(F.when(~F.isnan(f"v{i + half}"), F.col(f"v{i + half}")).alias("v"),
+                                    F.round(F.col("c") + i * step, 9).alias("lam")) for i in range(-half, half + 1)])
+        return {r["variable"]: float(r["lam"]) for r in wide.select("variable", F.array_min(
+            F.filter(points, lambda q: q["v"].isNotNull()))["lam"].alias("lam")).collect() if r["lam"] is not None}
+
     def stage(centre: dict[str, float], half: int, step: float) -> dict[str, float]:
-        # (variable, lambda) groups: one narrow var_pop, partial aggregation,
-        # each row meets the 2*half+1 grid points by explode (no join)
-        cmap = F.create_map(*[F.lit(x) for v, c in centre.items() for x in (v, float(c))])
-        g = pos.select("variable", "z", cmap[F.col("variable")].alias("c"))
-        g = g.withColumn("lam", F.explode(F.transform(F.sequence(F.lit(-half), F.lit(half)),
-                                                      lambda i: F.round(F.col("c") + i * step, 9))))
-        v = g.groupBy("variable", "lam").agg(F.var_pop(_yl_search(F.col("z"), F.col("lam"))).alias("v"))
-        best = v.where(~F.isnan("v")).groupBy("variable").agg(F.min_by("lam", F.struct("v", "lam")).alias("b"))
-        return {r["variable"]: float(r["b"]) for r in best.collect()}
+        done: dict[str, float] = {}
+        while centre:  # move the grid along while its best point is at an end
+            found = best(centre, half, step)
+            ends = {v: x for v, x in found.items() if abs(round(x - centre[v], 9)) >= round(half * step, 9) and abs(x) < LAMBDA_END}
+            done.update({v: x for v, x in found.items() if v not in ends})
+            centre = ends
+        return done
 
     b = stage({v: 0.0 for v in gm}, 20, 0.1)
     b = stage(b, 10, 0.01)
     b = stage(b, 10, 0.001)
+    if not b:
+        return st.select("variable", "n", (F.col("mn") > 0).cast("int").alias("positive"), F.lit(None).cast("double").alias("bc_lambda"))
     lam = F.create_map(*[F.lit(x) for v, l in b.items() for x in (v, float(l))])
     return st.select("variable", "n", (F.col("mn") > 0).cast("int").alias("positive"),
                      F.round(lam[F.col("variable")], 3).alias("bc_lambda"))

@@ -68,8 +68,12 @@ def stratified_folds(df: DataFrame, y: str, id_col: str, k: int = 5) -> DataFram
     position comes from distributed running sums, so a class holding most
     rows is still numbered by many tasks."""
     pos = row_index(df, [id_col], "__r", group=[y])
-    n = df.groupBy(y).agg(F.count(F.lit(1)).alias("__n"))
-    j = pos.join(n, y)
+    # a class may hold most rows: its total is a literal (one number per class), not a join on the class
+    totals = df.groupBy(y).agg(F.count(F.lit(1)).alias("n")).collect()
+    n = F.lit(None).cast("long")
+    for t in totals:
+        n = F.when(F.col(y).eqNullSafe(F.lit(t[y])), F.lit(t["n"])).otherwise(n)
+    j = pos.withColumn("__n", n)
     q = (F.col("__n") / k).cast("long")
     rem = F.col("__n") % k
     big = rem * (q + 1)

@@ -35,7 +35,14 @@ class ImputeSpec:
 
 
 def one_hot(df: DataFrame, cols: Sequence[str], drop_first: bool = False,
-            levels: dict | None = None) -> tuple[DataFrame, dict[str, list[str]]]:
+            levels: dict | None = None) -> tuple[DataFrame, list[str]]:
+    """``one_hot_groups`` with the new columns in one list."""
+    out, groups = one_hot_groups(df, cols, drop_first, levels)
+    return out, [d for c in cols for d in groups[c]]
+
+
+def one_hot_groups(df: DataFrame, cols: Sequence[str], drop_first: bool = False,
+                   levels: dict | None = None) -> tuple[DataFrame, dict[str, list[str]]]:
     """0/1 column per level, named ``col_level``, and the map from
     each variable to its columns (in order); the level lists
     come from one distinct-values aggregate per column (a categorical's
@@ -46,14 +53,15 @@ def one_hot(df: DataFrame, cols: Sequence[str], drop_first: bool = False,
     out: dict = {}
     todo = [c for c in cols if c not in levels]
     if todo:
-        # one distributed distinct over (column, value) pairs for all columns,
-        # capped: a categorical's domain, never an unbounded collect
-        pairs = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in todo]))
-                          .alias("p")).select("p.c", "p.v").distinct()
-        cap = MAX_LEVELS_ONE_HOT * len(todo) + 1
+        # one distributed distinct over (column, value) pairs for all columns
+        # of a type, capped: a categorical's domain, never an unbounded collect
         got: dict[str, list] = {c: [] for c in todo}
-        for r in pairs.limit(cap).collect():
-            got[r["c"]].append(r["v"])
+        for kind in {df.schema[c].dataType for c in todo}:  # an array holds values of one type
+            same = [c for c in todo if df.schema[c].dataType == kind]
+            pairs = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in same]))
+                              .alias("p")).select("p.c", "p.v").distinct()
+            for r in pairs.limit(MAX_LEVELS_ONE_HOT * len(same) + 1).collect():
+                got[r["c"]].append(r["v"])
         for c in todo:
             if len(got[c]) > MAX_LEVELS_ONE_HOT:
                 raise ValueError(f"{c}: more than {MAX_LEVELS_ONE_HOT} levels; not categorical")
@@ -87,7 +95,7 @@ def knn_impute(df: DataFrame, id_col: str, spec: ImputeSpec, predictors: Sequenc
     if not materialized:
         base = cut_lineage(base)
     cats = [c for c in predictors if c in set(categorical)]
-    enc, dummies = one_hot(base, cats)
+    enc, dummies = one_hot_groups(base, cats)
     blocks = [dummies[c] for c in cats]
     feats = [c for c in predictors if c not in set(cats)] + [d for b in blocks for d in b]
     is_train = F.col(t) != sentinel

@@ -8,6 +8,7 @@ union the held-out predictions.
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
 from collections.abc import Callable, Mapping, Sequence
@@ -40,11 +41,11 @@ class FeatureSet:
     drop_first: bool = False
 
     def apply(self, df: DataFrame, exclude: Sequence[str] = ()) -> tuple[DataFrame, list[str], dict[str, list[str]]]:
-        from tabmill.operators.impute import one_hot
+        from tabmill.operators.impute import one_hot_groups
         kept = [c for c in df.columns if c not in set(self.drop)]
         base = df.select(*kept)
         cats = [c for c in self.categorical if c in kept]
-        enc, groups = one_hot(base, cats, drop_first=self.drop_first)
+        enc, groups = one_hot_groups(base, cats, drop_first=self.drop_first)
         enc = enc.withColumns({d: F.col(d).cast("double") for g in groups.values() for d in g})
         for c in kept:
             if c not in set(cats) and c not in set(exclude):
@@ -96,6 +97,46 @@ def grid_search(est: Estimator, grid: list, data: DataFrame, fold_col: str = "fo
     return cv.fit(data.withColumn(fold_col, (F.col(fold_col) - 1).cast("int")))
 
 
+def split_search(make_est: Callable[..., Estimator], grid: Sequence[Mapping], data: DataFrame, id_col: str = "id",
+                 label: str = "label", n_splits: int = 5, train_pct: int = 70, seed: int = 43) -> list[tuple[dict, float]]:
+    """Mean accuracy of every combination over shuffle splits
+    (J4), in the order given.  ``make_est(n_train, **params)`` builds the
+    estimator for one split; only accuracies reach the driver."""
+    from tabmill.session import cut_lineage
+    splits = shuffle_splits(data, id_col, n_splits, train_pct, seed)
+    held = cut_lineage(data.join(splits, id_col))
+    sizes = {r["split"]: r["n"] for r in held.where("is_train = 1").groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
+    right = F.avg((F.col("prediction") == F.col(label)).cast("double"))
+    out = []
+    for params in grid:
+        scores = []
+        for s, n in sorted(sizes.items()):
+            part = held.where(F.col("split") == s)
+            model = make_est(n, **params).setLabelCol(label).fit(part.where("is_train = 1"))
+            scores.append(model.transform(part.where("is_train = 0")).agg(right).first()[0])
+        known = [x for x in scores if x is not None]
+        out.append((dict(params), float(sum(known) / len(known)) if known else float("nan")))
+    return out
+
+
+def grid_of(**axes: Sequence) -> list[dict]:
+    """All combinations of the axes' values."""
+    return [dict(zip(axes, values)) for values in itertools.product(*axes.values())]
+
+
+def staged_search(make_est: Callable[..., Estimator], stages: Sequence[Sequence[Mapping]], data: DataFrame,
+                  **search) -> tuple[dict, list[tuple[int, dict, float]]]:
+    """Each stage tries its combinations on top of the best so far (ties
+    to the earlier one); returns the final parameters and every trial."""
+    best: dict = {}
+    trials = []
+    for k, stage in enumerate(stages, 1):
+        found = split_search(make_est, [best | dict(p) for p in stage], data, **search)
+        trials += [(k, p, a) for p, a in found]
+        best = max(found, key=lambda pa: pa[1])[0]
+    return best, trials
+
+
 def oof_predictions(make_est: Callable[[int], Estimator], data: DataFrame, id_col: str, fold_col: str = "fold",
                     proba: bool = True) -> DataFrame:
     """Out-of-fold predictions (id, fold, prediction[, proba]).

@@ -59,6 +59,40 @@ def drop_columns(spark, sf):
     return frame.drop_cols(study(spark, sf), ["n_orders", "max_price", "n_orders", "share_f"])
 
 
+@query("select_except", f"WITH {STUDY_SQL} SELECT id, acctbal, avg_price, seg, region, label FROM study")
+def select_except(spark, sf):
+    """B2: all columns but two sets that overlap."""
+    return frame.select_except(study(spark, sf), {"n_orders", "max_price", "share_f"}, {"nation", "big", "share_f"})
+
+
+@query("transpose_means", f"""WITH {STUDY_SQL},
+m AS (SELECT label, round(avg(n_orders), 6) AS n_orders, round(avg(max_price), 6) AS max_price FROM study GROUP BY label)
+SELECT v.variable, max(CASE WHEN label = 0 THEN CASE v.variable WHEN 'n_orders' THEN n_orders ELSE max_price END END) AS "0",
+       max(CASE WHEN label = 1 THEN CASE v.variable WHEN 'n_orders' THEN n_orders ELSE max_price END END) AS "1"
+FROM m CROSS JOIN (VALUES ('n_orders'), ('max_price')) v(variable) GROUP BY v.variable""")
+def transpose_means(spark, sf):
+    """A result table turned: one row per variable, one column per label."""
+    m = study(spark, sf).groupBy("label").agg(*[F.round(F.avg(c), 6).alias(c) for c in ("n_orders", "max_price")])
+    return frame.transpose(m, "label", ["n_orders", "max_price"])
+
+
+@query("price_grid", """SELECT i / 10.0::DOUBLE AS discount, count(o) AS n
+FROM range(0, 11) g(i) LEFT JOIN (SELECT CAST(round(l_discount * 10) AS BIGINT) AS o FROM lineitem) ON o = i GROUP BY i""")
+def price_grid(spark, sf):
+    """Rows per step of a numeric range, empty steps included."""
+    n = table(spark, sf, "lineitem").groupBy(F.round(F.col("l_discount"), 1).cast("double").alias("discount")).agg(F.count(F.lit(1)).alias("c"))
+    steps = spark.range(1).select(F.explode(scalars.grid(0, 10, 0.1)).alias("discount"))
+    return steps.join(n, "discount", "left").select("discount", F.coalesce("c", F.lit(0)).alias("n"))
+
+
+@query("share_formats", f"""WITH {STUDY_SQL}, s AS (SELECT region, avg(label::DOUBLE) AS p FROM study GROUP BY region)
+SELECT region, printf('%.1f', round(p * 100, 1)) || '%' AS pct, CASE WHEN p = 0 THEN 0.0 ELSE round(round(p / pow(10.0, floor(log10(abs(p))) - 2)) * pow(10.0, floor(log10(abs(p))) - 2), 12) END AS sig3 FROM s""")
+def share_formats(spark, sf):
+    """Shares as per cent text and to three significant digits."""
+    s = study(spark, sf).groupBy("region").agg(F.avg(F.col("label").cast("double")).alias("p"))
+    return s.select("region", scalars.pct("p").alias("pct"), scalars.sig3("p").alias("sig3"))
+
+
 @query("select_regex", f"WITH {STUDY_SQL} SELECT id, avg_price, max_price FROM study")
 def select_regex(spark, sf):
     s = study(spark, sf)

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
 from tabmill.functions.pvalues import chi2_sf_sql
@@ -73,13 +72,17 @@ def shuffle_split_sets(spark, sf):
 
 @query("grid_search")
 def grid_search(spark, sf):
-    """Cross-validated grid over the regularisation of a logistic model."""
-    d = _data(spark, sf)
-    lr = LogisticRegression(maxIter=50)
-    grid = ParamGridBuilder().addGrid(lr.regParam, [0.001, 0.01, 0.1]).build()
-    cvm = md.grid_search(lr, grid, d)
-    rows = [(float(pm[lr.regParam]), float(m)) for pm, m in zip(grid, cvm.avgMetrics)]
-    return spark.createDataFrame(rows, "reg_param double, avg_auc double")
+    """Accuracy of a logistic model over five 70/30 shuffle splits for a
+    grid of costs."""
+    found = md.split_search(lambda n, cost: md.logistic(n, cost), md.grid_of(cost=[0.01, 0.1, 1.0, 10.0]), _data(spark, sf, with_folds=False))
+    return spark.createDataFrame([(p["cost"], a) for p, a in found], "cost double, accuracy double")
+
+
+@query("svc_cost_search")
+def svc_cost_search(spark, sf):
+    """The cost of a linear SVC by accuracy over shuffle splits."""
+    found = md.split_search(lambda n, cost: LinearSVC(regParam=1.0 / (cost * n), maxIter=100), md.grid_of(cost=[0.1, 1.0, 10.0]), _data(spark, sf, with_folds=False), n_splits=2)
+    return spark.createDataFrame([(p["cost"], a) for p, a in found], "cost double, accuracy double")
 
 
 @query("logit_oof")
@@ -140,13 +143,15 @@ def forward_selection(spark, sf):
 
 @query("rf_importance")
 def rf_importance(spark, sf):
-    """Small forest grid (trees x impurity) by cross-validation, then
-    the best forest's feature importances."""
-    d = _data(spark, sf)
-    rf = RandomForestClassifier(seed=43, maxDepth=4)
-    grid = ParamGridBuilder().addGrid(rf.numTrees, [10, 20]).addGrid(rf.impurity, ["gini", "entropy"]).build()
-    cvm = md.grid_search(rf, grid, d)
-    return spark.createDataFrame(md.importances(cvm.bestModel, FEATS), "variable string, importance double")
+    """Forest grid (trees x impurity x features tried per split) by
+    accuracy over shuffle splits, then the best forest's importances."""
+    d = _data(spark, sf, with_folds=False)
+
+    def forest(n, **p):
+        return RandomForestClassifier(seed=43, maxDepth=4, **p)
+    grid = md.grid_of(numTrees=[10, 20], impurity=["gini", "entropy"], featureSubsetStrategy=["sqrt", "all"])
+    best = max(md.split_search(forest, grid, d, n_splits=2), key=lambda pa: pa[1])[0]
+    return spark.createDataFrame(md.importances(forest(0, **best).fit(d), FEATS), "variable string, importance double")
 
 
 @query("backward_elimination")
@@ -217,19 +222,18 @@ def gbt_oof(spark, sf):
 
 @query("gbt_importance")
 def gbt_importance(spark, sf):
-    """Staged tuning - trees first, then depth with the chosen trees,
-    then the learning rate - each stage a cross-validated grid; importances
-    of the final model."""
-    d = _data(spark, sf)
-    best = {"maxIter": 10, "maxDepth": 3, "stepSize": 0.1}
-    for pname, values in (("maxIter", [5, 10]), ("maxDepth", [2, 3]), ("stepSize", [0.1, 0.3])):
-        gbt = GBTClassifier(seed=43, **best)
-        grid = ParamGridBuilder().addGrid(gbt.getParam(pname), values).build()
-        cvm = md.grid_search(gbt, grid, d, parallelism=2)
-        i = max(range(len(values)), key=lambda k: (cvm.avgMetrics[k], -k))
-        best[pname] = values[i]
-    model = GBTClassifier(seed=43, **best).fit(d)
-    return spark.createDataFrame(md.importances(model, FEATS), "variable string, importance double")
+    """Six stages - trees, depth, leaf size, features per split, sample
+    share, then learning rate paired with trees - each by accuracy over
+    shuffle splits; importances of the final model."""
+    d = _data(spark, sf, with_folds=False)
+
+    def boosted(n, **p):
+        return GBTClassifier(seed=43, **({"maxIter": 5, "maxDepth": 3, "stepSize": 0.1} | p))
+    stages = [md.grid_of(maxIter=[5, 10]), md.grid_of(maxDepth=[2, 3]), md.grid_of(minInstancesPerNode=[1, 20]),
+              md.grid_of(featureSubsetStrategy=["all", "sqrt"]), md.grid_of(subsamplingRate=[0.8, 1.0]),
+              [{"stepSize": 0.1}, {"stepSize": 0.05, "maxIter": 20}]]
+    best, _ = md.staged_search(boosted, stages, d, n_splits=2)
+    return spark.createDataFrame(md.importances(boosted(0, **best).fit(d), FEATS), "variable string, importance double")
 
 
 # ---- J24 / J25: clustering ----------------------------------------------------------------------------------
