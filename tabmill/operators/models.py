@@ -65,12 +65,12 @@ def positive_proba(pred: DataFrame, col: str = "probability") -> F.Column:
 def shuffle_splits(df: DataFrame, id_col: str, n_splits: int = 5, train_pct: int = 70,
                    seed: int = 0) -> DataFrame:
     """``n_splits`` random train/test splits as (split, id, is_train);
-    each split is a seeded hash of the id, so it is reproducible on any
-    partitioning and after a lost executor."""
+    each split is a seeded digest of the id, so it is reproducible on any
+    partitioning, after a lost executor, and in any engine with MD5."""
+    from tabmill.operators.evaluate import hash_bucket
     splits = F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))).alias("split")
     x = df.select(id_col, splits)
-    bucket = F.pmod(F.xxhash64(F.col(id_col), F.col("split") + seed), F.lit(100))
-    return x.withColumn("is_train", (bucket < train_pct).cast("int"))
+    return x.withColumn("is_train", (hash_bucket(F.col(id_col), F.col("split") + seed) < train_pct).cast("int"))
 
 
 def shuffle_split_score(est: Estimator, data: DataFrame, splits: DataFrame, id_col: str,
@@ -199,8 +199,9 @@ def logit_inference(data: DataFrame, y: str, cols: Sequence[str]) -> tuple[DataF
     st = data.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(y).cast("double")).alias("pbar")).first()
     n, pbar = int(st["n"]), float(st["pbar"])
     null_ll = n * (pbar * math.log(pbar) + (1 - pbar) * math.log(1 - pbar)) if 0 < pbar < 1 else 0.0
-    fit = spark.createDataFrame([(n, k, ll, null_ll)], "n long, k int, ll double, null_ll double")
-    fit = fit.select("n", "k", "ll", "null_ll", (1 - F.col("ll") / F.col("null_ll")).alias("pseudo_r2"),
+    fit = spark.createDataFrame([(n, k, ll, null_ll, s.numIterations < 100)],
+                                "n long, k int, ll double, null_ll double, converged boolean")
+    fit = fit.select("n", "k", "converged", "ll", "null_ll", (1 - F.col("ll") / F.col("null_ll")).alias("pseudo_r2"),
                      (2 * F.col("k") - 2 * F.col("ll")).alias("aic"),
                      (F.col("k") * F.log(F.col("n").cast("double")) - 2 * F.col("ll")).alias("bic"),
                      chi2_sf(2 * (F.col("ll") - F.col("null_ll")), F.greatest(F.col("k") - 1, F.lit(1)))

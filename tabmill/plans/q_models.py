@@ -70,6 +70,23 @@ def shuffle_split_sets(spark, sf):
     return sizes.join(acc, "split")
 
 
+def _bucket_sql(seed: str) -> str:
+    return f"('0x' || substr(md5(id || ':' || {seed}), 1, 8))::BIGINT % 100"
+
+
+@query("shuffle_split_members", f"""WITH {STUDY_SQL}
+SELECT CAST(split AS INTEGER) AS split, id, CAST({_bucket_sql('(split + 43)')} < 70 AS INTEGER) AS is_train FROM study CROSS JOIN range(0, 5) r(split)""")
+def shuffle_split_members(spark, sf):
+    """Who is in the training part of each split."""
+    return md.shuffle_splits(study(spark, sf).select("id"), "id", 5, 70, seed=43)
+
+
+@query("hash_split_default", f"""WITH {STUDY_SQL} SELECT id, CAST({_bucket_sql("43")} < 67 AS INTEGER) AS is_train FROM study""")
+def hash_split_default(spark, sf):
+    """The default split of the ids."""
+    return ev.hash_split(study(spark, sf).select("id"), "id")
+
+
 @query("grid_search")
 def grid_search(spark, sf):
     """Accuracy of a logistic model over five 70/30 shuffle splits for a
@@ -106,7 +123,7 @@ f AS (SELECT *, n11 * ln(p1) + n10 * ln(1 - p1) + n0 * ln(0.5) AS ll,
 SELECT 'big' AS variable, round(b, 5) AS coef, round(se, 5) AS std_err, round(b / se, 5) AS z,
        round({chi2_sf_sql('(b / se) * (b / se)', '1')}, 5) AS p_value, n, 1 AS k, round(ll, 5) AS ll,
        round(null_ll, 5) AS null_ll, round(1 - ll / null_ll, 5) AS pseudo_r2, round(2 - 2 * ll, 5) AS aic,
-       round(ln(n) - 2 * ll, 5) AS bic, round({chi2_sf_sql('2 * (ll - null_ll)', '1')}, 5) AS llr_p_value FROM f"""
+       round(ln(n) - 2 * ll, 5) AS bic, true AS converged, round({chi2_sf_sql('2 * (ll - null_ll)', '1')}, 5) AS llr_p_value FROM f"""
 
 
 @query("logit_inference", _LOGIT_SQL)
@@ -117,8 +134,8 @@ def logit_inference(spark, sf):
     coefs, fit = md.logit_inference(s.withColumn("big", F.col("big").cast("double")), "label", ["big"])
     c = coefs.select("variable", *[_r(F.col(x), 5).alias(x) for x in ("coef", "std_err", "z", "p_value")])
     names = ("ll", "null_ll", "pseudo_r2", "aic", "bic", "llr_p_value")
-    f = fit.select(F.struct("n", "k", *[_r(F.col(x), 5).alias(x) for x in names]).alias("f")).scalar()
-    return c.select("*", *[f[x].alias(x) for x in ("n", "k", *names)])
+    f = fit.select(F.struct("n", "k", "converged", *[_r(F.col(x), 5).alias(x) for x in names]).alias("f")).scalar()
+    return c.select("*", *[f[x].alias(x) for x in ("n", "k", "converged", *names)])
 
 
 # The feature sets of the model runs (drop list + categorical list)
@@ -167,6 +184,30 @@ def backward_elimination(spark, sf):
                                  threshold=0.01)
 
 
+def _planted(spark, sf):
+    """The study with a variable that is the label and two of one value."""
+    s = study(spark, sf).select("id", F.col("label").cast("double").alias("label"))
+    return cut_lineage(s.withColumns({"is_label": F.col("label") * 3, "flat_a": F.lit(1.0), "flat_b": F.lit(2.0)}))
+
+
+@query("elimination_planted", """SELECT * FROM (VALUES (1, 'flat_a', 0.0::DOUBLE), (2, 'flat_b', 0.0::DOUBLE)) v(step, dropped, importance)""")
+def elimination_planted(spark, sf):
+    """J12 where the order is known: variables of one value fall, by name;
+    the one that is the label stays."""
+    groups = {c: [c] for c in ("is_label", "flat_a", "flat_b")}
+    return md.backward_eliminate(_planted(spark, sf), groups, lambda: RandomForestClassifier(
+        seed=43, numTrees=5, maxDepth=3, featureSubsetStrategy="all"))
+
+
+@query("importance_planted", """SELECT * FROM (VALUES ('is_label', 1.0::DOUBLE), ('flat_a', 0.0::DOUBLE), ('flat_b', 0.0::DOUBLE)) v(variable, importance)""")
+def importance_planted(spark, sf):
+    """J11 where the importances are known: they sum to 1, all of it the label's twin."""
+    cols = ["is_label", "flat_a", "flat_b"]
+    model = RandomForestClassifier(seed=43, numTrees=5, maxDepth=3, featureSubsetStrategy="all", featuresCol="f").fit(
+        md.assemble(_planted(spark, sf), cols, "f"))
+    return spark.createDataFrame([(c, round(v, 9)) for c, v in md.importances(model, cols)], "variable string, importance double")
+
+
 # ---- J13 / J14: support vectors -----------------------------------------------------------------------
 
 @query("linear_svc_oof")
