@@ -213,19 +213,24 @@ def forward_select(data: DataFrame, y: str, ranking: Sequence[str], groups: Mapp
                    alpha: float = 0.04) -> DataFrame:
     """Add variables in rank order (a categorical with all its dummy
     columns); keep the newest if its p (any dummy) is below ``alpha``,
-    otherwise reject it for good."""
+    otherwise reject it for good.  ``data`` is the training part.  Each step
+    records its model: rows, columns, log-likelihood, pseudo R2, AIC, BIC and
+    whether the fit converged."""
     kept: list[str] = []
     rows = []
     for step, var in enumerate(ranking, 1):
         cols = [c for v in kept + [var] for c in groups.get(v, [v])]
-        coefs, _ = logit_inference(data, y, cols)
+        coefs, fit = logit_inference(data, y, cols)
+        record = fit.select("n", "k", "ll", "pseudo_r2", "aic", "bic", "converged").first()
         ps = {r["variable"]: r["p_value"] for r in coefs.collect()}
         best_p = min(ps[c] for c in groups.get(var, [var]))
         ok = best_p < alpha
         if ok:
             kept.append(var)
-        rows.append((step, var, float(best_p), int(ok)))
-    return data.sparkSession.createDataFrame(rows, "step int, variable string, p_value double, kept int")
+        rows.append((step, var, float(best_p), int(ok), *record))
+    return data.sparkSession.createDataFrame(
+        rows, "step int, variable string, p_value double, kept int, n long, k int, ll double, "
+        "pseudo_r2 double, aic double, bic double, converged boolean")
 
 
 def importances(model, cols: Sequence[str]) -> list[tuple[str, float]]:

@@ -37,6 +37,18 @@ def record_regroup(spark, sf):
     return text.regroup(text.token_stream(packed_lines(spark, sf)), 4, REC_NAMES)
 
 
+@query("text_scan_files", f"""WITH {PACKED_TOKENS_SQL}
+SELECT r AS record_no, CAST(c_custkey AS VARCHAR) AS id, CAST(c_nationkey AS VARCHAR) AS nation,
+       CAST(cents AS VARCHAR) AS cents, 'name' AS name FROM cr""")
+def text_scan_files(spark, sf):
+    """A1/A2 from files: the packed lines are written as several text files
+    (records run across lines and files), read back and regrouped."""
+    path = snapshot.scratch_path(spark, "lines")
+    (packed_lines(spark, sf).repartitionByRange(4, "line_no").sortWithinPartitions("line_no")
+     .select("value").write.text(path))
+    return text.regroup(text.token_stream(text.read_lines(spark, path)), 4, REC_NAMES)
+
+
 @query("numeric_cast", f"""WITH {PACKED_TOKENS_SQL}
 SELECT r AS record_no, c_custkey AS id, CAST(c_nationkey AS BIGINT) AS nation, cents FROM cr""")
 def numeric_cast(spark, sf):

@@ -147,9 +147,9 @@ FEATURE_SETS = {
 
 @query("forward_selection")
 def forward_selection(spark, sf):
-    """Forward selection by rank with region as a dummy group (the
-    regression feature set: first level dropped)."""
-    z = zscore(study(spark, sf), FEATS)
+    """Forward selection on the training part, by rank, with region as
+    a dummy group (the regression feature set: first level dropped)."""
+    z = zscore(ev.hash_split(study(spark, sf), "id").where("is_train = 1").drop("is_train"), FEATS)
     enc, _, groups = FEATURE_SETS["regression"].apply(z, exclude=["id", "label"])
     enc = cut_lineage(enc)
     ranking = ["avg_price", "region", "acctbal", "n_orders", "share_f", "max_price"]
