@@ -25,6 +25,26 @@ def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def located(docs: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    """``docs`` and a column of it that tells its rows apart: the id where it
+    is whole, never null and never repeated, else a number that is fixed by
+    writing the table once."""
+    if dict(docs.dtypes)[id_col] in ("bigint", "int"):
+        n, ids = docs.agg(F.count(F.lit(1)), F.countDistinct(id_col)).first()
+        if n == ids:
+            return docs, id_col
+    rid = fresh(docs, "rid")
+    return cut_lineage(docs.withColumn(rid, F.monotonically_increasing_id())), rid
+
+
+def pick(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi", limit: int = 1_000_000) -> DataFrame:
+    """Rows of ``df`` with (or, by left_anti, without) a key in the written
+    one-column table ``ids``.  Up to ``limit`` counted ids (8 bytes each) are
+    broadcast, so that wide rows aren't shuffled to be picked; more are
+    joined by shuffle."""
+    return df.join(F.broadcast(ids) if ids.count() <= limit else ids, key, how)
+
+
 def join_small(big: DataFrame, small: DataFrame, on: str, how: str = "inner",
                limit: int = BROADCAST_ROWS, salts: int = 16) -> DataFrame:
     """Join a materialised table with one row per ``on`` value to a big side

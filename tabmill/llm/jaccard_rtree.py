@@ -37,7 +37,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tabmill.llm.common import components, fresh
+from tabmill.llm.common import components, located, pick
 from tabmill.session import cut_lineage
 
 #: Similarity in hundredths, and words of a shingle.
@@ -52,11 +52,9 @@ REMEMBERED = 4_000_000
 VERIFY = 256
 #: Bits of the filter that keeps cells of one member out of the shuffle.
 FILTER_BITS = 1 << 27
-#: Ids that are broadcast to pick texts (8 bytes each); more are joined by shuffle.
-PICK_ROWS = 1_000_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _U = np.uint64
-_VOCAB = 400_000
+_VOCAB = 150_000
 
 
 class _Words(dict):
@@ -146,7 +144,7 @@ def _points(threshold: int, words: int):
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (batch.slice(k, 1024) for batch in batches for k in range(0, max(1, batch.num_rows), 1024)):
             cols = {k: [] for k in ("n", "digest", "counts", "cells")}
             for t in b.column("text"):
                 s = shingles(t.as_py(), words)
@@ -280,7 +278,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: int, words: int) -> D
     own = chunked.select("a", "chunk", F.col("a").alias("class_id"), F.lit(0).alias("side")).distinct()
     sides = own.union(chunked.select("a", "chunk", F.col("b").alias("class_id"), F.lit(1).alias("side")))
     wanted = cut_lineage(sides.select("class_id").distinct())
-    some = cut_lineage(texts.join(F.broadcast(wanted) if wanted.count() <= PICK_ROWS else wanted, "class_id", "left_semi"))
+    some = cut_lineage(pick(texts, wanted, "class_id"))
 
     known: OrderedDict[int, np.ndarray] = OrderedDict()
 
@@ -314,8 +312,10 @@ def _bounded(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
                 p = batch.iloc[k:k + 2048]
                 least = least_overlap(p["a_n"].to_numpy(), p["b_n"].to_numpy(), threshold)
                 yield p[np.minimum(unpacked(p["a_counts"]), unpacked(p["b_counts"])).sum(axis=1) >= least][["a", "b"]]
+    ids = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("class_id")).distinct())
+    some = cut_lineage(pick(classes.select("class_id", "n", "counts"), ids, "class_id"))
     for side in ("a", "b"):
-        own = classes.select(F.col("class_id").alias(side), F.col("n").alias(f"{side}_n"), F.col("counts").alias(f"{side}_counts"))
+        own = some.select(F.col("class_id").alias(side), F.col("n").alias(f"{side}_n"), F.col("counts").alias(f"{side}_counts"))
         pairs = pairs.join(own, side)
     fits = f"100 * least(a_n, b_n) >= {threshold} * greatest(a_n, b_n)"
     left = cut_lineage(pairs.where(fits).mapInPandas(allowed, "a long, b long"))
@@ -339,9 +339,10 @@ def _across(shared: DataFrame, labels: DataFrame, classes: DataFrame, threshold:
     mixed = cut_lineage(per.where("lo < hi AND m > 2").groupBy("m", "x", "y").agg(F.min("cell").alias("cell")).select("cell", "m"))
     tasks = 1 + (mixed.agg(F.sum("m")).first()[0] or 0) // SHARED_TASK
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    left = cut_lineage(member.join(mixed.withColumn("blocks", blocks).drop("m"), "cell")
-                       .join(classes.select("class_id", "n", "counts"), "class_id")
-                       .withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")))
+    member = cut_lineage(member.join(mixed.withColumn("blocks", blocks).drop("m"), "cell"))
+    ids = cut_lineage(member.select("class_id").distinct())
+    some = cut_lineage(pick(classes.select("class_id", "n", "counts"), ids, "class_id"))
+    left = cut_lineage(member.join(some, "class_id").withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")))
     cols = ("cell", "hub", "class_id", "root", "n", "counts")
     key = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cell"), F.lit(tasks)).cast("string")).otherwise(F.concat_ws(":", "cell", "i", "j"))
     lower = left.select(*cols, "blocks", F.lit(0).alias("side"), F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
@@ -403,8 +404,8 @@ def near_groups(rows: DataFrame, threshold: int = THRESHOLD, words: int = WORDS)
     pts = points(rows, threshold, words)
     own = pts.where("digest IS NOT NULL")
     classes = cut_lineage(own.groupBy("digest").agg(F.min("rid").alias("class_id")))
-    rep = cut_lineage(own.join(classes.select(F.col("class_id").alias("rid")), "rid")
-                      .select(F.col("rid").alias("class_id"), "n", "counts", "cells"))
+    copies = cut_lineage(own.select("rid", "digest").join(classes, "digest").where("rid != class_id").select("rid"))
+    rep = pick(own, copies, "rid", "left_anti").select(F.col("rid").alias("class_id"), "n", "counts", "cells")
     texts = rows.select(F.col("rid").alias("class_id"), "text")
     shared = _shared_cells(rep)
     star = shared.where("class_id != hub").select(F.col("hub").alias("a"), F.col("class_id").alias("b")).distinct()
@@ -425,14 +426,8 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, row_col: str | None = Non
 
 def query(docs: DataFrame) -> DataFrame:
     """Contract columns of op7, one row per document."""
-    # doc_id is the row locator unless it is null or repeated
-    n, ids = docs.agg(F.count(F.lit(1)), F.countDistinct("doc_id")).first()
-    if n == ids:
-        found = near_groups(_rows(docs, "doc_id", "text", "doc_id"))
-    else:
-        held = cut_lineage(docs.select("doc_id", "text").withColumn("rid", F.monotonically_increasing_id()))
-        found = near_groups(_rows(held, "doc_id", "text", "rid"))
-    found = cut_lineage(found)
+    held, rid = located(docs.select("doc_id", "text"), "doc_id")
+    found = cut_lineage(near_groups(_rows(held, "doc_id", "text", rid)))
     least = found.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least"))
     return found.join(least, "comp", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
@@ -440,12 +435,10 @@ def query(docs: DataFrame) -> DataFrame:
 
 def one_per_group(docs: DataFrame, threshold: int = THRESHOLD, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, all columns: the first of each group
-    (smallest id) and every row without words.  The input is written once
-    with a row locator."""
-    rid = fresh(docs, "rid")
-    held = cut_lineage(docs.withColumn(rid, F.monotonically_increasing_id()))
+    (smallest id) and every row without words."""
+    held, rid = located(docs, id_col)
     found = cut_lineage(near_groups(_rows(held, id_col, text_col, rid), threshold, words))
     first = found.where("comp IS NOT NULL").groupBy("comp").agg(
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("m")).select("comp", F.col("m.rid").alias("keep"))
-    gone = found.join(first, "comp").where("rid != keep").select(F.col("rid").alias(rid))
-    return held.join(gone, rid, "left_anti").drop(rid)
+    gone = cut_lineage(found.join(first, "comp").where("rid != keep").select(F.col("rid").alias(rid)))
+    return pick(held, gone, rid, "left_anti").select(docs.columns)
