@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from tabmill.llm.common import fresh, text_or_empty
+from tabmill.llm.common import located, pick, text_or_empty
 from tabmill.session import cut_lineage
 
 #: Distinct digests that one partition of the index is sized for.
@@ -172,14 +172,9 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, all columns.
-
-    The input is written once with a row locator, so that repeated rows with
-    the same id can be told apart.
-    """
-    rid = fresh(docs, "rid")
-    held = cut_lineage(docs.withColumn(rid, F.monotonically_increasing_id()))
+    """The rows of ``docs`` that stay, all columns."""
+    held, rid = located(docs, id_col)
     rows = cut_lineage(held.select(F.col(id_col).cast("long").alias("doc_id"), F.col(rid).alias("rid"),
                                    F.unhex(F.sha2(text_or_empty(text_col), 256)).alias("digest")))
-    gone = exact_groups(rows).where("rid != keep_rid").select(F.col("rid").alias(rid))
-    return held.join(gone, rid, "left_anti").drop(rid)
+    gone = cut_lineage(exact_groups(rows).where("rid != keep_rid").select(F.col("rid").alias(rid)))
+    return pick(held, gone, rid, "left_anti").select(docs.columns)

@@ -21,7 +21,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabmill.llm.common import fresh, join_small, prefix_sums
+from tabmill.llm.common import fresh, join_small, located, prefix_sums
 from tabmill.session import cut_lineage
 
 #: A word: a run of anything but ASCII white space.
@@ -32,6 +32,8 @@ MAX_STEPS = 100
 #: Relative error at which a source's rounded total is settled, and the most rounds of moving copies.
 SETTLED = 1e-3
 MAX_ROUNDS = 24
+#: Documents whose copies are broadcast (12 bytes each); more are joined by shuffle.
+PICK_ROWS = 1_000_000
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -155,12 +157,12 @@ def query(docs: DataFrame) -> DataFrame:
         (F.col("size") * F.col("copies")).alias("taken"), "rate", "copies")
 
 
-def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: int = 2) -> DataFrame:
+def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: int = 2, id_col: str = "doc_id") -> DataFrame:
     """The mix itself: the rows of ``docs``, each repeated as often as it is
-    taken (not at all for zero copies), all columns.  The input is written
-    once with a row locator that the copies are joined on."""
-    rid, n = fresh(docs, "rid"), fresh(docs, "copies")
-    held = cut_lineage(docs.withColumn(rid, F.monotonically_increasing_id()))
-    took = balance(measured(held, row_col=rid), weights, share, cap).select(F.col("rid").alias(rid), F.col("copies").alias(n))
-    each = F.explode(F.sequence(F.lit(1), F.col(n)))
-    return held.join(took.where(F.col(n) > 0), rid).withColumn(n, each).drop(rid, n)
+    taken (not at all for zero copies), all columns."""
+    held, rid = located(docs, id_col)
+    n = fresh(docs, "copies")
+    took = cut_lineage(balance(measured(held, id_col, row_col=rid), weights, share, cap).where("copies > 0")
+                       .select(F.col("rid").alias(rid), F.col("copies").alias(n)))
+    taken = held.join(F.broadcast(took) if took.count() <= PICK_ROWS else took, rid)
+    return taken.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(docs.columns)
