@@ -237,6 +237,7 @@ def display_names(spark, sf):
     return _leaderboard(spark, sf).select("model", display(F.col("model")).alias("display_name"))
 
 
+# fixed values: the export's column headings
 _EXPORT = {"models": "Model(s)", "f1_score": "F1 Score", "recall": "Recall", "precision": "Precision",
            "total_correct": "Total Correct", "total_wrong": "Total Incorrect"}
 

@@ -128,6 +128,7 @@ def conditional_update(spark, sf):
     return out.select("o_orderkey", "o_orderstatus")
 
 
+# fixed values of the repair: 30 Feb 86 becomes 1 Mar 86
 _REPAIRED_SQL = DATE_PARTS_SQL + """,
 fixed AS (SELECT id, yr, CASE WHEN yr = 86 AND mo = 2 AND day = 30 THEN 3 ELSE mo END AS mo,
                  CASE WHEN yr = 86 AND mo = 2 AND day = 30 THEN 1 ELSE day END AS day FROM date_parts)"""
