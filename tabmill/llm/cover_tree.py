@@ -44,6 +44,10 @@ BLOCK, PIVOTS, BATCH = 2048, 4096, 200_000
 DENSE = 4096
 #: Safety of the distance bounds against rounding.
 SLACK = 1e-9
+#: And of cosines in single precision.
+MARGIN = 1e-4
+#: Blocks of a tile at most: the pairs of two tiles' blocks are joined in one task.
+TILE = 8
 
 
 def _net(cos: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray]:
@@ -78,20 +82,29 @@ def build_tree(x: np.ndarray, theta: float) -> list[dict]:
         order = np.argsort(owner, kind="stable")
         kids = np.split(order, np.cumsum(np.bincount(owner, minlength=len(centres)))[:-1])
         levels.insert(0, {"centre": low[centres], "kids": kids})
-    # the points under each node, bottom up, and their largest distance
-    levels[-1]["under"] = [np.array([i]) for i in range(len(x))]
     levels[-1]["radius"] = np.zeros(len(x))
-    for up, down in zip(levels[-2::-1], levels[:0:-1]):
-        up["under"] = [np.concatenate([down["under"][k] for k in kids]) for kids in up["kids"]]
-        up["radius"] = np.array([np.sqrt(max(0.0, 2 - 2 * float(cos[c, u].min()))) if len(u) > 1 else 0.0 for u, c in zip(up["under"], up["centre"])])
+    for k in range(len(levels) - 2, -1, -1):
+        up = levels[k]
+        below = [under(levels, k, v) for v in range(len(up["centre"]))]
+        up["radius"] = np.array([np.sqrt(max(0.0, 2 - 2 * float(cos[c, u].min()))) if len(u) > 1 else 0.0 for u, c in zip(below, up["centre"])])
     return levels
 
 
+def under(levels: list[dict], level: int, node: int) -> np.ndarray:
+    """The points under a node."""
+    nodes = np.array([node])
+    for k in range(level, len(levels) - 1):
+        nodes = np.concatenate([levels[k]["kids"][v] for v in nodes])
+    return nodes
+
+
 def traverse(x: np.ndarray, tx: list[dict], y: np.ndarray, ty: list[dict], cosine: float, same: bool) -> Iterator[tuple]:
     """("all", under_x, under_y) for node pairs that link as a whole and
     ("pairs", i, j) for linked points.  ``same``: both trees are one; every
     unordered pair of nodes is met once, and a node meets itself."""
     theta = np.sqrt(2 - 2 * cosine)
+    x32 = x.astype(np.float32)
+    y32 = x32 if same else y.astype(np.float32)
     stack = [(0, 0, *_kid_pairs(np.arange(len(tx[0]["centre"])), np.arange(len(ty[0]["centre"])), same))]
     while stack:
         lx, ly, i, j = stack.pop()
@@ -109,21 +122,19 @@ def traverse(x: np.ndarray, tx: list[dict], y: np.ndarray, ty: list[dict], cosin
             reach = nx["radius"][pi] + ny["radius"][pj]
             whole = d + reach <= theta - SLACK
             for u, v in zip(pi[whole], pj[whole]):
-                yield "all", nx["under"][u], ny["under"][v]
+                points_u = under(tx, lx, u)
+                yield "all", points_u, points_u if same and u == v else under(ty, ly, v)
             go = ~whole & (d <= theta + reach + SLACK)
             pi, pj = pi[go], pj[go]
-            # a pair of trees descends side by side; the deeper one first where depths differ
-            down_x = nx["kids"] is not None and (same or ny["kids"] is None or len(tx) - lx >= len(ty) - ly)
-            down_y = ny["kids"] is not None and (same or nx["kids"] is None or len(ty) - ly >= len(tx) - lx)
+            # the trees descend side by side, so that their widest levels meet in one matrix product
+            down_x, down_y = nx["kids"] is not None, ny["kids"] is not None
             ux, uy = tx[lx + down_x], ty[ly + down_y]
             few = []
             for u, v in zip(pi, pj):
                 ki = nx["kids"][u] if down_x else np.array([u])
                 kj = ny["kids"][v] if down_y else np.array([v])
                 if len(ki) * len(kj) >= DENSE:  # very many children: prune them by one matrix product
-                    cos = x[ux["centre"][ki]] @ y[uy["centre"][kj]].T
-                    reach = ux["radius"][ki][:, None] + (uy["radius"][kj] + theta + SLACK)[None]
-                    p, q = np.nonzero(cos >= 1 - reach * reach / 2)
+                    p, q = _within(x32[ux["centre"][ki]], ux["radius"][ki], y32[uy["centre"][kj]], uy["radius"][kj], theta)
                     p, q = ki[p], kj[q]
                     if same and u == v:
                         p, q = p[p <= q], q[p <= q]
@@ -134,6 +145,23 @@ def traverse(x: np.ndarray, tx: list[dict], y: np.ndarray, ty: list[dict], cosin
                 stack.append((lx + down_x, ly + down_y, np.concatenate([p for p, _ in few]), np.concatenate([q for _, q in few])))
 
 
+def _within(x: np.ndarray, rx: np.ndarray, y: np.ndarray, ry: np.ndarray, theta: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes that the balls may hold links of, in single precision
+    with a margin (all that are left are looked at again in double): nodes of
+    little extent at once by their largest radius, the others by their own."""
+    found = []
+    ax, ay = rx <= theta / 8, ry <= theta / 8
+    for a in (ax, ~ax):
+        for b in (ay, ~ay):
+            i, j = np.flatnonzero(a), np.flatnonzero(b)
+            if len(i) and len(j):
+                reach = theta + (rx[i].max() + ry[j].max() if a is ax and b is ay else rx[i][:, None] + ry[j][None])
+                hit = x[i] @ y[j].T >= (1 - reach * reach / 2 - MARGIN)
+                p, q = np.nonzero(hit)
+                found.append((i[p], j[q]))
+    return np.concatenate([p for p, _ in found]), np.concatenate([q for _, q in found])
+
+
 def _kid_pairs(p: np.ndarray, q: np.ndarray, own: bool) -> tuple[np.ndarray, np.ndarray]:
     if own:
         a, b = np.triu_indices(len(p))
@@ -157,12 +185,12 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
-def link_blocks(x: np.ndarray, wx: np.ndarray, y: np.ndarray, wy: np.ndarray, cosine: float, same: bool, tx: list | None = None):
+def link_blocks(x: np.ndarray, wx: np.ndarray, y: np.ndarray, wy: np.ndarray, cosine: float, same: bool, tx: list | None = None, ty: list | None = None):
     """Links of two blocks: weighted counts per point of either side, and
     spanning edges between positions (x first, then y)."""
     theta = np.sqrt(2 - 2 * cosine)
     tx = tx or build_tree(x, theta)
-    ty = tx if same else build_tree(y, theta)
+    ty = tx if same else ty or build_tree(y, theta)
     off = 0 if same else len(x)
     got_x, got_y = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
     if same:
@@ -240,24 +268,54 @@ def _blocks(pts: DataFrame) -> DataFrame:
                        .select("pid", "dim", "w", "unit", "block"))
 
 
-def _packed(p: pd.DataFrame) -> pd.DataFrame:
-    """A block as one row: its points, centre and covering radius."""
-    d = int(p["dim"].iloc[0])
-    p = p.sort_values("pid")
-    x = np.frombuffer(b"".join(p["unit"])).reshape(-1, d)
-    c = x.mean(axis=0)
-    radius = float(np.sqrt(((x - c) ** 2).sum(axis=1).max()))
-    return pd.DataFrame({"block": [p["block"].iloc[0]], "dim": [d], "ids": [p["pid"].to_numpy(np.int64).tobytes()],
-                         "w": [p["w"].to_numpy(np.int64).tobytes()], "x": [x.tobytes()], "centre": [c.tolist()], "radius": [radius]})
+def _packed(theta: float):
+    def pack(p: pd.DataFrame) -> pd.DataFrame:
+        """A block as one row: its points, centre, covering radius and tree."""
+        d = int(p["dim"].iloc[0])
+        p = p.sort_values("pid")
+        x = np.frombuffer(b"".join(p["unit"])).reshape(-1, d)
+        c = x.mean(axis=0)
+        radius = float(np.sqrt(((x - c) ** 2).sum(axis=1).max()))
+        return pd.DataFrame({"block": [p["block"].iloc[0]], "dim": [d], "ids": [p["pid"].to_numpy(np.int64).tobytes()],
+                             "w": [p["w"].to_numpy(np.int64).tobytes()], "x": [x.tobytes()], "centre": [c.tolist()], "radius": [radius],
+                             "tree": [_dump(build_tree(x, theta))]})
+    return pack
+
+
+def _dump(levels: list[dict]) -> bytes:
+    """The levels as arrays: node counts, then centres, radii and, but for the last, kids and their numbers."""
+    parts = [np.array([len(levels), *(len(v["centre"]) for v in levels)], np.float64)]
+    for v in levels:
+        parts += [v["centre"], v["radius"]]
+        if v["kids"] is not None:
+            parts += [[len(k) for k in v["kids"]], np.concatenate(v["kids"])]
+    return np.concatenate([np.asarray(p, np.float64) for p in parts]).tobytes()
+
+
+def _load(data: bytes) -> list[dict]:
+    flat = np.frombuffer(data)
+    sizes = flat[1:1 + int(flat[0])].astype(np.int64)
+    at, out = 1 + len(sizes), []
+    for k, n in enumerate(sizes):
+        level = {"centre": flat[at:at + n].astype(np.int64), "radius": flat[at + n:at + 2 * n], "kids": None}
+        at += 2 * n
+        if k + 1 < len(sizes):
+            cuts = np.cumsum(flat[at:at + n].astype(np.int64))
+            level["kids"] = np.split(flat[at + n:at + n + sizes[k + 1]].astype(np.int64), cuts[:-1])
+            at += n + sizes[k + 1]
+        out.append(level)
+    return out
 
 
 def links(pts: DataFrame, cosine: float = COSINE) -> tuple[DataFrame, DataFrame]:
     """(pid, n: weighted links to other points) and spanning edges (a, b)."""
     packed = cut_lineage(_blocks(pts).groupBy("block").applyInPandas(
-        _packed, "block string, dim int, ids binary, w binary, x binary, centre array<double>, radius double"))
-    # one number per block, of which there are few; each then names its partners with higher numbers
-    numbered = cut_lineage(packed.withColumn("no", (F.row_number().over(Window.orderBy("block")) - 1).cast("int")))
-    n = numbered.count()
+        _packed(float(np.sqrt(2 - 2 * cosine))),
+        "block string, dim int, ids binary, w binary, x binary, centre array<double>, radius double, tree binary"))
+    # one number per block (only the names meet in one task); each then names its partners with higher numbers
+    numbers = cut_lineage(packed.select("block").withColumn("no", (F.row_number().over(Window.orderBy("block")) - 1).cast("int")))
+    n = numbers.count()
+    numbered = join_small(packed, numbers, "block")
     balls = numbered.select("no", "dim", "centre", "radius")
     a = balls.select(F.col("no").alias("i"), F.col("dim").alias("dim_i"), F.col("centre").alias("ci"), F.col("radius").alias("ri"),
                      F.explode(F.sequence("no", F.lit(max(0, n - 1)))).alias("j"))
@@ -265,25 +323,30 @@ def links(pts: DataFrame, cosine: float = COSINE) -> tuple[DataFrame, DataFrame]
     gap = F.sqrt(F.aggregate(F.zip_with("ci", "cj", lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, v: s + v))
     near = cut_lineage(a.join(b, "j").where("dim_i = dim_j")
                        .where(gap <= float(np.sqrt(2 - 2 * cosine)) + F.col("ri") + F.col("rj") + SLACK).select("i", "j"))
-    blob = numbered.select("no", "dim", "ids", "w", "x")
-    sides = (near.select("i", "j", F.col("i").alias("no")).union(near.where("i < j").select("i", "j", F.col("j").alias("no"))).join(blob, "no"))
-
-    held: dict = {}
+    # pairs of blocks are dealt in tiles, so that a block travels once per tile and not once per pair
+    tile = max(1, min(TILE, n // 8))
+    keyed = near.select((F.col("i") / tile).cast("int").alias("ti"), (F.col("j") / tile).cast("int").alias("tj"), "i", "j")
+    wants = (keyed.select("ti", "tj", F.col("i").alias("no"), F.col("j").alias("with"))
+             .union(keyed.select("ti", "tj", F.col("j").alias("no"), F.lit(None).cast("int")))
+             .groupBy("ti", "tj", "no").agg(F.collect_set("with").alias("with")))  # at most TILE partners
+    sides = wants.join(numbered.select("no", "dim", "ids", "w", "x", "tree"), "no")
 
     def meet(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("no")
-        d = int(p["dim"].iloc[0])
-        ids, w, x = zip(*((np.frombuffer(r["ids"], np.int64), np.frombuffer(r["w"], np.int64), np.frombuffer(r["x"]).reshape(-1, d)) for _, r in p.iterrows()))
-        same = len(p) == 1
-        # the groups come in order of the first block: its tree is kept for the next
-        if held.get("x") != p["x"].iloc[0]:
-            held.update(x=p["x"].iloc[0], tree=build_tree(x[0], float(np.sqrt(2 - 2 * cosine))))
-        got_x, got_y, root = link_blocks(x[0], w[0], x[-1], w[-1], cosine, same, held["tree"])
-        every = ids[0] if same else np.concatenate(ids)
-        got = got_x if same else np.concatenate([got_x, got_y])
-        some = (got > 0) | (root != np.arange(len(root)))
-        return pd.DataFrame({"pid": every[some], "n": got[some], "root": every[root[some]]})
-    met = cut_lineage(sides.groupBy("i", "j").applyInPandas(meet, "pid long, n long, root long"))
+        held = {}
+        for _, r in p.iterrows():
+            held[r["no"]] = (np.frombuffer(r["ids"], np.int64), np.frombuffer(r["w"], np.int64),
+                             np.frombuffer(r["x"]).reshape(-1, int(r["dim"])), _load(r["tree"]))
+        out = []
+        for i, partners in zip(p["no"], p["with"]):
+            for j in sorted(partners):
+                (ia, wa, xa, ta), (ib, wb, xb, tb) = held[i], held[j]
+                got_x, got_y, root = link_blocks(xa, wa, xb, wb, cosine, i == j, ta, tb)
+                every = ia if i == j else np.concatenate([ia, ib])
+                got = got_x if i == j else np.concatenate([got_x, got_y])
+                some = (got > 0) | (root != np.arange(len(root)))
+                out.append(pd.DataFrame({"pid": every[some], "n": got[some], "root": every[root[some]]}))
+        return pd.concat(out) if out else pd.DataFrame({"pid": [], "n": [], "root": []}, dtype="int64")
+    met = cut_lineage(sides.groupBy("ti", "tj").applyInPandas(meet, "pid long, n long, root long"))
     counts = met.groupBy("pid").agg(F.sum("n").alias("n"))
     return counts, met.where("pid != root").select(F.col("pid").alias("a"), F.col("root").alias("b")).distinct()
 
