@@ -275,12 +275,13 @@ def rff(df: DataFrame, cols: Sequence[str], n_out: int = 64, gamma: float = 0.2,
                                                           + F.lit(b[j])) for j in range(n_out)})
 
 
-def kmeans_fixed(df: DataFrame, cols: Sequence[str], init: Sequence[Sequence[float]], iters: int = 5,
+def kmeans_fixed(df: DataFrame, cols: Sequence[str], init: Sequence[Sequence[float]], iters: int | None = None,
                  name: str = "cluster") -> DataFrame:
-    """J24 (deterministic variant): Lloyd iterations from given centres.
-    Each iteration is one aggregate (mean per cluster); the centres (k x d
+    """J24 (deterministic variant): Lloyd iterations from given centres, until
+    no row's cluster changes, or exactly ``iters`` of them.  Each iteration is
+    one aggregate (mean per cluster, rows that changed); the centres (k x d
     numbers) are the fitted model carried between iterations.  Ties go to
-    the lower cluster index."""
+    the lower cluster index; a cluster without rows keeps its centre."""
     centres = [list(map(float, c)) for c in init]
 
     def assign(cs):
@@ -292,11 +293,21 @@ def kmeans_fixed(df: DataFrame, cols: Sequence[str], init: Sequence[Sequence[flo
             best = F.least(best, d[j])
         return expr
 
-    for _ in range(iters):
-        rows = df.withColumn(name, assign(centres)).groupBy(name).agg(
-            *[F.avg(c).alias(c) for c in cols]).collect()
+    before, seen, done = None, set(), 0
+    while iters is None or done < iters:
+        moved = F.lit(1) if before is None else (assign(centres) != assign(before)).cast("int")
+        rows = df.withColumn(name, assign(centres)).withColumn("__moved", moved).groupBy(name).agg(
+            *[F.avg(c).alias(c) for c in cols], F.sum("__moved").alias("__moved")).collect()
+        if iters is None and not any(r["__moved"] for r in rows):
+            break
         new = {r[name]: [float(r[c]) for c in cols] for r in rows}
-        centres = [new.get(j, centres[j]) for j in range(len(centres))]
+        before, centres = centres, [new.get(j, centres[j]) for j in range(len(centres))]
+        done += 1
+        # the same centres again: rows as near to two centres as rounding tells
+        key = tuple(map(tuple, centres))
+        if iters is None and key in seen:
+            break
+        seen.add(key)
     return df.withColumn(name, assign(centres))
 
 

@@ -294,11 +294,11 @@ def kmeans_label(spark, sf):
 KM_ITERS = 3
 
 
-def _kmeans_fixed(spark, sf):
+def _kmeans_fixed(spark, sf, iters=KM_ITERS):
     s = cut_lineage(study(spark, sf).withColumns({c: F.col(c).cast("double") for c in KM_COLS}))
     lo = s.orderBy("id").select(*KM_COLS).first()
     hi = s.orderBy(F.col("id").desc()).select(*KM_COLS).first()
-    return md.kmeans_fixed(s, KM_COLS, [list(lo), list(hi)], iters=KM_ITERS)
+    return md.kmeans_fixed(s, KM_COLS, [list(lo), list(hi)], iters=iters)
 
 
 def _kmeans_sql() -> str:
@@ -321,7 +321,8 @@ def _kmeans_sql() -> str:
 @query("kmeans_fixed_steps", f"WITH {STUDY_SQL}, {_kmeans_sql()} SELECT id, cl AS cluster FROM fin")
 def kmeans_fixed_steps(spark, sf):
     """J24, deterministic: three Lloyd iterations from the rows with the
-    smallest and largest id as centres."""
+    smallest and largest id as centres; they have not settled by then (see
+    kmeans_settled)."""
     return _kmeans_fixed(spark, sf).select("id", F.col("cluster").cast("int").alias("cluster"))
 
 
@@ -329,13 +330,52 @@ def kmeans_fixed_steps(spark, sf):
 SELECT cl AS cluster, count(*) AS n, {", ".join(f"round(avg({c}), 6) AS mean_{c}" for c in KM_COLS)},
        round(avg(label), 6) AS label_share FROM fin GROUP BY cl""")
 def cluster_profile(spark, sf):
-    """Size, column means and label share per cluster."""
-    k = _kmeans_fixed(spark, sf)
+    """Size, column means and label share per cluster after three Lloyd
+    iterations only (cluster_profile_settled has the settled clusters)."""
+    return _profile(_kmeans_fixed(spark, sf))
+
+
+def _profile(k):
     return k.groupBy(F.col("cluster").cast("int").alias("cluster")).agg(
         F.count(F.lit(1)).alias("n"), *[_r(F.avg(c)).alias(f"mean_{c}") for c in KM_COLS],
         _r(F.avg("label")).alias("label_share"))
 
 
+def _settled_sql() -> str:
+    """Lloyd's steps in a recursive query: centres a and b, those before (p, q), and whether a row changed."""
+    cols = KM_COLS
+    row = lambda where, key: f"SELECT {', '.join(f'{c} AS {key}_{c}' for c in cols)} FROM pts WHERE id = (SELECT {where}(id) FROM pts)"
+
+    def nearer(a, b):
+        d = [" + ".join(f"power({c} - {k}_{c}, 2)" for c in cols) for k in (a, b)]
+        return f"CASE WHEN {d[1]} < {d[0]} THEN 1 WHEN {d[1]} >= {d[0]} THEN 0 END"
+    keep = lambda c, k, v: f"coalesce(avg({c}) FILTER (cl = {v}), any_value({k}_{c}))"
+    none = ", ".join(f"NULL::DOUBLE AS {k}_{c}" for k in "pq" for c in cols)
+    return f"""pts AS MATERIALIZED (SELECT id, label, {", ".join(f"{c}::DOUBLE AS {c}" for c in cols)} FROM study),
+km AS (
+  SELECT 0 AS it, true AS moved, a.*, b.*, {none} FROM ({row("min", "a")}) a CROSS JOIN ({row("max", "b")}) b
+  UNION ALL
+  SELECT it + 1, bool_or(cl IS DISTINCT FROM old), {", ".join(keep(c, "a", 0) for c in cols)}, {", ".join(keep(c, "b", 1) for c in cols)},
+         {", ".join(f"any_value({k}_{c})" for k in "ab" for c in cols)}
+  FROM (SELECT *, {nearer("a", "b")} AS cl, {nearer("p", "q")} AS old FROM km CROSS JOIN pts WHERE moved) GROUP BY it),
+fin AS (SELECT pts.*, {nearer("a", "b")} AS cl FROM pts CROSS JOIN (SELECT * FROM km WHERE NOT moved))"""
+
+
+@query("kmeans_settled", f"WITH RECURSIVE {STUDY_SQL}, {_settled_sql()} SELECT id, cl AS cluster FROM fin")
+def kmeans_settled(spark, sf):
+    """J24, deterministic: Lloyd iterations from the rows with the smallest
+    and largest id as centres, until no row changes its cluster."""
+    return _kmeans_fixed(spark, sf, iters=None).select("id", F.col("cluster").cast("int").alias("cluster"))
+
+
+@query("cluster_profile_settled", f"""WITH RECURSIVE {STUDY_SQL}, {_settled_sql()}
+SELECT cl AS cluster, count(*) AS n, {", ".join(f"round(avg({c}), 6) AS mean_{c}" for c in KM_COLS)},
+       round(avg(label), 6) AS label_share FROM fin GROUP BY cl""")
+def cluster_profile_settled(spark, sf):
+    """Size, column means and label share per settled cluster."""
+    return _profile(_kmeans_fixed(spark, sf, iters=None))
+
+
 @query("oof_predictions")
 def oof_predictions(spark, sf):
     """Out-of-fold probabilities of several model families in one long
