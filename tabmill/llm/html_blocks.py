@@ -3,7 +3,8 @@
 A page is cut into blocks (paragraphs, headings, list items, cells ...).
 Blocks inside navigation, page headers and footers, sidebars, forms and the
 like, by element or by the words of their class, id and role, are never
-text.  The first pass labels the others by link density, length and
+text, but a class word does not take the page's article, main or most of its
+text away (``_lifted``).  The first pass labels the others by link density, length and
 stop-word density as good, bad, near-good or short; the second lets the
 undecided ones (short, near-good) take the labels of the nearest decided
 neighbours of the same section.  Inside a page's <article> or <main> text is
@@ -13,7 +14,8 @@ bad, and the section's ends count as good neighbours.
 Defined results: character references are decoded; any white space inside
 a block is one space, blocks are trimmed and joined by one space in page
 order; null or empty html and pages without text give an empty string;
-unclosed elements end with their parent; repeated rows are rows; an empty
+unclosed elements end with their parent, a head at what cannot stand in it,
+raw text (scripts, styles, titles, text areas, frames) with the page; repeated rows are rows; an empty
 table gives no rows; other columns pass through unread, whatever their names.
 """
 
@@ -39,8 +41,11 @@ zum zur
 al como con del el ella en entre era es esta este fue ha hay la las lo los más muy no nos o para pero por porque que se
 ser si sin sobre su sus también te un una y ya
 """.split())
-#: Elements whose content is never text, and elements that are page furniture.
-RAW = frozenset("script style noscript template svg math iframe object canvas head title textarea select option datalist button audio video map".split())
+#: Elements whose content is never text: raw text up to the end tag, and elements that nest; and elements that are page furniture.
+RAW = frozenset("script style iframe title textarea".split())
+PHRASING = frozenset("svg math canvas select option datalist button audio video map".split())  # no article or main stands in these
+SILENT = PHRASING | {"noscript", "template", "object"}
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 FURNITURE = frozenset("nav footer aside form menu dialog header".split())
 #: Elements that start and end a block.
 BLOCK = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure
@@ -52,6 +57,10 @@ MARKS = frozenset("""ad ads adbox advert adverts advertisement advertising alert
 commentlist consent cookie cookies disqus dropdown footer gdpr masthead menu menubar modal nav navbar navigation newsletter notice notices
 overlay pagination pager popup promo promoted promotion recommended related replies reply respond search share sharing sidebar sidenav
 signup skip social sponsor sponsored subscribe tagcloud tags toolbar topbar widget widgets complementary contentinfo""".split())
+#: Marks of parts that hold what readers wrote, often more than the page's own text; first and last parts of class words that tell a state.
+REPLIES = frozenset("comment comments commentlist disqus replies reply respond".split())
+STATE_FIRST = frozenset("no not without has have with".split())
+STATE_LAST = frozenset("free open opened closed collapsed enabled disabled".split())
 #: First pass: link density above which a block is bad, lengths in characters, stop-word densities.
 MAX_LINKS, SHORT, LONG, STOP_LOW, STOP_HIGH = 0.33, 70, 200, 0.15, 0.30
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)", re.S)
@@ -71,11 +80,38 @@ class Block:
     label: str = ""
 
 
-def _furniture(tag: str, attrs: str, in_article: bool) -> bool:
+@dataclass
+class Mark:
+    """A class word's element: whether the whole word is a mark, whether it marks replies, text and articles in it."""
+    at: int
+    whole: bool
+    replies: bool
+    text: int = 0
+    articles: int = 0
+    mains: int = 0
+
+
+@dataclass
+class Page:
+    blocks: list[Block] = field(default_factory=list)
+    marks: list[Mark] = field(default_factory=list)
+    text: int = 0  # characters, without white space, that are not skipped
+    free: int = 0  # of these, outside marks
+    lost: int = 0  # characters skipped
+    articles: int = 0
+    mains: int = 0
+    free_articles: int = 0
+    free_mains: int = 0
+    lost_articles: int = 0
+
+
+def _furniture(tag: str, attrs: str, in_article: bool, at: int) -> bool | Mark:
+    """True for elements that never hold text, a Mark for a class word's."""
     if tag in FURNITURE and not (tag == "header" and in_article):
         return True
     if not attrs:
         return False
+    mark = None
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), unescape(a or b or c).lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
@@ -85,46 +121,86 @@ def _furniture(tag: str, attrs: str, in_article: bool) -> bool:
         if name in ("class", "id", "role") and tag not in ("html", "body", "article", "main"):
             for word in value.split():
                 parts = _SPLIT.split(word)
-                if word in MARKS or MARKS.intersection(parts):
-                    return True
-                if not in_article and "header" in parts and not {"article", "post", "entry"}.intersection(parts):
-                    return True
-    return False
+                if word not in MARKS and len(parts) > 1 and (parts[0] in STATE_FIRST or parts[-1] in STATE_LAST):
+                    continue
+                hit = MARKS.intersection(parts) or ({word} if word in MARKS else set())
+                if not hit and not in_article and "header" in parts and not {"article", "post", "entry"}.intersection(parts):
+                    hit = {"header"}
+                if hit:
+                    mark = mark or Mark(at, False, False)
+                    mark.whole |= word in MARKS or word == "header"
+                    mark.replies |= not REPLIES.isdisjoint(hit)
+    return mark or False
+
+
+def _lifted(page: Page) -> frozenset[int]:
+    """Where marked elements begin that are no furniture: the page's only
+    main or articles are in them, or, if the mark is only a part of a class
+    word, most of the page's text."""
+    return frozenset(
+        m.at for m in page.marks
+        if m.mains and not page.free_mains
+        or not m.replies and (m.articles and not page.free_articles and m.text >= page.free or not m.whole and 2 * m.text > page.text))
 
 
 def blocks(html: str) -> list[Block]:
     """The blocks outside furniture, with text, linked characters and section
     (0 outside article and main elements)."""
-    out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # element, furniture, section
+    page = _parse(html, frozenset(), False)
+    if page.marks and (page.lost_articles or page.lost > page.text):
+        lifted = _lifted(_parse(html, frozenset(), True))
+        if lifted:
+            page = _parse(html, lifted, False)
+    return page.blocks
+
+
+def _parse(html: str, lifted: frozenset[int], survey: bool) -> Page:
+    """One pass over the page; marked elements are skipped if not lifted.  A
+    survey skips none of them and counts what is in them."""
+    page = Page()
+    stack: list[tuple[str, bool, int, Mark | None]] = []  # element, skipped, section outside, counted mark
     open_: dict[str, int] = {}  # elements of a name in the stack
-    block, section, sections, links, skip, at = Block(), 0, 0, 0, 0, 0
+    block, section, sections, links, skip, marked, at = Block(), 0, 0, 0, 0, 0, 0
 
     def flush() -> None:
         nonlocal block
         text = " ".join("".join(block.parts).split())
         if text:
             block.text, block.section = text, section
-            out.append(block)
+            page.blocks.append(block)
         block = Block()
 
     def pop_to(k: int) -> None:
-        nonlocal section, links, skip
-        if any(t in BLOCK for t, _, _ in stack[k:]):
+        nonlocal section, links, skip, marked
+        if any(t in BLOCK for t, *_ in stack[k:]):
             flush()
-        for tag, bad, outer in reversed(stack[k:]):
+        for tag, bad, outer, mark in reversed(stack[k:]):
             skip -= bad
             links -= tag == "a"
             section = outer
             open_[tag] = open_.get(tag, 1) - 1
+            if mark:
+                marked -= 1
+                mark.text, mark.articles, mark.mains = page.text - mark.text, page.articles - mark.articles, page.mains - mark.mains
         del stack[k:]
 
     def say(raw: str) -> None:
-        if raw and not skip:
-            text = unescape(raw) if "&" in raw else raw
-            block.parts.append(text)
-            if links:
-                block.linked += len("".join(text.split()))
+        if not raw:
+            return
+        if skip:
+            page.lost += len(raw)
+            return
+        text = unescape(raw) if "&" in raw else raw
+        block.parts.append(text)
+        n = len("".join(text.split()))
+        page.text += n
+        if not marked:
+            page.free += n
+        if links:
+            block.linked += n
+
+    def first(names: frozenset[str]) -> int:
+        return next(i for i, entry in enumerate(stack) if entry[0] in names)
 
     size = len(html)
     while at < size:
@@ -140,23 +216,27 @@ def blocks(html: str) -> list[Block]:
             k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1) if open_.get(tag) else -1
             if k >= 0:
                 # an inline end tag does not close the blocks around it
-                if tag in BLOCK or not any(t in BLOCK for t, _, _ in stack[k + 1:]):
+                if tag in BLOCK or tag in SILENT or tag == "head" or not any(t in BLOCK for t, *_ in stack[k + 1:]):
                     pop_to(k)
                 else:
                     links -= tag == "a"
                     open_[tag] -= 1
-                    stack[k] = ("", stack[k][1], stack[k][2])
+                    stack[k] = ("", *stack[k][1:])
             elif tag in BLOCK:
                 flush()
             continue
+        closed = attrs.rstrip().endswith("/")
+        foreign = open_.get("svg") or open_.get("math")
+        if open_.get("head") and (tag == "body" or stack[-1][0] == "head" and tag not in IN_HEAD):
+            pop_to(first(frozenset({"head"})))
+        if foreign and tag in BLOCK and not any(open_.get(t) for t in ("foreignobject", "desc", "annotation-xml")):
+            pop_to(first(frozenset({"svg", "math"})))
+        if tag in ("article", "main") and any(open_.get(t) for t in PHRASING):
+            pop_to(first(PHRASING))
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, at) if tag not in ("svg", "math", "object", "map", "head") else None
-            if tag == "head":
-                end = re.compile(r"</head(?=[\s/>])|<body(?=[\s/>])", re.I).search(_blank_raw(html, at), at)
-            elif end is None and tag in ("svg", "math", "object", "map"):
-                end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
-            if attrs.rstrip().endswith("/") and tag in ("svg", "math"):
+            if foreign and closed:
                 continue
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, at)
             at = end.start() if end else size
             continue
         if tag in BLOCK or tag == "br":
@@ -168,7 +248,7 @@ def blocks(html: str) -> list[Block]:
                     if stack[i][0] == "p":
                         pop_to(i)
                         break
-                    if stack[i][0] in BLOCK:
+                    if stack[i][0] in BLOCK or stack[i][0] in ("object", "template") or stack[i][0] == "button" and tag != "p":
                         break
             if tag in _SAME:
                 for i in range(len(stack) - 1, -1, -1):
@@ -178,23 +258,33 @@ def blocks(html: str) -> list[Block]:
                     if stack[i][0] in ("ul", "ol", "dl", "table", "menu", "article", "main", "body"):
                         break
             flush()
-        if tag in VOID or attrs.rstrip().endswith("/") and tag not in BLOCK:
+        if tag in VOID or closed and tag not in BLOCK and (foreign or tag not in SILENT or tag in ("svg", "math")):
             continue
-        bad = not skip and _furniture(tag, attrs, section > 0) or False
-        stack.append((tag, bool(bad), section))
+        if tag in ("article", "main"):
+            is_main = tag == "main"
+            page.articles += not skip and not is_main
+            page.mains += not skip and is_main
+            page.lost_articles += bool(skip)
+            page.free_articles += not skip and not marked and not is_main
+            page.free_mains += not skip and not marked and is_main
+        found = not skip and (tag in SILENT or _furniture(tag, attrs, section > 0, m.start()))
+        mark = None
+        if isinstance(found, Mark):
+            page.marks.append(found)
+            if survey:
+                mark, found.text, found.articles, found.mains = found, page.text, page.articles, page.mains
+                marked += 1
+            found = not survey and found.at not in lifted
+        stack.append((tag, bool(found), section, mark))
         open_[tag] = open_.get(tag, 0) + 1
-        skip += bool(bad)
+        skip += bool(found)
         links += tag == "a"
         if tag in ("article", "main") and not section:
             sections += 1
             section = sections
     flush()
-    return out
-
-
-def _blank_raw(html: str, at: int) -> str:
-    """html with the head's scripts, styles and comments blanked, so that tags in their text don't end the head."""
-    return re.compile(r"<!--.*?-->|<(script|style|noscript|template|title)\b.*?</\1\s*>", re.S | re.I).sub(lambda m: " " * len(m[0]), html) if at else html
+    pop_to(0)
+    return page
 
 
 def classify(found: list[Block]) -> None:

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tabmill.llm import html_blocks
 from tabmill.operators import models
 from tests.conftest import SF001
 from tools.check import _rows
@@ -26,3 +27,31 @@ def test_settled_clusters_match_sql(spark, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF001}/{t}.parquet')")
     got, want = entry.queries()[name](spark, SF001), con.sql(entry.oracle_sql()[name])
     assert _rows(got.columns, [tuple(r) for r in got.collect()]) == _rows(want.columns, want.fetchall())
+
+
+LONG = "The cat sat on the mat and it was the best of all the days in the town for them. " * 4
+BODY = f"<article><p>{LONG}</p></article>"
+
+
+@pytest.mark.parametrize("html, want", [
+    *[(f"<nav>Home</nav><div class='{c}'>{BODY}</div><footer>f</footer>", LONG) for c in ("no-sidebar", "has-sidebar", "with-nav", "menu-open", "layout-sidebar", "menu", "page__header")],
+    (f"<div id=page class=content-ad-free><p>{LONG}</p></div>", LONG),
+    (f"<main><div class=layout-sidebar><p>{LONG}</p><div class=promo-box>{LONG[:80]}</div></div></main>", LONG),
+    (f"<div class=layout-search><div id=nav-x>Home</div><main><p>{LONG}</main></div>", LONG),
+    (f"{BODY}<div id=comments><article>{LONG * 3}</article></div>", LONG),
+    (f"<div class=no-sidebar>{BODY}<div id=comments><article>{LONG * 3}</article></div></div>", LONG),
+    (f"<div><p>{LONG}</p></div><ol class=comment-list><li><article>{LONG * 3}</article></ol>", LONG),
+    (f"<head><title>T</title><meta charset=utf-8><p>{LONG}", LONG),
+    (f"<head><title>T</title><script>'<p>'</script>{BODY}", LONG),
+    (f"<head><noscript><p>no</head><body>{BODY}", LONG),
+    *[(f"<div><{t}>no</div><p>{LONG}</p>", LONG) for t in ("button", "select", "canvas", "object", "video", "map", "svg", "noscript", "template", "datalist")],
+    *[(f"<body><{t}>no{BODY}</body>", LONG) for t in ("button", "select><option", "canvas", "audio", "svg><g")],
+    (f"<p>{LONG}<button><div>no</div></button><svg><title/><text>no</text></svg><object><p>no</object></p>", LONG),
+    (f"<div><p>{LONG}</p><textarea>no</div><p>no", LONG)])
+def test_html_keeps_the_page(html, want):
+    assert html_blocks.main_text(html) == want.strip()
+
+
+def test_html_of_nested_marks_is_linear():
+    for tag in ("<div class=x-sidebar>", "<svg>", "<button>", "<head>", "<object><p>"):
+        html_blocks.main_text(tag * 20_000 + "<article>x" * 2)
