@@ -44,6 +44,8 @@ BLOCK, PIVOTS, BATCH = 2048, 4096, 200_000
 DENSE = 4096
 #: Safety of the distance bounds against rounding.
 SLACK = 1e-9
+#: How near 1 a cosine is too coarse for the distance.
+CLOSE = 1e-6
 #: And of cosines in single precision.
 MARGIN = 1e-4
 #: Blocks of a tile at most: the pairs of two tiles' blocks are joined in one task.
@@ -62,6 +64,17 @@ def _net(cos: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray]:
     return np.array(centres), owner
 
 
+def _chord(x: np.ndarray, y: np.ndarray, cos: np.ndarray) -> np.ndarray:
+    """Distances of the rows of x and y (or its one row), whose cosines are
+    known: these give them, but lose the digits of very small ones, which
+    come from the differences."""
+    d = np.sqrt(np.maximum(0.0, 2 - 2 * cos))
+    small = np.flatnonzero(cos > 1 - CLOSE)
+    if len(small):
+        d[small] = np.sqrt(np.square(x[small] - (y if len(y) == 1 else y[small])).sum(axis=1))
+    return d
+
+
 def build_tree(x: np.ndarray, theta: float) -> list[dict]:
     """Levels from the root down, radii halving from 4 theta to theta / 16;
     the last level is the points.  Each level: centre (a row of x),
@@ -86,7 +99,7 @@ def build_tree(x: np.ndarray, theta: float) -> list[dict]:
     for k in range(len(levels) - 2, -1, -1):
         up = levels[k]
         below = [under(levels, k, v) for v in range(len(up["centre"]))]
-        up["radius"] = np.array([np.sqrt(max(0.0, 2 - 2 * float(cos[c, u].min()))) if len(u) > 1 else 0.0 for u, c in zip(below, up["centre"])])
+        up["radius"] = np.array([_chord(x[u], x[[c]], cos[c, u]).max() if len(u) > 1 else 0.0 for u, c in zip(below, up["centre"])])
     return levels
 
 
@@ -118,7 +131,7 @@ def traverse(x: np.ndarray, tx: list[dict], y: np.ndarray, ty: list[dict], cosin
                 if hit.any():
                     yield "pairs", pi[hit], pj[hit]
                 continue
-            d = np.sqrt(np.maximum(0.0, 2 - 2 * cos))
+            d = _chord(x[nx["centre"][pi]], y[ny["centre"][pj]], cos)
             reach = nx["radius"][pi] + ny["radius"][pj]
             whole = d + reach <= theta - SLACK
             for u, v in zip(pi[whole], pj[whole]):

@@ -1,10 +1,13 @@
 """Cases behind the fixes of the third round."""
 
+import math
+
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-from tabmill.llm import html_blocks
+from tabmill.llm import cover_tree, html_blocks
 from tabmill.operators import models
 from tests.conftest import SF001
 from tools.check import _rows
@@ -55,3 +58,17 @@ def test_html_keeps_the_page(html, want):
 def test_html_of_nested_marks_is_linear():
     for tag in ("<div class=x-sidebar>", "<svg>", "<button>", "<head>", "<object><p>"):
         html_blocks.main_text(tag * 20_000 + "<article>x" * 2)
+
+
+@pytest.mark.parametrize("turn, gap", [(1e-8, 5e-9), (-1e-8, -5e-9), (3e-9, 1.5e-9), (-3e-9, -1.5e-9)])
+def test_links_at_the_threshold_of_nearly_equal_vectors(turn, gap):
+    far = math.acos(0.9) + gap
+    x = np.array([[1.0, 0.0], [math.cos(turn), math.sin(turn)]])
+    y = np.array([[math.cos(far), math.sin(far)]])
+    want = (x @ y.T >= 0.9).astype(int)
+    assert want.sum() == 1
+    one = np.ones(2, np.int64)
+    got_x, got_y, root = cover_tree.link_blocks(x, one, y, one[:1], 0.9, False)
+    assert got_x.tolist() == want[:, 0].tolist() and got_y.tolist() == [1] and len(set(root.tolist())) == 2
+    both = np.concatenate([x, y])
+    assert cover_tree.link_blocks(both, np.ones(3, np.int64), both, np.ones(3, np.int64), 0.9, True)[0].sum() == 4
