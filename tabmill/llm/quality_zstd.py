@@ -7,8 +7,9 @@ sizes, beside the compressed share and the length, is turned into a
 probability by a logistic calibration fitted on other labelled rows.
 
 The fit uses a bounded sample (``FIT_ROWS`` labelled rows per class and use,
-chosen by a hash of the id, and ``FIT_PIECES`` pieces of each for the
-dictionaries); scoring reads every row and whole text.
+chosen by a hash of the id; the dictionaries learn from their whole texts, or
+from evenly spread pieces of all of them where a class has more than
+``FIT_BYTES``); scoring reads every row and whole text.
 
 Defined results: null texts count as empty; an empty text is scored like any
 other (its sizes are 0); of repeated labels of a document the lowest counts,
@@ -30,8 +31,8 @@ from tabmill.session import cut_lineage
 
 #: Labelled rows per class for the dictionaries, and as many for the calibration.
 FIT_ROWS = 2_000
-#: Bytes of a piece, and pieces of a text (evenly spread) that go into a dictionary's samples.
-PIECE, FIT_PIECES = 1024, 4
+#: Bytes of a piece, and of a class's samples for its dictionary (a piece of each text at least).
+PIECE, FIT_BYTES = 1024, 32 << 20
 #: Largest dictionary in bytes; smaller if either class has less than 8 times that in samples.
 DICT_BYTES = 65_536
 LEVEL = 1
@@ -122,10 +123,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             .dropDuplicates(["doc_id"]))
     share = [(r["y"], r["n"]) for r in picks.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()]
     constant = sum(n for y, n in share if y == 1) / max(1, sum(n for _, n in share)) if share else 0.5
-    step = F.greatest(F.length("t") / FIT_PIECES, F.lit(float(PIECE)))
-    pieces = F.array(*[F.substring("t", (F.floor(step * k) + 1).cast("int"), F.lit(PIECE)) for k in range(FIT_PIECES)])
     rows = cut_lineage(rows)
-    got = rows.where("use = 0").select("doc_id", "y", pieces.alias("p")).orderBy("doc_id").collect()
+    learn = rows.where("use = 0 AND length(t) > 0")
+    every = F.lit(1)  # of its pieces a text gives each, or each second, third ... one
+    for r in learn.groupBy("y").agg(F.sum(F.length("t").cast("long")).alias("n")).collect():
+        every = F.when(F.col("y") == r["y"], F.lit(max(1, -(-r["n"] // FIT_BYTES)))).otherwise(every)
+    starts = F.sequence(F.lit(0), F.floor((F.length("t") - 1) / PIECE).cast("int"), every.cast("int"))
+    pieces = F.transform(starts, lambda k: F.substring("t", k * PIECE + 1, F.lit(PIECE)))
+    got = learn.select("doc_id", "y", pieces.alias("p")).orderBy("doc_id").collect()
     samples = [[bytes(p) for r in got if r["y"] == y for p in r["p"] if p] for y in (0, 1)]
     if not all(samples):
         return Model(None, (), constant)

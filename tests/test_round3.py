@@ -1,13 +1,14 @@
 """Cases behind the fixes of the third round."""
 
 import math
+import random
 
 import duckdb
 import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-from tabmill.llm import cover_tree, html_blocks
+from tabmill.llm import cover_tree, html_blocks, quality_zstd
 from tabmill.operators import models
 from tests.conftest import SF001
 from tools.check import _rows
@@ -72,3 +73,24 @@ def test_links_at_the_threshold_of_nearly_equal_vectors(turn, gap):
     assert got_x.tolist() == want[:, 0].tolist() and got_y.tolist() == [1] and len(set(root.tolist())) == 2
     both = np.concatenate([x, y])
     assert cover_tree.link_blocks(both, np.ones(3, np.int64), both, np.ones(3, np.int64), 0.9, True)[0].sum() == 4
+
+
+def test_dictionaries_learn_from_whole_texts(spark):
+    rng = random.Random(4)
+    noise = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    said = ["the committee wishes to record its thanks to all contributors", "buy two get one free while stocks last click here to order"]
+    data = [(i, f"{noise(1300)} {said[i % 2]} {noise(7000)}", i % 2) for i in range(160)]
+    df = spark.createDataFrame(data, "doc_id long, text string, quality int")
+    model = quality_zstd.fit(df.select("doc_id", "text"), df.select("doc_id", "quality"))
+    assert [said[y][4:-4].encode() in model.dicts[y] for y in (0, 1)] == [True, True]
+
+
+def test_dictionary_samples_are_bounded_evenly(spark, monkeypatch):
+    monkeypatch.setattr(quality_zstd, "FIT_BYTES", 100_000)
+    held = []
+    monkeypatch.setattr(quality_zstd, "_train", lambda samples, size: held.append(samples) or b"".join(samples)[-size:])
+    df = spark.createDataFrame([(i, "".join(f"{i:03d}{k:05d}" for k in range(4000)), i % 2) for i in range(40)], "doc_id long, text string, quality int")
+    quality_zstd.fit(df.select("doc_id", "text"), df.select("doc_id", "quality"))
+    for samples in held:
+        assert 50_000 <= sum(map(len, samples)) <= 150_000
+        assert max(int(p[3:8]) for p in samples) >= 3000 and len({p[:3] for p in samples}) >= 5
