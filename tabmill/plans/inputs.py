@@ -36,7 +36,7 @@ _SEG_SQL = ("CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 1 WHEN 'BUILDING' THEN 2 "
 
 
 def study(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per customer (the 'patient'):
+    """One row per customer with orders (the 'patient'); the others are not in it:
 
     id bigint, acctbal double, n_orders bigint, avg_price double,
     max_price double, share_f double, seg int (1..5), nation int,
