@@ -100,10 +100,12 @@ def knn_classify(spark, sf):
 
 
 KNN_GRID = [(k, w) for k in (9, 15, 21) for w in ("uniform", "distance")]
+KNN_GRID_FULL = [(k, w) for k in range(9, 47, 2) for w in ("uniform", "distance")]
 
 
-@query("knn_grid", f"""WITH {_CLS_SQL},
-g AS (SELECT * FROM (VALUES {", ".join(f"({k}, '{w}')" for k, w in KNN_GRID)}) t(kk, weights)),
+def _grid_sql(grid) -> str:
+    return f"""WITH {_CLS_SQL},
+g AS (SELECT * FROM (VALUES {", ".join(f"({k}, '{w}')" for k, w in grid)}) t(kk, weights)),
 nb AS (SELECT rk.*, g.kk, g.weights FROM rk JOIN g ON rk.rank <= g.kk),
 w AS (SELECT *, CASE WHEN weights = 'uniform' THEN 1.0
         WHEN max(CASE WHEN dist = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY qid, kk, weights) = 1
@@ -111,7 +113,10 @@ w AS (SELECT *, CASE WHEN weights = 'uniform' THEN 1.0
 pc AS (SELECT kk, weights, qid, qlabel, y, sum(w) AS ws FROM w GROUP BY ALL),
 pred AS (SELECT * FROM pc QUALIFY row_number() OVER (PARTITION BY kk, weights, qid ORDER BY ws DESC, y) = 1)
 SELECT CAST(kk AS INTEGER) AS k, weights, round(avg(CASE WHEN y = qlabel THEN 1.0 ELSE 0.0 END), 6) AS accuracy
-FROM pred GROUP BY kk, weights""")
+FROM pred GROUP BY kk, weights"""
+
+
+@query("knn_grid", _grid_sql(KNN_GRID))
 def knn_grid(spark, sf):
     """J15 grid (k x weights) scored by test accuracy: one join at the
     largest k, smaller k are rank filters of the same neighbours."""
@@ -130,6 +135,26 @@ def knn_grid(spark, sf):
     return out
 
 
+@query("knn_grid_full", _grid_sql(KNN_GRID_FULL))
+def knn_grid_full(spark, sf):
+    """J15 grid over all 19 k of the studied search x weights: one join at
+    the largest k; each neighbour row is dealt to every k that reaches its
+    rank, and one vote per weighting decides for all k at once."""
+    tr, te = _cls_split(spark, sf)
+    ks = sorted({k for k, _ in KNN_GRID_FULL})
+    nb = knn.knn_join(te, tr, CLS_FEATS, ks[-1], out_q="id", carry=["label"]).withColumnRenamed("label", "y")
+    reach = F.filter(F.array(*[F.lit(k) for k in ks]), lambda k: k >= F.col("rank"))
+    nb = nb.withColumn("k", F.explode(reach)).withColumn("id", F.struct("k", "id"))
+    truth = te.select("id", F.col("label").alias("truth"))
+    out = None
+    for w in ("uniform", "distance"):
+        pred = knn.vote(nb, "id", "y", weights=w).select("id.k", "id.id", "prediction").join(truth, "id")
+        acc = pred.groupBy("k").agg(_r(F.avg((F.col("prediction") == F.col("truth")).cast("double"))).alias("accuracy"))
+        acc = acc.select("k", F.lit(w).alias("weights"), "accuracy")
+        out = acc if out is None else out.unionByName(acc)
+    return out
+
+
 # ---- I4 / I5 / I7: imputation ----------------------------------------------------------------------
 
 def _step_sql(src: str, name: str, target: str, cont: list[str], cats: list[str], kind: str) -> str:

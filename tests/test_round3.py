@@ -24,8 +24,8 @@ def test_lloyd_runs_until_rows_settle(spark):
     assert cut != got
 
 
-@pytest.mark.parametrize("name", ["kmeans_settled", "cluster_profile_settled"])
-def test_settled_clusters_match_sql(spark, name):
+@pytest.mark.parametrize("name", ["kmeans_settled", "cluster_profile_settled", "knn_grid_full"])
+def test_whole_queries_match_sql(spark, name):
     con = duckdb.connect()
     for t in ("customer", "orders", "nation"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF001}/{t}.parquet')")
