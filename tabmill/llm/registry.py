@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from tabmill.llm import bpe, chat_collapse, cover_tree, dedup_mph, html_blocks, jaccard_rtree, mix, quality_zstd, secret_scan, shard_prefix
+from tabmill.llm import bpe, chat_collapse, cover_tree, dedup_mph, fill_middle, html_blocks, jaccard_rtree, mix, pair_bpe, prefix_trie, quality_zstd, secret_scan, shard_prefix
 from tabmill.sources.tables import table
 
 
@@ -26,6 +26,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_zstd": lambda spark, sf_dir: quality_zstd.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op9_shard_prefix": _docs(shard_prefix.query),
     "op10_chat_collapse": _docs(chat_collapse.query, "conversations"),
+    "op11_prefix_trie": _docs(prefix_trie.query, "conversations"),
+    "op12_pair_bpe": _docs(pair_bpe.query),
+    "op13_fill_middle": _docs(fill_middle.query),
     "pipeline": corpus_pipeline.run,
 }
 
@@ -38,4 +41,6 @@ ORACLES: dict[str, str] = {
               FROM documents)""",
     "op4_secret_scan": secret_scan.query_sql(),
     "op10_chat_collapse": chat_collapse.QUERY_SQL,
+    "op11_prefix_trie": prefix_trie.QUERY_SQL,
+    "op13_fill_middle": fill_middle.QUERY_SQL,
 }
