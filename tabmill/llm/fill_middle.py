@@ -37,7 +37,7 @@ PREFIX, SUFFIX, MIDDLE = b"<P>", b"<S>", b"<M>"
 RATE, SPM = 50, 80
 SEED = "42"
 #: Bytes of text that are worked off at once.
-SLICE = 16 << 20
+SLICE = 2 << 20
 _FIELDS = (("n_units", pa.int64()), ("form", pa.string()), ("prefix_chars", pa.int64()), ("middle_chars", pa.int64()), ("output", pa.binary()))
 _TYPE = "struct<n_units: bigint, form: string, prefix_chars: bigint, middle_chars: bigint, output: binary>"
 

@@ -10,10 +10,11 @@ pair are sifted out when their rank comes up).  Since a pair can only be made
 by a merge of a lower rank, one pass over the ranks gives every word what it
 would get alone; a model that breaks this rule is refused.
 
-The normaliser is the model file's own.  Words are found by its pattern over
-character classes that are asked of the library once per character, so they
-agree with it whatever Unicode version it holds.  Special tokens are cut out
-of the raw text first.  Texts of more than ``LONG`` characters are worked off
+Characters are lower-cased and classed as the library does, whatever Unicode
+version it holds: it is asked once per character whether Python agrees.  Text
+of characters on which it does not, or that is not in NFC, goes through the
+model file's own normaliser and the library's classes.  Special tokens are
+cut out of the raw text first.  Texts of more than ``LONG`` characters are worked off
 in pieces cut only before white space, where neither normalisation nor a word
 nor a special token reaches across.  An index takes at most ``INDEX_SYMBOLS``
 symbols (or one word); more words make a further index, with the same result.
@@ -30,7 +31,8 @@ import hashlib
 import heapq
 import json
 import re
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +40,8 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Characters up to which a text is worked off in one go.
 LONG = 65_536
-#: Symbols of one pair index, and words that a worker remembers from earlier batches.
-INDEX_SYMBOLS, REMEMBERED = 4 << 20, 200_000
+#: Symbols of one pair index.
+INDEX_SYMBOLS = 2 << 20
 #: Largest model file that is sent to the executors.
 MODEL_BYTES = 64 << 20
 _WS = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -47,6 +49,9 @@ _CUT = re.compile(f"(?<=[^{_WS}])(?=[{_WS}])")
 #: Fixed value: the word pattern, over text in which other letters, numbers and
 #: white space are written as A, 0 and a blank and anything else as an exclamation mark.
 _WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zA]+|[0-9]|[^\t-\r a-zA0-9]+")
+#: The same for text of characters that Python classes as the library does.
+_PLAIN_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+_LETTER = re.compile(r"[^\W\d_]")
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _MODELS: dict[str, Model] = {}
 
@@ -76,6 +81,24 @@ class _Classes(dict):
         return self[code]
 
 
+class _Plain(dict):
+    """Whether a character is lower-cased and classed by Python as by the
+    library, wherever it stands in a text that is in NFC."""
+
+    def __init__(self, normalize, classes: _Classes) -> None:
+        super().__init__()
+        self.normalize, self.classes = normalize, classes
+
+    def __missing__(self, c: str) -> bool:
+        low = c.lower()
+        kinds = ["A" if _LETTER.match(x) else "0" if x.isdecimal() else " " if x.isspace() else "!" for x in low]
+        told = [chr(self.classes[ord(x)]) for x in low]
+        told = ["A" if x.isalpha() else "0" if x.isdigit() else " " if x in "\t\n\v\f\r " else "!" for x in told]
+        blank = kinds == told == [" "]
+        self[c] = c != "Σ" and kinds == told and (blank or self.normalize(c) == low)
+        return self[c]
+
+
 class _Numbers(dict):
     """Consecutive numbers of words, in the order in which they are met."""
 
@@ -85,7 +108,7 @@ class _Numbers(dict):
 
 
 class Model:
-    """A BPE model file: its merges as sorted pair keys, symbols of bytes, and the words done so far."""
+    """A BPE model file: its merges as sorted pair keys, and the symbols of bytes."""
 
     def __init__(self, data: bytes) -> None:
         from tokenizers import Tokenizer
@@ -99,10 +122,11 @@ class Model:
         tok = Tokenizer.from_str(data.decode())
         self.normalize = tok.normalizer.normalize_str
         self.classes = _Classes(tok.pre_tokenizer[0])
+        self.plain = _Plain(self.normalize, self.classes)
         vocab, end = bpe["vocab"], bpe.get("end_of_word_suffix") or ""
         names = byte_names()
-        self.inner = np.array([vocab[c] for c in names], np.int64)
-        self.last = np.array([vocab[c + end] for c in names], np.int64)
+        self.inner = np.array([vocab[c] for c in names], np.int32)
+        self.last = np.array([vocab[c + end] for c in names], np.int32)
         self.special = {t["content"]: t["id"] for t in added}
         self.cut_special = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if added else None
         self.base = 1 + max([*vocab.values(), *self.special.values()])
@@ -120,26 +144,27 @@ class Model:
         keys = left * self.base + right
         order = np.argsort(keys)
         self.keys, self.ranks = keys[order], order
-        self.known: dict[str, np.ndarray] = {}
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Ranks of pairs, -1 where there is no merge."""
-        key = a * self.base + b
+        key = a.astype(np.int64) * self.base + b
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], -1)
 
-    def words(self, text: str) -> Iterator[str]:
-        """Words and special tokens of a whole text, in order."""
+    def words(self, text: str) -> Iterator[list[str]]:
+        """Words and special tokens of a whole text, in order, in lists."""
         for piece in pieces(text):
             parts = self.cut_special.split(piece) if self.cut_special else [piece]
             for k, part in enumerate(parts):
                 if k % 2:
-                    yield part
+                    yield [part]
                 elif part.isascii():
-                    yield from _WORD.findall(part.lower())
+                    yield _WORD.findall(part.lower())
+                elif all(map(self.plain.__getitem__, set(part))) and unicodedata.is_normalized("NFC", part):
+                    yield _PLAIN_WORD.findall(part.lower())
                 else:
-                    plain = self.normalize(part)
-                    yield from (plain[m.start():m.end()] for m in _WORD.finditer(plain.translate(self.classes)))
+                    part = self.normalize(part)
+                    yield [part[m.start():m.end()] for m in _WORD.finditer(part.translate(self.classes))]
 
 
 def pieces(text: str) -> Iterator[str]:
@@ -160,7 +185,7 @@ def merge_all(model: Model, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]
     raw = np.frombuffer(b"".join(words), np.uint8)
     sym = model.inner[raw]
     sym[ends - 1] = model.last[raw[ends - 1]]
-    nxt, prv = np.arange(1, len(sym) + 1), np.arange(-1, len(sym) - 1)
+    nxt, prv = np.arange(1, len(sym) + 1, dtype=np.int32), np.arange(-1, len(sym) - 1, dtype=np.int32)
     nxt[ends - 1] = -1
     prv[ends - lengths] = -1
     held: dict[int, list[np.ndarray]] = {}
@@ -212,38 +237,34 @@ def merge_all(model: Model, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]
     return sym[alive], np.concatenate([[0], np.cumsum(count)])
 
 
-def encode_batch(model: Model, texts: list[str]) -> pa.ListArray:
+def encode_batch(model: Model, texts: Iterable[str]) -> pa.ListArray:
     """Ids of every text."""
     index = _Numbers()
-    lines = [np.fromiter(map(index.__getitem__, model.words(t)), np.int64) for t in texts]
-    names = list(index)
-    found: list[np.ndarray | None] = [model.known.get(w) for w in names]
-    for k, w in enumerate(names):
-        if w in model.special:
-            found[k] = np.array([model.special[w]], np.int64)
-    todo = [k for k, f in enumerate(found) if f is None]
-    data = [names[k].encode() for k in todo]
-    start = 0
+    none = np.zeros(0, np.int32)
+    lines = [np.concatenate([none, *(np.fromiter(map(index.__getitem__, w), np.int32, len(w)) for w in model.words(t))]) for t in texts]
+    special = [(k, model.special[w]) for w, k in index.items() if w in model.special]
+    todo = np.setdiff1d(np.arange(len(index)), [k for k, _ in special])
+    data = [w.encode() for w in index if w not in model.special]
+    del index
     size = np.cumsum([len(d) for d in data])
+    start, found, length = 0, [], np.ones(len(todo) + len(special), np.int64)
     while start < len(todo):
         stop = max(start + 1, int(np.searchsorted(size, (size[start - 1] if start else 0) + INDEX_SYMBOLS, side="right")))
         ids, at = merge_all(model, data[start:stop])
-        for k, i, j in zip(todo[start:stop], at[:-1].tolist(), at[1:].tolist()):
-            found[k] = ids[i:j].copy()
+        length[todo[start:stop]] = np.diff(at)
+        found.append(ids)
         start = stop
-    if len(model.known) + len(todo) > REMEMBERED:
-        model.known.clear()
-    model.known.update((names[k], found[k]) for k in todo[:REMEMBERED] if len(names[k]) <= 32)
-    length = np.fromiter(map(len, found), np.int64, len(found))
-    begin = np.concatenate([[0], np.cumsum(length)])
-    flat = np.concatenate(found) if found else np.zeros(0, np.int64)
-    out, total = [], [0]
+    flat = np.concatenate([none, *found, np.array([i for _, i in special], np.int32)])
+    begin = np.zeros(len(length), np.int64)
+    begin[todo] = np.cumsum(length[todo]) - length[todo]
+    begin[[k for k, _ in special]] = len(flat) - len(special) + np.arange(len(special))
+    out, total = [none], [0]
     for line in lines:
         n = length[line]
         stop = np.cumsum(n)
-        out.append(flat[np.arange(stop[-1] if len(stop) else 0) + np.repeat(begin[line] - stop + n, n)].astype(np.int32))
+        out.append(flat[np.arange(stop[-1] if len(stop) else 0) + np.repeat(begin[line] - stop + n, n)])
         total.append(total[-1] + len(out[-1]))
-    return pa.ListArray.from_arrays(pa.array(total, pa.int32()), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32)))
+    return pa.ListArray.from_arrays(pa.array(total, pa.int32()), pa.array(np.concatenate(out)))
 
 
 def read_model(path: str) -> bytes:
@@ -271,7 +292,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", out: str = "ids") -
 
     @F.arrow_udf("array<int>")
     def run(texts: pa.Array) -> pa.Array:
-        return encode_batch(get(), [t.as_py().decode("utf-8", "replace") for t in texts])
+        return encode_batch(get(), (t.as_py().decode("utf-8", "replace") for t in texts))
     return df.withColumn(out, run(F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b""))))
 
 
