@@ -3,14 +3,19 @@ distributed prefix sums and connected components."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabmill.session import cut_lineage
 
 #: Largest table (rows of a few numbers each) that is sent to every executor.
 BROADCAST_ROWS = 200_000
+#: Counters of a page of ``twice_bits``, and those that a task holds before it hands them on.
+PAGE, HELD = 1 << 16, 1 << 20
 
 
 def fresh(df: DataFrame, stem: str) -> str:
@@ -113,3 +118,47 @@ def components(edges: DataFrame) -> DataFrame:
         e = cut_lineage(e.join(pa, "a").join(pb, "b").where("ra != rb")
                         .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
     return labels
+
+
+def twice_bits(df: DataFrame, counters: Callable[[Iterator[pa.RecordBatch]], Iterable[np.ndarray]], n: int) -> np.ndarray:
+    """A bit for each of ``n`` counters (a multiple of ``PAGE``): whether at
+    least two of the values that ``counters`` draws from the rows of ``df``
+    meet in it.  Tasks hand on the counters that they have touched, by pages
+    and in two bytes each; a page's counts are summed up to two, and the
+    driver gets n / 8 bytes, so ``n`` must be bounded by the caller."""
+    def touch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def hand_on(held: list[np.ndarray]) -> pa.RecordBatch:
+            cell, count = np.unique(np.concatenate(held), return_counts=True)
+            page = cell // PAGE
+            at = np.flatnonzero(np.diff(page, prepend=-1))
+            low, many = (cell % PAGE).astype(np.uint16), count > 1
+            parts = [slice(i, j) for i, j in zip(at.tolist(), [*at[1:].tolist(), len(cell)])]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(page[at], pa.int64()), pa.array([low[p][~many[p]].tobytes() for p in parts], pa.binary()),
+                 pa.array([low[p][many[p]].tobytes() for p in parts], pa.binary())], ["page", "once", "more"])
+        held, size = [], 0
+        for got in counters(batches):
+            held.append(got)
+            size += len(got)
+            if size >= HELD:
+                yield hand_on(held)
+                held, size = [], 0
+        if size:
+            yield hand_on(held)
+
+    def merge(p: pd.DataFrame) -> pd.DataFrame:
+        count = np.zeros(PAGE, np.uint8)
+        for once, more in zip(p["once"], p["more"]):
+            count[np.frombuffer(more, np.uint16)] = 2
+            at = np.frombuffer(once, np.uint16)
+            count[at] = np.minimum(count[at] + 1, 2)
+        return pd.DataFrame({"page": p["page"].iloc[:1], "bits": [np.packbits(count > 1, bitorder="little").tobytes()]})
+    pages = df.mapInArrow(touch, "page long, once binary, more binary").groupBy("page").applyInPandas(merge, "page long, bits binary")
+    bits = np.zeros(n // 8, np.uint8)
+    for r in pages.toLocalIterator():
+        bits[r["page"] * PAGE // 8:(r["page"] + 1) * PAGE // 8] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return bits
+
+
+def is_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1

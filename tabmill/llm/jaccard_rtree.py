@@ -7,15 +7,17 @@ of R-tree boxes, by their upper corners) whose sum is too small for the
 wanted similarity is dropped unseen.  What survives is verified on the
 texts' shingles.
 
-Equal sets are one class from the start.  The trees are spread over the
-cluster by content cells that lose no link: with similarity at least t, two
-sets of at most m shingles differ in at most D = 2 m (1 - t) / (1 + t)
-shingles, so among more than D groups at least one has the same content in
-both.  Each set enters the cell of each group's content, and pairs are only
-sought within cells.  A cell first links its members to its smallest one
-(star), which settles nearly all; a cell that still holds several
-components is joined with itself by an R-tree, and only pairs across
-components are verified.
+Equal sets are one class from the start.  The points are dealt to trees by
+content cells that lose no link: with similarity at least t, two sets of at
+most m shingles differ in at most D = 2 m (1 - t) / (1 + t) shingles, so among
+more than D groups at least one has the same content in both.  Each set
+enters the cell of each group's content.  Cells with the same smallest member
+(their hub) share a tree over all their members, in blocks.  Every candidate
+pair comes out of these trees: first each is searched with its hub's point,
+which settles nearly all; one whose members are then still in several
+components is joined with itself, and only pairs across components are
+verified.  Cells of one member are kept out of the shuffle by a bitmap of the
+counters that at least two cells have met in.
 
 Defined results: ASCII letters are lower-cased and words are runs of
 anything but ASCII white space; texts with fewer words than a shingle have that
@@ -35,9 +37,10 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from tabmill.llm.common import components, located, pick
+from tabmill.llm.common import components, is_set, located, pick, twice_bits
 from tabmill.session import cut_lineage
 
 #: Similarity in hundredths, and words of a shingle.
@@ -50,8 +53,8 @@ BLOCK, SHARED_TASK = 2048, 8192
 REMEMBERED = 4_000_000
 #: Members verified against one text in one task.
 VERIFY = 256
-#: Bits of the filter that keeps cells of one member out of the shuffle.
-FILTER_BITS = 1 << 27
+#: Counters of the filter that keeps cells of one member out of the shuffle, and cells of a batch.
+FILTER_BITS, CELL_BATCH = 1 << 28, 250_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _U = np.uint64
 _VOCAB = 150_000
@@ -231,47 +234,42 @@ def rtree_pairs(a_vec, a_size, b_vec, b_size, threshold: int = THRESHOLD, fanout
             stack.append((la, ia, lb - 1, np.concatenate(kids)))
 
 
-def _shared_cells(classes: DataFrame) -> DataFrame:
-    """cell, class_id of every cell with at least two classes.
+def _cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Cells and class ids, at most ``CELL_BATCH`` rows (or one set's) at a time, without copies of a whole batch."""
+    for b in batches:
+        column, ids = b.column("cells"), b.column("class_id").to_numpy()
+        ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False)) // 8
+        start = 0
+        while start < b.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + CELL_BATCH, side="right")))
+            parts = [np.frombuffer(c.as_buffer(), np.int64) for c in column.slice(start, stop - start)]
+            yield np.concatenate(parts), np.repeat(ids[start:stop], [len(p) for p in parts])
+            start = stop
 
-    Cells are counted (summed up before the shuffle); a bitmap of fixed size
-    of the shared ones keeps the others from being dealt out again, and a
-    join then leaves exactly the shared ones.
+
+def _stars(classes: DataFrame) -> DataFrame:
+    """hub, class_id: each class with the smallest class of each cell that it
+    shares, once.
+
+    A bitmap of fixed size tells which cells may be shared; the others are
+    not dealt out.  What is left is counted exactly.
     """
-    def explode(keep):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits = keep.value if keep else None
-            for b in batches:
-                own = [np.frombuffer(c.as_py(), np.int64) for c in b.column("cells")]
-                ids = np.repeat(b.column("class_id").to_numpy(), [len(c) for c in own])
-                flat = np.concatenate(own) if own else np.zeros(0, np.int64)
-                if bits is not None:
-                    at = flat & (FILTER_BITS - 1)
-                    hit = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-                    flat, ids = flat[hit], ids[hit]
-                for i in range(0, len(flat), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(flat[i:i + 100_000]), pa.array(ids[i:i + 100_000])], ["cell", "class_id"])
-        return run
-
-    spark = classes.sparkSession
     one = classes.select("class_id", "cells")
-    hubs = cut_lineage(one.mapInArrow(explode(None), "cell long, class_id long").groupBy("cell")
-                       .agg(F.min("class_id").alias("hub"), F.max("class_id").alias("last")).where("hub < last").drop("last"))
-    at = F.pmod("cell", F.lit(FILTER_BITS))
-    maps = (hubs.select(F.bitmap_bucket_number(at).alias("k"), F.bitmap_bit_position(at).alias("p"))
-            .groupBy("k").agg(F.bitmap_construct_agg("p").alias("m")).collect())  # at most FILTER_BITS / 8 bytes
-    bits = np.zeros(FILTER_BITS // 8 + 4096, np.uint8)
-    for r in maps:
-        # bucket k holds the bits from (k - 1) * 32768 + 1 on, bucket 0 bit 0 alone
-        start = (r["k"] - 1) * 32_768 + 1
-        pos = np.flatnonzero(np.unpackbits(np.frombuffer(bytes(r["m"]), np.uint8), bitorder="little")) + start if r["k"] else np.zeros(1, np.int64)
-        np.bitwise_or.at(bits, pos >> 3, (1 << (pos & 7)).astype(np.uint8))
-    many = one.mapInArrow(explode(spark.sparkContext.broadcast(bits)), "cell long, class_id long")
-    return cut_lineage(many.join(hubs, "cell"))
+    bits = one.sparkSession.sparkContext.broadcast(
+        twice_bits(one, lambda batches: (c & (FILTER_BITS - 1) for c, _ in _cells_of(batches)), FILTER_BITS))
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c, ids in _cells_of(batches):
+            hit = is_set(bits.value, c & (FILTER_BITS - 1))
+            yield pa.RecordBatch.from_arrays([pa.array(c[hit]), pa.array(ids[hit])], ["cell", "class_id"])
+    many = cut_lineage(one.mapInArrow(explode, "cell long, class_id long"))
+    hubs = cut_lineage(many.groupBy("cell").agg(F.min("class_id").alias("hub"), F.max("class_id").alias("last")).where("hub < last").select("cell", "hub"))
+    return cut_lineage(many.join(hubs, "cell").where("hub != class_id").select("hub", "class_id").distinct())
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, threshold: int, words: int) -> DataFrame:
-    """The pairs (a, b, a_n, b_n) that reach the similarity.  The texts of
+    """The pairs (a, b) that reach the similarity.  The texts of
     pairs with the same a are compared in chunks of ``VERIFY``, so a text
     that very many others may resemble is read by many tasks."""
     chunked = cut_lineage(pairs.withColumn("chunk", F.pmod(F.xxhash64("b"), F.col("chunks"))).drop("chunks"))
@@ -303,96 +301,134 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: int, words: int) -> D
     return cut_lineage(sides.join(some, "class_id").groupBy("a", "chunk").applyInPandas(compare, "a long, b long"))
 
 
-def _bounded(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a < b) whose sizes and summed coordinate minima allow a link,
-    with the number of chunks that a's partners are verified in."""
-    def allowed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for k in range(0, len(batch), 2048):
-                p = batch.iloc[k:k + 2048]
-                least = least_overlap(p["a_n"].to_numpy(), p["b_n"].to_numpy(), threshold)
-                yield p[np.minimum(unpacked(p["a_counts"]), unpacked(p["b_counts"])).sum(axis=1) >= least][["a", "b"]]
-    ids = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("class_id")).distinct())
-    some = cut_lineage(pick(classes.select("class_id", "n", "counts"), ids, "class_id"))
-    for side in ("a", "b"):
-        own = some.select(F.col("class_id").alias(side), F.col("n").alias(f"{side}_n"), F.col("counts").alias(f"{side}_counts"))
-        pairs = pairs.join(own, side)
-    fits = f"100 * least(a_n, b_n) >= {threshold} * greatest(a_n, b_n)"
-    left = cut_lineage(pairs.where(fits).mapInPandas(allowed, "a long, b long"))
-    per = left.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / VERIFY).alias("chunks"))
-    return left.join(per, "a")
-
-
-def _across(shared: DataFrame, labels: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a < b) of one cell in different components that the bounds
-    allow and the stars have not verified, by R-trees.
-
-    Of cells with the same members one is kept.  Small cells share tasks; a
-    cell of more than ``BLOCK`` members is dealt by hash into blocks, which
-    are joined pairwise, each pair as a group of its own.
+def _chunked(pairs: DataFrame) -> DataFrame:
+    """The pairs with the number of chunks that a's partners are verified in."""
+    pairs = cut_lineage(pairs)
+    return pairs.join(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / VERIFY).alias("chunks")), "a")
+
+
+class _Sift:
+    """Collects the index pairs whose sizes and summed coordinate minima, in
+    the boxes' and then in the points' coordinates, allow a link."""
+
+    def __init__(self, p: pd.DataFrame, threshold: int) -> None:
+        self.own, at = np.unique(p["class_id"].to_numpy(), return_index=True)
+        self.pos = np.searchsorted(self.own, p["class_id"].to_numpy())
+        self.fine = unpacked(p["counts"].iloc[at])
+        self.box, self.size, self.threshold, self.out = folded(self.fine), p["n"].to_numpy()[at], threshold, []
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        keep = 100 * np.minimum(self.size[i], self.size[j]) >= self.threshold * np.maximum(self.size[i], self.size[j])
+        i, j = i[keep], j[keep]
+        least = least_overlap(self.size[i], self.size[j], self.threshold)
+        for k in range(0, len(i), 4096):
+            u, v, need = i[k:k + 4096], j[k:k + 4096], least[k:k + 4096]
+            for points in (self.box, self.fine):
+                ok = np.minimum(points[u], points[v]).sum(axis=1) >= need
+                u, v, need = u[ok], v[ok], need[ok]
+            if len(u):
+                self.out.append(np.stack([u, v]))
+
+    def tree(self, x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs out of the trees over the points x and y."""
+        for i, j in rtree_pairs(self.box[x], self.size[x], self.box[y], self.size[y], self.threshold):
+            yield x[i], y[j]
+
+    def pairs(self) -> pd.DataFrame:
+        i, j = np.unique(np.concatenate(self.out, axis=1), axis=1) if self.out else np.zeros((2, 0), np.int64)
+        return pd.DataFrame({"a": self.own[i], "b": self.own[j]})
+
+
+def _groups(p: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of one hub."""
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(p["hub"].to_numpy()) != 0]))
+    return starts, np.diff(np.append(starts, len(p)))
+
+
+def _from_hubs(star: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a: hub, b) that searches of the hubs' trees with the hubs' points leave.
+
+    Small trees share tasks; one of more than ``BLOCK`` members is dealt by hash into blocks.
+    """
+    per = star.groupBy("hub").agg(F.count(F.lit(1)).alias("m"))
+    blocks = per.select("hub", F.ceil(F.col("m") / BLOCK).alias("blocks"))
+    tasks = 1 + star.count() // SHARED_TASK
+    member = cut_lineage(star.join(blocks, "hub").withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks"))))
+    points = classes.select("class_id", "n", "counts")
+    below = member.select("hub", "class_id", "blocks", "block", F.lit(1).alias("side"))
+    above = member.select("hub", F.col("hub").alias("class_id"), "blocks", "block", F.lit(0).alias("side")).distinct()
+    both = cut_lineage(below.union(above))
+    some = cut_lineage(pick(points, cut_lineage(both.select("class_id").distinct()), "class_id"))
+    key = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("hub"), F.lit(tasks)).cast("string")).otherwise(F.concat_ws(":", "hub", "block"))
+
+    def search(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(["hub", "side"], kind="stable")
+        sift = _Sift(p, threshold)
+        starts, counts = _groups(p)
+        leaf = counts <= FANOUT + 1  # trees of one leaf, all at once
+        rest = np.concatenate([np.zeros(0, np.int64), *(np.arange(s + 1, s + m) for s, m in zip(starts[leaf], counts[leaf]))])
+        sift.add(sift.pos[np.repeat(starts[leaf], counts[leaf] - 1)], sift.pos[rest])
+        for s, m in zip(starts[~leaf], counts[~leaf]):
+            for i, j in sift.tree(sift.pos[s:s + 1], sift.pos[s + 1:s + m]):
+                sift.add(i, j)
+        return sift.pairs()
+    return both.join(some, "class_id").withColumn("key", key).groupBy("key").applyInPandas(search, "a long, b long")
+
+
+def _across(star: DataFrame, labels: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a < b) of one hub's members in different components, by joins of the hubs' trees with themselves.
+
+    Of hubs with the same members one is kept.  Small trees share tasks; one
+    of more than ``BLOCK`` members is dealt by hash into blocks, which are
+    joined pairwise, each pair as a group of its own.
     """
-    member = (shared.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left")
-              .select("cell", "hub", "class_id", F.coalesce("root", "class_id").alias("root")))
-    per = member.groupBy("cell").agg(
+    member = star.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select("hub", "class_id", F.coalesce("root", "class_id").alias("root"))
+    per = member.groupBy("hub").agg(
         F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m"),
         F.bit_xor(F.xxhash64("class_id")).alias("x"), F.bit_xor(F.xxhash64("class_id", F.lit(1))).alias("y"))
-    mixed = cut_lineage(per.where("lo < hi AND m > 2").groupBy("m", "x", "y").agg(F.min("cell").alias("cell")).select("cell", "m"))
+    mixed = cut_lineage(per.where("lo < hi").groupBy("m", "x", "y").agg(F.min("hub").alias("hub")).select("hub", "m"))
     tasks = 1 + (mixed.agg(F.sum("m")).first()[0] or 0) // SHARED_TASK
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    member = cut_lineage(member.join(mixed.withColumn("blocks", blocks).drop("m"), "cell"))
+    member = cut_lineage(member.join(mixed.select("hub", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "hub"))
     ids = cut_lineage(member.select("class_id").distinct())
     some = cut_lineage(pick(classes.select("class_id", "n", "counts"), ids, "class_id"))
     left = cut_lineage(member.join(some, "class_id").withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")))
-    cols = ("cell", "hub", "class_id", "root", "n", "counts")
-    key = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cell"), F.lit(tasks)).cast("string")).otherwise(F.concat_ws(":", "cell", "i", "j"))
+    cols = ("hub", "class_id", "root", "n", "counts")
+    key = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("hub"), F.lit(tasks)).cast("string")).otherwise(F.concat_ws(":", "hub", "i", "j"))
     lower = left.select(*cols, "blocks", F.lit(0).alias("side"), F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
     upper = left.where("block > 0").select(*cols, "blocks", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("i"), F.col("block").alias("j"))
 
     def join(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["cell", "side"])
-        own, at = np.unique(p["class_id"].to_numpy(), return_index=True)
-        fine = unpacked(p["counts"].iloc[at])
-        pos = np.searchsorted(own, p["class_id"].to_numpy())
-        box, size, root, hub, side = folded(fine), p["n"].to_numpy()[at], p["root"].to_numpy()[at], p["hub"].to_numpy(), p["side"].to_numpy()
-        edges = np.flatnonzero(np.diff(p["cell"].to_numpy(), prepend=0, append=0) != 0)
-        edges = np.unique(np.concatenate([[0], edges, [len(p)]]))
-        start, count = edges[:-1], np.diff(edges)
-        out = []
+        p = p.sort_values(["hub", "side"], kind="stable")
+        sift, side = _Sift(p, threshold), p["side"].to_numpy()
+        root = np.zeros(len(sift.own), np.int64)
+        root[sift.pos] = p["root"].to_numpy()
+        start, count = _groups(p)
 
-        def sift(i: np.ndarray, j: np.ndarray, hubs) -> None:
+        def add(i: np.ndarray, j: np.ndarray) -> None:
             i, j = np.minimum(i, j), np.maximum(i, j)
-            keep = (root[i] != root[j]) & (own[i] != hubs) & (own[j] != hubs) & (100 * np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]))
-            i, j = i[keep], j[keep]
-            least = least_overlap(size[i], size[j], threshold)
-            for k in range(0, len(i), 4096):
-                u, v, need = i[k:k + 4096], j[k:k + 4096], least[k:k + 4096]
-                ok = np.minimum(box[u], box[v]).sum(axis=1) >= need
-                u, v, need = u[ok], v[ok], need[ok]
-                ok = np.minimum(fine[u], fine[v]).sum(axis=1) >= need
-                if ok.any():
-                    out.append(np.stack([u[ok], v[ok]]))
+            apart = root[i] != root[j]
+            sift.add(i[apart], j[apart])
 
         single = side[start + count - 1] == 0
-        for m in np.unique(count[single & (count <= FANOUT)]):  # trees of one leaf, all cells of a size at once
+        for m in np.unique(count[single & (count <= FANOUT)]):  # trees of one leaf, all of a size at once
             rows = start[single & (count == m)]
             a, b = np.triu_indices(m, 1)
             per_call = max(1, 200_000 // max(1, len(a)))
             for k in range(0, len(rows), per_call):
                 r = rows[k:k + per_call]
-                sift(pos[(r[:, None] + a).ravel()], pos[(r[:, None] + b).ravel()], np.repeat(hub[r], len(a)))
+                add(sift.pos[(r[:, None] + a).ravel()], sift.pos[(r[:, None] + b).ravel()])
         for s, m, one in zip(start, count, single):
             if one and m <= FANOUT:
                 continue
-            x = pos[s:s + m][side[s:s + m] == 0]
-            y = x if one else pos[s:s + m][side[s:s + m] == 1]
+            x = sift.pos[s:s + m][side[s:s + m] == 0]
+            y = x if one else sift.pos[s:s + m][side[s:s + m] == 1]
             names, n = np.unique(root[np.concatenate([x, y])], return_counts=True)
             main = names[n.argmax()]  # pairs within the largest component are not needed
             for u, v in [(x[root[x] != main], y), *([] if one else [(x[root[x] == main], y[root[y] != main])])]:
                 if len(u) and len(v):
-                    for i, j in rtree_pairs(box[u], size[u], box[v], size[v], threshold):
-                        sift(u[i], v[j], hub[s])
-        i, j = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
-        return pd.DataFrame({"a": own[i], "b": own[j]})
+                    for i, j in sift.tree(u, v):
+                        add(i, j)
+        return sift.pairs()
     return lower.union(upper).withColumn("key", key).groupBy("key").applyInPandas(join, "a long, b long").distinct()
 
 
@@ -407,11 +443,10 @@ def near_groups(rows: DataFrame, threshold: int = THRESHOLD, words: int = WORDS)
     copies = cut_lineage(own.select("rid", "digest").join(classes, "digest").where("rid != class_id").select("rid"))
     rep = pick(own, copies, "rid", "left_anti").select(F.col("rid").alias("class_id"), "n", "counts", "cells")
     texts = rows.select(F.col("rid").alias("class_id"), "text")
-    shared = _shared_cells(rep)
-    star = shared.where("class_id != hub").select(F.col("hub").alias("a"), F.col("class_id").alias("b")).distinct()
-    links = _verify(_bounded(star, rep, threshold), texts, threshold, words)
+    star = _stars(rep)
+    links = _verify(_chunked(_from_hubs(star, rep, threshold)), texts, threshold, words)
     labels = components(links)
-    more = _verify(_bounded(_across(shared, labels, rep, threshold), rep, threshold), texts, threshold, words)
+    more = _verify(_chunked(_across(star, labels, rep, threshold)), texts, threshold, words)
     if not more.isEmpty():
         labels = components(links.union(more))
     named = classes.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select(

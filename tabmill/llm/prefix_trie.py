@@ -32,20 +32,19 @@ import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabmill.llm.common import join_small
+from tabmill.llm.common import is_set, join_small, twice_bits
 from tabmill.session import cut_lineage
 
 #: Ids are rebuilt on the conversation at the start of their block, with up to SHARED - 1 of its turns.
 BLOCK, SHARED = 100, 6
-#: Rows of the sketch, bounds of the counters in a row, counters of a block.
-ROWS, MIN_WIDTH, MAX_WIDTH, PAGE = 3, 1 << 16, 1 << 27, 1 << 16
-#: Cells that a task holds before it hands them on, and ids of a chunk of ends.
-HELD, CHUNK = 1 << 20, 4096
+#: Rows of the sketch, and bounds of the counters in a row.
+ROWS, MIN_WIDTH, MAX_WIDTH = 3, 1 << 16, 1 << 27
+#: Ids of a chunk of ends.
+CHUNK = 4096
 _U = np.uint64
 _M64 = (1 << 64) - 1
 
@@ -177,44 +176,11 @@ def cells(depth: np.ndarray, a0: np.ndarray, a1: np.ndarray, width: int) -> list
 
 
 def sketch(table: DataFrame, carry: dict, width: int) -> np.ndarray:
-    """A bit per counter: whether at least two prefixes meet in it.
-
-    Tasks hand on the counters that they have touched, by pages (two bytes a
-    counter), a page's counts are summed up to two, and the driver gets bits:
-    at most ROWS * MAX_WIDTH / 8 bytes."""
-    def touch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def hand_on(held: list[np.ndarray]) -> pa.RecordBatch:
-            cell, count = np.unique(np.concatenate(held), return_counts=True)
-            page = cell // PAGE
-            at = np.flatnonzero(np.diff(page, prepend=-1))
-            low, many = (cell % PAGE).astype(np.uint16), count > 1
-            parts = [slice(i, j) for i, j in zip(at.tolist(), [*at[1:].tolist(), len(cell)])]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(page[at]), pa.array([low[p][~many[p]].tobytes() for p in parts], pa.binary()),
-                 pa.array([low[p][many[p]].tobytes() for p in parts], pa.binary())], ["page", "once", "more"])
-        held, size = [], 0
+    """A bit per counter: whether at least two prefixes meet in it (at most ROWS * MAX_WIDTH / 8 bytes)."""
+    def counters(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for b in _one_pid(batches):
-            got = cells(_unsigned(b, "depth"), *brought(b, ["a0", "a1"], carry), width)
-            held += got
-            size += sum(map(len, got))
-            if size >= HELD:
-                yield hand_on(held)
-                held, size = [], 0
-        if held:
-            yield hand_on(held)
-
-    def merge(p: pd.DataFrame) -> pd.DataFrame:
-        count = np.zeros(PAGE, np.uint8)
-        for once, more in zip(p["once"], p["more"]):
-            count[np.frombuffer(more, np.uint16)] = 2
-            at = np.frombuffer(once, np.uint16)
-            count[at] = np.minimum(count[at] + 1, 2)
-        return pd.DataFrame({"page": p["page"].iloc[:1], "bits": [np.packbits(count > 1).tobytes()]})
-    pages = table.select("cid", "depth", "a0", "a1", "pid").mapInArrow(touch, "page long, once binary, more binary")
-    bits = np.zeros(ROWS * width // 8, np.uint8)
-    for r in pages.groupBy("page").applyInPandas(merge, "page long, bits binary").toLocalIterator():
-        bits[r["page"] * PAGE // 8:(r["page"] + 1) * PAGE // 8] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return bits
+            yield from cells(_unsigned(b, "depth"), *brought(b, ["a0", "a1"], carry), width)
+    return twice_bits(table.select("cid", "depth", "a0", "a1", "pid"), counters, ROWS * width)
 
 
 def screened(turns: DataFrame) -> DataFrame:
@@ -234,7 +200,7 @@ def screened(turns: DataFrame) -> DataFrame:
         def alone(depth: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
             out = np.zeros(len(depth), bool)
             for at in cells(depth, x, y, width):
-                out |= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 0
+                out |= ~is_set(bits, at)
             return out
         for b in _one_pid(batches):
             depth, a = _unsigned(b, "depth"), brought(b, ["a0", "a1"], carry)
