@@ -4,18 +4,33 @@ distributed prefix sums and connected components."""
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tabmill.session import cut_lineage
 
 #: Largest table (rows of a few numbers each) that is sent to every executor.
 BROADCAST_ROWS = 200_000
 #: Counters of a page of ``twice_bits``, and those that a task holds before it hands them on.
-PAGE, HELD = 1 << 16, 1 << 20
+PAGE, HELD = 1 << 16, 1 << 18
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Tables written inside go to Python in batches of at most ``rows`` rows,
+    which bounds the memory of operators with wide rows; the session's own
+    setting comes back afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def fresh(df: DataFrame, stem: str) -> str:

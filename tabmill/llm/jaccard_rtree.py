@@ -40,7 +40,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from tabmill.llm.common import components, is_set, located, pick, twice_bits
+from tabmill.llm.common import arrow_rows, components, is_set, located, pick, twice_bits
 from tabmill.session import cut_lineage
 
 #: Similarity in hundredths, and words of a shingle.
@@ -48,9 +48,11 @@ THRESHOLD, WORDS = 90, 3
 #: Coordinates of a point (a multiple of those of the tree's boxes) and of a box, entries of a tree node.
 POINT_DIMS, DIMS, FANOUT = 1024, 32, 16
 #: Members of a block that is joined in one task, and of small cells that share a task.
-BLOCK, SHARED_TASK = 2048, 8192
+BLOCK, SHARED_TASK = 2048, 4096
 #: Shingles that a worker remembers of the texts it has read last.
-REMEMBERED = 4_000_000
+REMEMBERED = 1_000_000
+#: Rows of an Arrow batch, and pairs that are bounded at once.
+BATCH_ROWS, PAIRS = 512, 1024
 #: Members verified against one text in one task.
 VERIFY = 256
 #: Counters of the filter that keeps cells of one member out of the shuffle, and cells of a batch.
@@ -147,7 +149,7 @@ def _points(threshold: int, words: int):
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (batch.slice(k, 1024) for batch in batches for k in range(0, max(1, batch.num_rows), 1024)):
+        for b in (batch.slice(k, BATCH_ROWS) for batch in batches for k in range(0, max(1, batch.num_rows), BATCH_ROWS)):
             cols = {k: [] for k in ("n", "digest", "counts", "cells")}
             for t in b.column("text"):
                 s = shingles(t.as_py(), words)
@@ -321,8 +323,8 @@ class _Sift:
         keep = 100 * np.minimum(self.size[i], self.size[j]) >= self.threshold * np.maximum(self.size[i], self.size[j])
         i, j = i[keep], j[keep]
         least = least_overlap(self.size[i], self.size[j], self.threshold)
-        for k in range(0, len(i), 4096):
-            u, v, need = i[k:k + 4096], j[k:k + 4096], least[k:k + 4096]
+        for k in range(0, len(i), PAIRS):
+            u, v, need = i[k:k + PAIRS], j[k:k + PAIRS], least[k:k + PAIRS]
             for points in (self.box, self.fine):
                 ok = np.minimum(points[u], points[v]).sum(axis=1) >= need
                 u, v, need = u[ok], v[ok], need[ok]
@@ -437,6 +439,11 @@ def near_groups(rows: DataFrame, threshold: int = THRESHOLD, words: int = WORDS)
 
     comp numbers the components by their smallest rid; null for empty sets.
     """
+    with arrow_rows(rows.sparkSession, BATCH_ROWS):
+        return _near_groups(rows, threshold, words)
+
+
+def _near_groups(rows: DataFrame, threshold: int, words: int) -> DataFrame:
     pts = points(rows, threshold, words)
     own = pts.where("digest IS NOT NULL")
     classes = cut_lineage(own.groupBy("digest").agg(F.min("rid").alias("class_id")))
