@@ -2,15 +2,16 @@
 two-column principal component, kernel density and normal-fit curves
 (survey D18, H2, H3, H7, H8, H13, H14).
 
-Each is one or a few aggregates over the data plus column arithmetic; grids
-(Box-Cox lambdas, density points) are attached by ``explode`` of a bounded
-per-row range, never by a cross join with the data.
+Each is one or a few aggregates over the data plus column arithmetic; density
+points are attached by ``explode`` of a bounded per-row range, never by a
+cross join with the data.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -67,69 +68,94 @@ def _yl(z: Column, lam: Column) -> Column:
     return F.when(lam == 0, F.log(z)).otherwise((F.pow(z, lam) - 1) / lam)
 
 
-def _yl_search(z: Column, lam: Column) -> Column:
-    """y_lambda for z > 0 via exp(lambda ln z) (same value, cheaper than pow)."""
-    lz = F.log(z)
-    return F.when(lam == 0, lz).otherwise((F.exp(lam * lz) - 1) / lam)
+def _yl_parts(lam: Column, u: Column) -> list[Column]:
+    """y_lambda of z = exp(u) and its first two derivatives by lambda.
+
+    With t = lambda u they are u f(t), u^2 f'(t) and u^3 f''(t) for
+    f(t) = (e^t - 1) / t; near t = 0 by their series, where the closed forms
+    cancel."""
+    t, e = lam * u, F.exp(lam * u)
+    closed = [(e - 1) / t, (e * (t - 1) + 1) / (t * t), (e * (t * t - 2 * t + 2) - 2) / (t * t * t)]
+    out = []
+    for d in range(3):
+        series = F.lit(0.0)
+        for k in range(d + 10, d - 1, -1):  # Horner's rule
+            series = series * t + F.lit(math.perm(k, d) / math.factorial(k + 1))
+        out.append(F.pow(u, F.lit(d + 1)) * F.when(F.abs(t) < 0.1, series).otherwise(closed[d]))
+    return out
+
+
+@dataclass
+class _Root:
+    """Safeguarded Newton search for the minimum of a function of one number."""
 
+    at: float = 0.0
+    low: float = -math.inf
+    high: float = math.inf
+    done: bool = False
 
-#: Beyond this the powers overflow; a lambda this large means a column of one value.
-LAMBDA_END = 200.0
+    def step(self, slope: float, curve: float) -> None:
+        """Move on from the slope and curvature at ``at`` (not finite: too far out)."""
+        if not (math.isfinite(slope) and math.isfinite(curve)):
+            slope, curve = math.copysign(1.0, self.at), 0.0
+        if slope > 0:
+            self.high = self.at
+        else:
+            self.low = self.at
+        to = self.at - slope / curve if curve > 0 else math.nan
+        if not self.low < to < self.high:
+            inside = math.isfinite(self.low) and math.isfinite(self.high)
+            to = (self.low + self.high) / 2 if inside else self.at - math.copysign(max(1.0, abs(self.at)), slope)
+        self.done = slope == 0 or abs(to - self.at) <= 1e-7 * max(1.0, abs(to))
+        self.at = to if slope else self.at
 
 
 def boxcox_lambda(df: DataFrame, cols: Sequence[str] | None = None, long: DataFrame | None = None) -> DataFrame:
-    """H3: maximum-likelihood Box-Cox lambda per column by a refined grid.
-
-    The log-likelihood of lambda on x equals, up to a constant, minus n/2 ln
-    var_pop(y_lambda(x / gm)) with gm the geometric mean, so each stage is
-    one aggregate with a ``var_pop`` column per grid point (grid -2..2 step
-    0.1, then +/-0.1 step 0.01, then +/-0.01 step 0.001 around the best; ties
-    to the smaller lambda; a grid whose best point is at an end moves on).  Between stages only the per-column best lambda
-    (one number per column) goes to the driver, like any fitted parameter.
-    Columns with a value <= 0 get lambda NULL and positive = 0 (the
-    transform is undefined there).
+    """H3: maximum-likelihood Box-Cox lambda per column, to three digits.
+
+    Up to a constant the log-likelihood of lambda on x equals minus n/2 ln
+    var_pop(y) for y = y_lambda(x / gm) with gm the geometric mean.  Its first
+    two derivatives come from four central moments (the variances of y and y',
+    the covariances of y with y' and y''), so a Newton step for all columns is
+    one aggregate; steps that leave the bracket kept by the slopes' signs are
+    replaced by bisection.  A last aggregate compares the two neighbouring
+    values of three digits.  Between the steps a few numbers per column go to
+    the driver, like any fitted parameter.
+
+    Columns with a value <= 0 get lambda NULL and positive = 0 (the transform
+    is undefined there), columns of one value lambda NULL (every lambda is as
+    likely).  Nulls are left out.
     """
     from tabmill.session import cut_lineage
     data = long if long is not None else _long(df, cols)
     data = data.select("variable", F.col("x").cast("double").alias("x")).where(F.col("x").isNotNull())
-    st = data.groupBy("variable").agg(F.count("x").alias("n"), F.min("x").alias("mn"),
-                                      F.avg(F.when(F.col("x") > 0, F.log("x"))).alias("mlog"))
-    st_rows = st.collect()                       # one row per column
-    gm = {r["variable"]: math.exp(r["mlog"]) for r in st_rows if r["mn"] is not None and r["mn"] > 0}
-    if not gm:
-        return st.select("variable", "n", F.lit(0).alias("positive"), F.lit(None).cast("double").alias("bc_lambda"))
-    gmap = F.create_map(*[F.lit(x) for v, g in gm.items() for x in (v, g)])
-    pos = cut_lineage(data.where(F.col("variable").isin(list(gm)))
-                      .select("variable", (F.col("x") / gmap[F.col("variable")]).alias("z")), min_partitions=True)
-
-    def best(centre: dict[str, float], half: int, step: float) -> dict[str, float]:
-        # one var_pop column per grid point, the point's lambda being the variable's own
-        cmap = F.create_map(*[F.lit(x) for v, c in centre.items() for x in (v, float(c))])[F.col("variable")]
-        live = pos.where(F.col("variable").isin(list(centre))).withColumn("c", cmap)
-        wide = live.groupBy("variable").agg(F.first("c").alias("c"), *[
-            F.var_pop(_yl_search(F.col("z"), F.round(F.col("c") + i * step, 9))).alias(f"v{i + half}") for i in range(-half, half + 1)])
-        points = F.array(*[F.struct(F.when(~F.isnan(f"v{i + half}"), F.col(f"v{i + half}")).alias("v"),
-                                    F.round(F.col("c") + i * step, 9).alias("lam")) for i in range(-half, half + 1)])
-        return {r["variable"]: float(r["lam"]) for r in wide.select("variable", F.array_min(
-            F.filter(points, lambda q: q["v"].isNotNull()))["lam"].alias("lam")).collect() if r["lam"] is not None}
-
-    def stage(centre: dict[str, float], half: int, step: float) -> dict[str, float]:
-        done: dict[str, float] = {}
-        while centre:  # move the grid along while its best point is at an end
-            found = best(centre, half, step)
-            ends = {v: x for v, x in found.items() if abs(round(x - centre[v], 9)) >= round(half * step, 9) and abs(x) < LAMBDA_END}
-            done.update({v: x for v, x in found.items() if v not in ends})
-            centre = ends
-        return done
-
-    b = stage({v: 0.0 for v in gm}, 20, 0.1)
-    b = stage(b, 10, 0.01)
-    b = stage(b, 10, 0.001)
-    if not b:
-        return st.select("variable", "n", (F.col("mn") > 0).cast("int").alias("positive"), F.lit(None).cast("double").alias("bc_lambda"))
-    lam = F.create_map(*[F.lit(x) for v, l in b.items() for x in (v, float(l))])
-    return st.select("variable", "n", (F.col("mn") > 0).cast("int").alias("positive"),
-                     F.round(lam[F.col("variable")], 3).alias("bc_lambda"))
+    st = cut_lineage(data.groupBy("variable").agg(F.count("x").alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx"),
+                                                  F.avg(F.when(F.col("x") > 0, F.log("x"))).alias("mlog")))
+    mean = {r["variable"]: r["mlog"] for r in st.where("mn > 0 AND mn < mx").collect()}  # one row per column
+    result = st.select("variable", "n", (F.col("mn") > 0).cast("int").alias("positive"))
+    if not mean:
+        return result.withColumn("bc_lambda", F.lit(None).cast("double"))
+
+    def each(values: dict[str, float]) -> Column:
+        return F.create_map(*[F.lit(x) for v, y in values.items() for x in (v, float(y))])[F.col("variable")]
+
+    logs = cut_lineage(data.where(F.col("variable").isin(list(mean))).select("variable", (F.log("x") - each(mean)).alias("u")), min_partitions=True)
+    roots = {v: _Root() for v in mean}
+    while todo := {v: r.at for v, r in roots.items() if not r.done}:
+        y, y1, y2 = _yl_parts(F.col("lam"), F.col("u"))
+        parts = (logs.where(F.col("variable").isin(list(todo))).withColumn("lam", each(todo))
+                 .select("variable", y.alias("y"), y1.alias("y1"), y2.alias("y2")))
+        for r in parts.groupBy("variable").agg(F.var_pop("y").alias("v"), F.covar_pop("y", "y1").alias("c1"),
+                                               F.var_pop("y1").alias("v1"), F.covar_pop("y", "y2").alias("c2")).collect():
+            v = r["v"] or math.nan
+            slope = 2 * r["c1"] / v
+            roots[r["variable"]].step(slope, 2 * (r["v1"] + r["c2"]) / v - slope * slope)
+    low = {v: math.floor(r.at * 1000) / 1000 for v, r in roots.items()}
+    high = {v: (math.floor(r.at * 1000) + 1) / 1000 for v, r in roots.items()}
+    sides = logs.select("variable", *[_yl_parts(each(side), F.col("u"))[0].alias(k) for k, side in (("a", low), ("b", high))])
+    better = {r["variable"]: (high if r["b"] < r["a"] else low)[r["variable"]]
+              for r in sides.groupBy("variable").agg(F.var_pop("a").alias("a"), F.var_pop("b").alias("b")).collect()}
+    return result.withColumn("bc_lambda", F.round(each(better), 3))
 
 
 def boxcox_apply(x: Column, lam: Column) -> Column:
