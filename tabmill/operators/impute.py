@@ -85,7 +85,7 @@ def complete_predictors(df: DataFrame, exclude: Sequence[str], sentinel=SENTINEL
 
 
 def knn_impute(df: DataFrame, id_col: str, spec: ImputeSpec, predictors: Sequence[str],
-               categorical: Sequence[str], sentinel=SENTINEL, salt: int = 4,
+               categorical: Sequence[str], sentinel=SENTINEL,
                materialized: bool = False) -> DataFrame:
     """(id, prediction) for every row whose target is the
     sentinel.  ``materialized`` says the input is already a cut table."""
@@ -96,8 +96,7 @@ def knn_impute(df: DataFrame, id_col: str, spec: ImputeSpec, predictors: Sequenc
         base = cut_lineage(base)
     cats = [c for c in predictors if c in set(categorical)]
     enc, dummies = one_hot_groups(base, cats)
-    blocks = [dummies[c] for c in cats]
-    feats = [c for c in predictors if c not in set(cats)] + [d for b in blocks for d in b]
+    feats = [c for c in predictors if c not in set(cats)] + [d for c in cats for d in dummies[c]]
     is_train = F.col(t) != sentinel
     z = cut_lineage(zscore(enc, feats, train=is_train))
     train = z.where(is_train)
@@ -109,8 +108,7 @@ def knn_impute(df: DataFrame, id_col: str, spec: ImputeSpec, predictors: Sequenc
             k -= 1
         return max(k, 1)
 
-    nb = knn.knn_join(query, train, feats, k_of, id_col, id_col, out_q=id_col, out_t="__tid", carry=[t],
-                      blocks=blocks, salt=salt)
+    nb = knn.knn_join(query, train, feats, k_of, id_col, id_col, out_q=id_col, out_t="__tid", carry=[t])
     if spec.kind == "class":
         pred = knn.vote(nb, id_col, t)
     else:

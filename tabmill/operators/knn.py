@@ -1,265 +1,35 @@
-"""Exact k-nearest-neighbour join without a cross join (survey C3, J15).
+"""Exact k-nearest-neighbour join without a cross join, votes and weighted
+means over the neighbours (survey C3, J15).
 
-Brute force pairs every query row with every training row.  Here the
-training rows are put on a grid over ``grid_dims`` feature dimensions
-(those with the most distinct values), fitted once on the training rows.
-Search runs in levels L = 0, 1, 2, ...: at level L a grid cell is 2^L fine
-cells wide, and each unresolved query is equi-joined with the training rows
-of its own and the neighbouring 3^P coarse cells.  The candidates' exact
-Euclidean distances over *all* features give a provisional top k.
-
-A query is final when it has k candidates and its k-th distance is strictly
-below the distance from the query to the boundary of the searched box (any
-unsearched training row lies outside the box in some grid dimension, hence
-at least that far away), or when the box covers the whole training range.
-An unresolved query that already holds k candidates jumps to the first
-level whose box reaches its provisional k-th distance in every grid
-dimension (the true k nearest lie inside; the search there is final);
-one with fewer candidates moves up one level.  The last level covers
-everything, so the result equals brute force (ties broken by
-(round(distance, 9), training id)).
-
-Scale: per level one shuffle join on (coarse cell, salt).  The training
-side of a cell is split into ``salt`` buckets (the query side is replicated
-over them), and top-k runs first per (query, bucket) and then per query, so
-a cell holding a third of the rows is still spread over many tasks and no
-query's candidate list is ranked in one task.  Each level's results are
-checkpointed in the session's reliable checkpoint folder.
+``knn_join`` searches a partitioned k-d tree index (``knn_index``); ties are
+broken by (round(distance, 9), training id), as a brute-force ranking would.
 """
 
 from __future__ import annotations
 
-import itertools
-import math
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window, functions as F
-
-from tabmill.session import cut_lineage
-
-BIG = 1e300
+from pyspark.sql import DataFrame, Window, functions as F
 
-
-def _d(x: float) -> str:
-    """Exact double literal for SQL text (a bare 1.5 would be DECIMAL)."""
-    return f"CAST('{float(x)!r}' AS DOUBLE)"
+from tabmill.operators import knn_index
 
 
 def knn_join(queries: DataFrame, train: DataFrame, feats: Sequence[str], k,
              qid: str = "id", tid: str = "id", out_q: str = "qid", out_t: str = "tid",
-             carry: Sequence[str] = (), grid_dims: int = 2, blocks: Sequence[Sequence[str]] = (),
-             salt: int = 4, target_per_cell: int | None = None, max_levels: int = 64) -> DataFrame:
+             carry: Sequence[str] = (), blocks: Sequence[Sequence[str]] = (),
+             salt: int = 1, leaf_rows: int | None = None) -> DataFrame:
     """Rows (out_q, out_t, dist, rank, *carry) - the k nearest training rows
     of every query row (rank 1 = nearest).  ``qid`` / ``tid`` name the id
     columns of the two inputs; ``carry`` are training columns passed
-    through (labels / values to vote on).  ``blocks`` lists groups of
-    feature columns that are one z-scored one-hot encoding each: they
-    become exact-match keys of a first, restricted search.  ``k`` is an int
-    or a function of the number of training rows (counted in the fit pass)."""
-    feats = list(feats)
-    blocks = [list(b) for b in blocks]
-    nf = len(feats)
-    p = max(1, min(grid_dims, nf))
-    # --- fit the grid on the training rows: one aggregate, O(#features) result
-    fidx = {f: i for i, f in enumerate(feats)}
-
-    def block_key(prefix: str, b: list[str]) -> Column:
-        # 1-based index of the hot dummy (z-scored: hot > 0 > cold), 0 = none
-        arr = ", ".join(f"{prefix}{fidx[c]} > 0" for c in b)
-        return F.expr(f"CAST(array_position(array({arr}), true) AS INT)")
-
-    tcast = train.select(*[F.col(f).cast("double").alias(f"__t{i}") for i, f in enumerate(feats)])
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for i in range(nf):
-        aggs += [F.approx_count_distinct(f"__t{i}").alias(f"d{i}"), F.min(f"__t{i}").alias(f"lo{i}"),
-                 F.max(f"__t{i}").alias(f"hi{i}")]
-    if blocks:
-        aggs.append(F.approx_count_distinct(F.struct(*[block_key("__t", b) for b in blocks])).alias("combos"))
-        aggs += [F.count_if(block_key("__t", b) == 0).alias(f"base{i}") for i, b in enumerate(blocks)]
-    st = tcast.agg(*aggs).first()
-    n = int(st["n"])
-    k = int(k(n)) if callable(k) else int(k)
-    dims = sorted(range(nf), key=lambda i: (-int(st[f"d{i}"]), i))[:p]
-    target = target_per_cell or max(2 * k, 64)
-    combos = 1
-    gaps: list[dict] = []
-    if blocks:
-        combos = max(1, int(st["combos"]))
-        qa = queries.agg(*[F.max(F.col(c).cast("double")).alias(f"mx{fidx[c]}") for b in blocks for c in b]).first()
-        for i, b in enumerate(blocks):
-            g = {}
-            present = []
-            for c in b:
-                j = fidx[c]
-                hot = max(float(st[f"hi{j}"] or 0.0), float(qa[f"mx{j}"] or 0.0))
-                g[c] = hot - float(st[f"lo{j}"] or 0.0)
-                if (st[f"hi{j}"] or 0.0) > 0:
-                    present.append(g[c])
-            gaps.append({"gap": g, "present": sorted(present), "baseline": int(st[f"base{i}"]) > 0})
-    cells = max(1, math.ceil((max(n, 1) / combos / target) ** (1.0 / p)))
-    lo = {j: float(st[f"lo{j}"] or 0.0) for j in dims}
-    hi = {j: float(st[f"hi{j}"] or 0.0) for j in dims}
-    width = {j: (hi[j] - lo[j]) / cells for j in dims}
-    nb = {j: (cells if width[j] > 0 else 1) for j in dims}
-
-    def cell(x: Column, j: int, clamp: bool) -> Column:
-        if width[j] <= 0:
-            return F.lit(0).cast("long")
-        c = F.floor((x - F.lit(lo[j])) / F.lit(width[j])).cast("long")
-        return F.least(F.greatest(c, F.lit(0)), F.lit(nb[j] - 1)) if clamp else c
-
-    t = train.select(F.col(tid).alias("__tid"), *[F.col(f).cast("double").alias(f"__t{i}") for i, f in enumerate(feats)],
-                     *[F.col(c) for c in carry])
-    t = t.withColumns({f"__c{j}": cell(F.col(f"__t{j}"), j, True) for j in dims})
-    t = t.withColumn("__salt", F.pmod(F.xxhash64("__tid"), F.lit(salt)).cast("int"))
-    t = t.withColumns({f"__b{i}": block_key("__t", b) for i, b in enumerate(blocks)})
-    t = t.persist(StorageLevel.MEMORY_AND_DISK)
-
-    q = queries.select(F.col(qid).alias("__qid"), *[F.col(f).cast("double").alias(f"__q{i}") for i, f in enumerate(feats)])
-    q = q.withColumns({f"__c{j}": cell(F.col(f"__q{j}"), j, False) for j in dims})
-    q = q.withColumns({f"__b{i}": block_key("__q", b) for i, b in enumerate(blocks)})
-    bkeys = [f"__b{i}" for i in range(len(blocks))]
-
-    def block_bound() -> Column:
-        """Lower bound on the distance to any training row whose level
-        differs in some block: sqrt(gap(own)^2 + smallest other gap^2)."""
-        terms = []
-        for i, b in enumerate(blocks):
-            info = gaps[i]
-            own = "CASE " + " ".join(f"WHEN __b{i} = {pos} THEN {_d(info['gap'][c])}" for pos, c in enumerate(b, 1)) \
-                + " ELSE CAST(0 AS DOUBLE) END"
-            pres = info["present"]
-            cands = sorted(([0.0] if info["baseline"] else []) + pres)
-            smallest = cands[0] if cands else BIG
-            second = cands[1] if len(cands) > 1 else BIG
-            # the query's own level may be the smallest present one: then the next
-            if pres and not info["baseline"]:
-                other = f"CASE WHEN ({own}) = {_d(pres[0])} THEN {_d(second)} ELSE {_d(smallest)} END"
-            else:
-                other = f"{_d(smallest)}"
-            other = f"CASE WHEN __b{i} = 0 THEN {_d((min(pres) if pres else BIG))} ELSE {other} END"
-            terms.append(f"sqrt(({own}) * ({own}) + ({other}) * ({other}))")
-        return F.expr(f"least({', '.join(terms + [_d(BIG)])})")
-
-    # one SQL expression: built in a single call instead of one per operator
-    dist = F.expr("sqrt(" + " + ".join(f"(__q{i} - __t{i}) * (__q{i} - __t{i})" for i in range(nf)) + ")")
-    offsets = list(itertools.product([-1, 0, 1], repeat=p))
-    live_w = [width[j] for j in dims if width[j] > 0]
-    w_min = min(live_w) if live_w else 0.0
-
-    def search(qs: DataFrame, level: int, restricted: bool) -> DataFrame:
-        """Provisional top k of the queries ``qs`` at grid level ``level``
-        (``restricted``: only training rows of the same block levels)."""
-        s = 1 << level
-        key = {j: F.floor(F.col(f"__c{j}") / F.lit(s)).cast("long") for j in dims}
-        off = F.array(*[F.struct(*[F.lit(o[a]).alias(f"o{a}") for a in range(p)]) for o in offsets])
-        qx = qs.select("*", F.explode(off).alias("__o"),
-                       F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("__salt"))
-        qx = qx.withColumns({f"__k{j}": key[j] + F.col(f"__o.o{a}") for a, j in enumerate(dims)}).drop("__o")
-        tx = t.withColumns({f"__k{j}": key[j] for j in dims}).drop(*[f"__c{j}" for j in dims])
-        jkeys = [*[f"__k{j}" for j in dims], "__salt"] + (bkeys if restricted else [])
-        if not restricted:
-            qx, tx = qx.drop(*bkeys), tx.drop(*bkeys)
-        cand = qx.join(tx, jkeys, "inner")
-        cand = cand.select("__qid", "__tid", "__salt", *carry, dist.alias("dist"))
-        order = [F.round("dist", 9), F.col("__tid")]
-        w1 = Window.partitionBy("__qid", "__salt").orderBy(*order)
-        cand = cand.withColumn("__r1", F.row_number().over(w1)).where(F.col("__r1") <= k)
-        w2 = Window.partitionBy("__qid").orderBy(*order)
-        return cand.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= k).drop("__r1", "__salt")
-
-    def bound_and_cover(level: int) -> tuple[Column, Column]:
-        """Distance from the query to the outside of its searched box (grid
-        dims only) and whether the box covers the whole training range."""
-        sz = 1 << level
-        bounds, covers = [f"{_d(BIG)}"], ["true"]
-        for j in dims:
-            cj = f"floor(__c{j} / {sz})"
-            low = f"(({cj} - 1) * {sz} <= 0)"
-            high = f"(({cj} + 2) * {sz} >= {nb[j]})"
-            d_low = f"(__q{j} - ({_d(lo[j])} + ({cj} - 1) * {sz} * {_d(width[j])}))"
-            d_high = f"(({_d(lo[j])} + ({cj} + 2) * {sz} * {_d(width[j])}) - __q{j})"
-            bounds += [f"CASE WHEN {low} THEN {_d(BIG)} ELSE {d_low} END",
-                       f"CASE WHEN {high} THEN {_d(BIG)} ELSE {d_high} END"]
-            covers += [low, high]
-        return F.expr(f"least({', '.join(bounds)})"), F.expr(" AND ".join(covers))
-
-    # queue of (query, level, final, restricted): restricted searches run
-    # first and stay inside the query's block levels
-    queue = cut_lineage(q.withColumns({"__lvl": F.lit(0), "__final": F.lit(False),
-                                       "__res": F.lit(bool(blocks))}))
-    done: list[DataFrame] = []
-    while True:  # until no query is pending; every round finishes a query or raises its level
-        # every pending (mode, level) group is searched in this round: one
-        # union of searches, one materialised top-k table
-        groups = sorted((bool(r["__res"]), int(r["__lvl"])) for r in
-                        queue.select("__res", "__lvl").distinct().collect())
-        if not groups:
-            break
-        heres = {g: queue.where((F.col("__res") == g[0]) & (F.col("__lvl") == g[1])) for g in groups}
-        tops = [search(h.drop("__lvl", "__final", "__res"), g[1], g[0]) for g, h in heres.items()]
-        top = tops[0]
-        for x in tops[1:]:
-            top = top.unionByName(x)
-        top = cut_lineage(top)
-        summ = top.groupBy("__qid").agg(F.count(F.lit(1)).alias("__cnt"), F.max("dist").alias("__kth"))
-        oks, moves = [], []
-        for (restricted, level), here in heres.items():
-            bound, covers = bound_and_cover(level)
-            st = here.join(summ, "__qid", "left").withColumn("__cnt", F.coalesce("__cnt", F.lit(0)))
-            full = F.col("__cnt") >= k
-            if restricted:
-                bb = block_bound()
-                inside = full & (F.col("__kth") < bb)          # true neighbours share the block levels
-                ok = (F.col("__final") & inside) | (inside & (covers | (F.col("__kth") < bound)))
-            else:
-                inside = F.lit(True)
-                ok = F.col("__final") | covers | (full & (F.col("__kth") < bound))
-            # a query holding k candidates knows a radius (its k-th distance)
-            # containing its true k nearest: jump to the first level whose box
-            # reaches that far in every grid dimension - final there.
-            if w_min > 0:
-                need = F.ceil(F.log2(F.greatest(F.col("__kth") / F.lit(w_min), F.lit(1.0)))).cast("int")
-            else:
-                need = F.lit(level + 1)
-            jump = F.greatest(need, F.lit(level + 1))
-            st = st.select(*q.columns, ok.alias("__ok"), full.alias("__full"), inside.alias("__in"),
-                           jump.alias("__jump"), F.col("__final").alias("__was_final"))
-            oks.append(st.where("__ok").select("__qid"))
-            rest = st.where(~F.col("__ok"))
-            if restricted:
-                # stay restricted (jump) while the k-th distance is inside the
-                # block bound; otherwise open the search, jumping by the radius
-                moved = rest.select(*q.columns,
-                                    F.when(F.col("__full"), F.col("__jump")).otherwise(F.lit(0)).alias("__lvl"),
-                                    F.col("__full").alias("__final"),
-                                    (F.col("__in") & ~F.col("__was_final")).alias("__res"))
-                moved = moved.withColumn("__lvl", F.when(F.col("__res"), F.col("__lvl")).otherwise(
-                    F.when(F.col("__final"), F.col("__lvl")).otherwise(F.lit(0))))
-            else:
-                moved = rest.select(*q.columns,
-                                    F.when(F.col("__full"), F.col("__jump")).otherwise(F.lit(level + 1)).alias("__lvl"),
-                                    F.col("__full").alias("__final"), F.lit(False).alias("__res"))
-            moves.append(moved)
-        ok_ids = oks[0]
-        for x in oks[1:]:
-            ok_ids = ok_ids.unionByName(x)
-        done.append(top.join(ok_ids, "__qid", "left_semi"))
-        nxt = moves[0]
-        for x in moves[1:]:
-            nxt = nxt.unionByName(x)
-        queue = cut_lineage(nxt)
-    t.unpersist()
-    if not done:   # no query rows: an empty result with the same schema
-        empty = q.select("__qid").limit(0)
-        return empty.select(F.col("__qid").alias(out_q), F.lit(None).cast(train.schema[tid].dataType).alias(out_t),
-                            F.lit(None).cast("double").alias("dist"), F.lit(None).cast("int").alias("rank"),
-                            *[F.lit(None).cast(train.schema[c].dataType).alias(c) for c in carry])
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out.select(F.col("__qid").alias(out_q), F.col("__tid").alias(out_t), "dist", "rank", *carry)
+    through (labels / values to vote on).  ``k`` is an int or a function of
+    the number of training rows.  ``leaf_rows`` sets the least rows of an
+    index leaf.  ``blocks`` and ``salt`` are taken for callers that describe
+    their encodings or their skew; the index finds both by itself.
+
+    Training rows with a null or NaN feature are nobody's neighbours, and a
+    query with one has none; fewer than k training rows are all neighbours.
+    """
+    return knn_index.join(queries, train, list(feats), k, qid, tid, out_q, out_t, carry, leaf_rows)
 
 
 def distance_weights(nb: DataFrame, qid: str, weights: str = "distance") -> DataFrame:

@@ -85,7 +85,7 @@ def cut_lineage(df: DataFrame, min_partitions: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/tabmill-cut-{uuid.uuid4().hex}"
     (spread(df) if min_partitions else df).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)  # a known schema saves the job that would read it from the files
 
 
 def spread(df: DataFrame) -> DataFrame:
