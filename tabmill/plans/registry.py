@@ -28,4 +28,4 @@ def query(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every query module (each registers itself)."""
     from tabmill.plans import (q_frame, q_profile, q_assoc, q_dist,  # noqa: F401
-                               q_knn, q_eval, q_models)
+                               q_knn, q_eval, q_models, q_fits)
