@@ -55,8 +55,9 @@ REMEMBERED = 1_000_000
 BATCH_ROWS, PAIRS = 512, 1024
 #: Members verified against one text in one task.
 VERIFY = 256
-#: Counters of the filter that keeps cells of one member out of the shuffle, and cells of a batch.
-FILTER_BITS, CELL_BATCH = 1 << 28, 250_000
+#: Counters of the filters that keep cells of one member out of the shuffle (with
+#: the bits of a cell that each goes by), and cells of a batch.
+FILTERS, CELL_BATCH = ((1 << 28, 0), (1 << 27, 32)), 250_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _U = np.uint64
 _VOCAB = 150_000
@@ -254,17 +255,28 @@ def _stars(classes: DataFrame) -> DataFrame:
     """hub, class_id: each class with the smallest class of each cell that it
     shares, once.
 
-    A bitmap of fixed size tells which cells may be shared; the others are
-    not dealt out.  What is left is counted exactly.
+    Bitmaps of fixed size tell which cells may be shared, the second one
+    among those that the first lets pass; the others are not dealt out.  What
+    is left is counted exactly.
     """
     one = classes.select("class_id", "cells")
-    bits = one.sparkSession.sparkContext.broadcast(
-        twice_bits(one, lambda batches: (c & (FILTER_BITS - 1) for c, _ in _cells_of(batches)), FILTER_BITS))
+    filters: list = []
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for c, ids in _cells_of(batches):
-            hit = is_set(bits.value, c & (FILTER_BITS - 1))
-            yield pa.RecordBatch.from_arrays([pa.array(c[hit]), pa.array(ids[hit])], ["cell", "class_id"])
+            for (size, shift), bits in zip(FILTERS, filters):
+                hit = is_set(bits.value, (c >> shift) & (size - 1))
+                c, ids = c[hit], ids[hit]
+            yield c, ids
+
+    for size, shift in FILTERS:
+        def counters(batches: Iterator[pa.RecordBatch], size: int = size, shift: int = shift) -> Iterator[np.ndarray]:
+            return ((c >> shift) & (size - 1) for c, _ in passing(batches))
+        filters.append(one.sparkSession.sparkContext.broadcast(twice_bits(one, counters, size)))
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c, ids in passing(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(ids)], ["cell", "class_id"])
     many = cut_lineage(one.mapInArrow(explode, "cell long, class_id long"))
     hubs = cut_lineage(many.groupBy("cell").agg(F.min("class_id").alias("hub"), F.max("class_id").alias("last")).where("hub < last").select("cell", "hub"))
     return cut_lineage(many.join(hubs, "cell").where("hub != class_id").select("hub", "class_id").distinct())

@@ -48,9 +48,9 @@ _WS = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x202
 _CUT = re.compile(f"(?<=[^{_WS}])(?=[{_WS}])")
 #: Fixed value: the word pattern, over text in which other letters, numbers and
 #: white space are written as A, 0 and a blank and anything else as an exclamation mark.
-_WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zA]+|[0-9]|[^\t-\r a-zA0-9]+")
+_WORD = re.compile("[a-zA]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\t-\r a-zA0-9]+")
 #: The same for text of characters that Python classes as the library does.
-_PLAIN_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+_PLAIN_WORD = re.compile(r"[^\W\d_]+|\d|'(?:s|t|re|ve|m|ll|d)|(?:[^\w\s]|_)+")
 _LETTER = re.compile(r"[^\W\d_]")
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _MODELS: dict[str, Model] = {}
@@ -130,7 +130,9 @@ class Model:
         self.special = {t["content"]: t["id"] for t in added}
         self.cut_special = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if added else None
         self.base = 1 + max([*vocab.values(), *self.special.values()])
-        self.names = {**{i: t for t, i in vocab.items()}, **{i: s for s, i in self.special.items()}}
+        self.names = np.full(self.base, None, object)
+        for t, i in [*vocab.items(), *self.special.items()]:
+            self.names[i] = t
         pairs = [m.split(" ") if isinstance(m, str) else m for m in bpe["merges"]]
         left, right = (np.array([vocab[p[k]] for p in pairs], np.int64) for k in (0, 1))
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
@@ -303,8 +305,8 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded")
 
     @F.arrow_udf("string")
     def run(ids: pa.Array) -> pa.Array:
-        name = get().names.__getitem__
-        return pa.array([" ".join(map(name, i.values.to_numpy().tolist())) if i.is_valid else "" for i in ids], pa.string())
+        names = get().names
+        return pa.array([" ".join(names.take(i.values.to_numpy())) if i.is_valid else "" for i in ids], pa.string())
     return df.withColumn(out, run(F.col(ids_col)))
 
 
