@@ -16,16 +16,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabmill.llm import bpe, dedup_mph, jaccard_rtree, mix, quality_zstd
+from tabmill.llm.common import arrow_rows
 from tabmill.session import cut_lineage
 from tabmill.sources.tables import table
 
 #: Similarity in hundredths at which two documents are near duplicates, and words of a shingle.
 NEAR, NEAR_WORDS = 80, 5
+#: Documents of an Arrow batch.  Python workers serve all stages and keep the memory
+#: of their largest batch, so every stage that calls Python bounds its batches.
+BATCH_ROWS = 512
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier does not reject."""
-    return quality_zstd.accepted(docs, table(spark, sf_dir, "labels"))
+    with arrow_rows(spark, BATCH_ROWS):
+        return cut_lineage(quality_zstd.accepted(docs, table(spark, sf_dir, "labels")))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +50,11 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids per document, with digests of the ids and of the decoded bytes."""
-    done = bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return done.select("doc_id", "lang", "source", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids",
-                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    with arrow_rows(spark, BATCH_ROWS):
+        done = bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+        return cut_lineage(done.select(
+            "doc_id", "lang", "source", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids",
+            F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")))
 
 
 STAGES = [("quality", quality), ("exact", exact), ("near", near), ("mixing", mixing), ("encoding", encoding)]
