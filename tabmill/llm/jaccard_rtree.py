@@ -293,13 +293,14 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: int, words: int) -> D
     some = cut_lineage(pick(texts, wanted, "class_id"))
 
     known: OrderedDict[int, np.ndarray] = OrderedDict()
+    total = [0]
 
     def read(i: int, text: bytes) -> np.ndarray:
         if i not in known:
             known[i] = shingles(text, words)
-            total = sum(map(len, known.values())) if len(known) % 64 == 0 else 0
-            while total > REMEMBERED and len(known) > 1:
-                total -= len(known.popitem(last=False)[1])
+            total[0] += len(known[i])
+            while total[0] > REMEMBERED and len(known) > 1:
+                total[0] -= len(known.popitem(last=False)[1])
         return known[i]
 
     def compare(p: pd.DataFrame) -> pd.DataFrame:
