@@ -16,7 +16,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabmill.llm import bpe, dedup_mph, jaccard_rtree, mix, quality_zstd
-from tabmill.llm.common import arrow_rows
+from tabmill.llm.common import arrow_rows, located, pick
 from tabmill.session import cut_lineage
 from tabmill.sources.tables import table
 
@@ -29,8 +29,10 @@ BATCH_ROWS = 512
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier does not reject."""
+    held, rid = located(docs, "doc_id")
     with arrow_rows(spark, BATCH_ROWS):
-        return cut_lineage(quality_zstd.accepted(docs, table(spark, sf_dir, "labels")))
+        stay = cut_lineage(quality_zstd.accepted(held, table(spark, sf_dir, "labels")).select(rid))
+    return pick(held, stay, rid).select(docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
