@@ -278,6 +278,8 @@ def _stars(classes: DataFrame) -> DataFrame:
         for c, ids in passing(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(ids)], ["cell", "class_id"])
     many = cut_lineage(one.mapInArrow(explode, "cell long, class_id long"))
+    for bits in filters:
+        bits.destroy()  # the table is written
     hubs = cut_lineage(many.groupBy("cell").agg(F.min("class_id").alias("hub"), F.max("class_id").alias("last")).where("hub < last").select("cell", "hub"))
     return cut_lineage(many.join(hubs, "cell").where("hub != class_id").select("hub", "class_id").distinct())
 
