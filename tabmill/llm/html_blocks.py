@@ -9,7 +9,10 @@ stop-word density as good, bad, near-good or short; the second lets the
 undecided ones (short, near-good) take the labels of the nearest decided
 neighbours of the same section.  Inside a page's <article> or <main> text is
 expected: a block that only lacks stop words is undecided there rather than
-bad, and the section's ends count as good neighbours.
+bad, and the section's ends count as good neighbours; and where these sections
+hold at least as much text as the rest of the page, the rest goes.  A page
+without any block of known stop words (another language, figures) is judged by
+length and link density alone.
 
 Defined results: character references are decoded; any white space inside
 a block is one space, blocks are trimmed and joined by one space in page
@@ -287,12 +290,17 @@ def _parse(html: str, lifted: frozenset[int], survey: bool) -> Page:
     return page
 
 
+def _stop_share(text: str) -> float:
+    words = _WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+
 def classify(found: list[Block]) -> None:
     """Both passes."""
-    for b in found:
-        n = len(b.text)
-        words = _WORD.findall(b.text.lower())
-        stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    shares = [_stop_share(b.text) for b in found]
+    known = any(s >= STOP_LOW and len(b.text) >= SHORT and b.linked <= MAX_LINKS * len(b.text) for b, s in zip(found, shares))
+    for b, share in zip(found, shares):
+        n, stops = len(b.text), share if known else STOP_HIGH
         if b.linked > MAX_LINKS * max(1, n - b.text.count(" ")):
             b.label = "bad"
         elif n < SHORT:
@@ -329,9 +337,11 @@ def classify(found: list[Block]) -> None:
 def main_text(html: str | None) -> str:
     found = blocks(html or "")
     classify(found)
-    if any(b.section for b in found):  # a page that marks its article has no text elsewhere
-        found = [b for b in found if b.section]
-    return " ".join(b.text for b in found if b.label == "good")
+    good = [b for b in found if b.label == "good"]
+    inside = [b for b in good if b.section]
+    if any(b.section for b in found) and 2 * sum(len(b.text) for b in inside) >= sum(len(b.text) for b in good):
+        good = inside  # the marked article holds most of the text, so the rest is not the page's
+    return " ".join(b.text for b in good)
 
 
 def extract(pages: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:

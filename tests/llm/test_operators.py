@@ -219,6 +219,13 @@ def test_secret_scan_has_no_python(edges, capsys):
 # ---- 5 ------------------------------------------------------------------------------------------
 
 LONG = "The cat sat on the mat and it was the best of all the days in the town for them. " * 4
+#: Paragraphs without any of the listed stop words, by a word of theirs.
+OTHER = {
+    "Погода": " ".join(["Погода сегодня хорошая, дети играют возле старой реки, вечером обещают дождь."] * 4),
+    "天气": "今天天气很好孩子们在河边玩耍晚上可能下雨大家都带了雨伞所以没有人担心。" * 8,
+    "Pogoda": " ".join(["Pogoda dzisiaj piękna, dzieci bawią się obok starej rzeki, wieczorem spadnie deszcz."] * 4),
+    "Units": " ".join(["Units 1200 3400 5600, totals 17 29 31, rates 0.5 0.7 0.9."] * 5),
+}
 
 
 @pytest.mark.parametrize("html, want", [
@@ -227,7 +234,11 @@ LONG = "The cat sat on the mat and it was the best of all the days in the town f
     (f"<header>Site</header><div class='cookie-notice'>Cookies and the like</div><div><p>{LONG}</p><p>Short.</p><p>{LONG}</p></div>"
      f"<div id=comments><p>{LONG}</p></div><aside>{LONG}</aside>", f"{LONG.strip()} Short. {LONG.strip()}"),
     (f"<article><p>{LONG}<script>if (a<b) '</p>'</script><!-- x --></p><form>Mail <input></form><section class='comments'>{LONG}</section></article>", LONG.strip()),
-    ("<article><p>qqq www eee rrr</p></article>", "qqq www eee rrr")])
+    ("<article><p>qqq www eee rrr</p></article>", "qqq www eee rrr"),
+    (f"<div id=content><p>{LONG}</p><p>{LONG}</p></div><article><p>Next: a teaser of another page</p></article>",
+     f"{LONG.strip()} {LONG.strip()} Next: a teaser of another page"),
+    *[(f"<nav><a href=a>{w}</a></nav><ul><li><a href=b>{w}</a><li><a href=c>{w}</a></ul><div><p>{t}</p><p>{w}.</p><p>{t}</p></div><footer>{w}</footer>", f"{t} {w}. {t}")
+      for w, t in OTHER.items()]])
 def test_html_cases(html, want):
     assert html_blocks.main_text(html) == want
 
