@@ -3,9 +3,14 @@
 The rows are put in one global order in which equal texts are neighbours,
 range-partitioned by the whole order; the partitions' totals shift the
 running sums inside them, which gives every row the bytes before it.  The
-line of all bytes is cut at equal targets.  A group of equal texts that is
-small against a shard goes whole to the shard its middle lies in; larger
-groups are cut between rows, each row by its own middle.
+line of all bytes is cut at equal targets.
+
+A group of equal texts stays in one shard.  Groups above 1/16 of a shard (so
+at most 16 per shard) are laid out first, the largest first, each at the
+beginning of the shard with most room; the line of all other rows fills what
+is left, and a small group goes to the shard its middle lies in.  Only a
+group that no shard has room for (larger than a shard, or too large beside
+other such groups) is cut, between rows.
 
 Defined results: a null text has no bytes (and the CRC of none) and is a
 group of its own beside the empty text; repeated rows are rows; an empty
@@ -16,13 +21,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tabmill.llm.common import prefix_sums
+from tabmill.llm.common import join_small, prefix_sums
 from tabmill.session import cut_lineage
 
 #: Bytes that a row counts besides its text.
 OVERHEAD = 16
-#: Groups of equal texts up to a shard's bytes divided by this stay whole.
-WHOLE = 16
+#: Groups of equal texts above a shard's bytes divided by this are laid out one by one.
+LARGE = 16
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -35,18 +40,57 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         F.xxhash64(F.col(id_col)).alias("ord")).withColumn("rid", F.monotonically_increasing_id()).withColumn("one", F.lit(1)))
 
 
-def shards(rows: DataFrame, n_shards: int = 40, whole: int = WHOLE) -> DataFrame:
+def _layout(rows: DataFrame, n_shards: int, total: int) -> tuple[list[tuple[str, int]], list[int], list[int]]:
+    """(group, shard, or n_shards for a group that must be cut) of the large
+    groups, and the bytes and rows that they take of each shard.  At most
+    ``LARGE`` x ``n_shards`` groups can be large, so the driver can hold them."""
+    large = (rows.groupBy("grp").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
+             .where((F.col("n") > 1) & (F.col("size").cast("decimal(38,0)") * (LARGE * n_shards) > total)).collect())
+    taken, n_rows, at = [0] * n_shards, [0] * n_shards, []
+    for r in sorted(large, key=lambda r: (-r["size"], r["grp"])):
+        k = min(range(n_shards), key=lambda k: (taken[k], k))
+        fits = (taken[k] + r["size"]) * n_shards <= total
+        at.append((r["grp"], k if fits else n_shards))
+        if fits:
+            taken[k] += r["size"]
+            n_rows[k] += r["n"]
+    return at, taken, n_rows
+
+
+def shards(rows: DataFrame, n_shards: int = 40) -> DataFrame:
     """``rows`` (of ``sized``) with shard and slot."""
-    placed = cut_lineage(prefix_sums(rows, ["grp", "ord", "doc_id", "rid"], {"before": "size", "pos": "one"}))
-    total = placed.agg(F.sum("size")).first()[0] or 0
-    groups = placed.groupBy("grp").agg(F.min("before").alias("g_before"), F.sum("size").alias("g_size"))
-    small = F.col("g_size") * whole * n_shards <= F.lit(total)
-    start, span = F.when(small, F.col("g_before")).otherwise(F.col("before")), F.when(small, F.col("g_size")).otherwise(F.col("size"))
-    middle = (2 * start + span).cast("decimal(38,0)") * n_shards / F.lit(2 * max(1, total)).cast("decimal(38,0)")
-    out = cut_lineage(placed.join(groups, "grp").withColumn("shard", F.least(F.lit(n_shards - 1), F.floor(middle)).cast("int"))
-                      .drop("g_before", "g_size", "before", "one"))
-    first = out.groupBy("shard").agg(F.min("pos").alias("first"))  # one row per shard
-    return out.join(F.broadcast(first), "shard").withColumn("slot", F.col("pos") - F.col("first")).drop("first")
+    spark = rows.sparkSession
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    large, taken, n_rows = _layout(rows, n_shards, total)
+    laid = F.broadcast(spark.createDataFrame(large, "grp string, seg int"))  # at most LARGE x n_shards rows
+    placed = rows.join(laid, "grp", "left").withColumns({"seg": F.coalesce("seg", F.lit(n_shards)), "cut": F.col("seg").isNotNull()})
+    placed = cut_lineage(prefix_sums(placed, ["seg", "grp", "ord", "doc_id", "rid"], {"before": "size", "pos": "one"}))
+
+    line = placed.where(F.col("seg") == n_shards)
+    groups = cut_lineage(line.where(~F.col("cut")).groupBy("grp").agg(F.min("before").alias("g_before"), F.sum("size").alias("g_size"), F.count(F.lit(1)).alias("n"))
+                         .where("n > 1").drop("n"))
+    line = join_small(line, groups, "grp", "left")
+    start = F.coalesce("g_before", "before") - sum(taken)
+    middle = (2 * start + F.coalesce("g_size", "size")).cast("decimal(38,0)") * n_shards
+    room, ends = 0, []  # where on the line (in halves of bytes times shards) the room of each shard but the last ends
+    for k in range(n_shards - 1):
+        room += 2 * (total - taken[k] * n_shards)
+        ends.append(room)
+    if any(taken):
+        cuts = F.array(*[F.lit(e).cast("decimal(38,0)") for e in ends]) if ends else F.expr("CAST(array() AS array<decimal(38,0)>)")
+        shard = F.size(F.filter(cuts, lambda e: e <= middle))
+    else:
+        shard = F.least(F.lit(n_shards - 1), F.floor(middle / F.lit(2 * max(1, total)).cast("decimal(38,0)")).cast("int"))
+    line = cut_lineage(line.withColumn("shard", shard).drop("g_before", "g_size", "before", "one", "cut"))
+    base = line.groupBy("shard").agg(F.min("pos").alias("first"))  # one row per shard
+    known = spark.createDataFrame(list(enumerate(n_rows)), "shard int, own long")
+    base = base.join(F.broadcast(known), "shard").select("shard", (F.col("first") - F.col("own")).alias("first"))
+    line = line.join(F.broadcast(base), "shard")
+
+    firsts = [(k, sum(n_rows[:k])) for k in range(n_shards)]
+    own = placed.where(F.col("seg") < n_shards).drop("before", "one", "cut").withColumn("shard", F.col("seg"))
+    own = own.join(F.broadcast(spark.createDataFrame(firsts, "shard int, first long")), "shard")
+    return line.unionByName(own).withColumn("slot", F.col("pos") - F.col("first")).drop("first", "seg")
 
 
 def query(docs: DataFrame) -> DataFrame:

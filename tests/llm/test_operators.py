@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -450,6 +451,44 @@ def test_shards_balance(spark):
     assert len(per) == 40 and all(abs(v - mean) < 0.15 * mean for v in per.values())
 
 
+def test_shards_keep_groups(spark):
+    """Groups of up to a shard stay whole, and the cuts are those of a plain prefix sum."""
+    data = [(i, text(20 + i % 30, i), "a") for i in range(2400)]
+    for g, n in enumerate((25, 40, 55, 60, 130, 3)):
+        data += [(10_000 + 1000 * g + k, f"equal text number {g} " * 8, "a") for k in range(n)]
+    out = rows(shard_prefix.query(docs(spark, data)))
+    check_shards(data, out)
+    size, where, n = Counter(), defaultdict(set), Counter()
+    for r in out:
+        size[r["shard"]] += r["size"]
+        where[r["text_crc32"]].add(r["shard"])
+        n[r["text_crc32"]] += r["size"]
+    mean = sum(size.values()) / 40
+    assert all(len(where[c]) == 1 for c in where if n[c] <= mean) and any(len(s) > 1 for s in where.values())
+    assert len(size) == 40 and all(abs(v - mean) < 0.1 * mean for v in size.values())
+    # the rows outside large groups, in the order of shard and slot, are cut where the room of each shard ends
+    large = {c for c in n if 16 * n[c] > mean and len(where[c]) == 1 and sum(r["text_crc32"] == c for r in out) > 1}
+    own = Counter()
+    for r in out:
+        own[r["shard"]] += r["size"] * (r["text_crc32"] in large)
+    line = sorted((r for r in out if r["text_crc32"] not in large), key=lambda r: (r["shard"], r["slot"]))
+    ends = list(itertools.accumulate(mean - own[k] for k in range(40)))
+    at = 0
+    for r in line:
+        if n[r["text_crc32"]] == r["size"] or n[r["text_crc32"]] > mean:
+            assert r["shard"] == min(39, sum(e <= at + r["size"] / 2 + 1e-6 for e in ends[:39])) or abs(min(abs(e - at - r["size"] / 2) for e in ends)) < 1e-3
+        at += r["size"]
+
+
+def test_shards_one_and_many(spark, edges):
+    for k in (1, 2, 3, 500):
+        got = rows(shard_prefix.shards(shard_prefix.sized(edges), k))
+        slots = defaultdict(list)
+        for r in got:
+            slots[r["shard"]].append(r["slot"])
+        assert len(got) == len(edge_rows()) and all(0 <= s < k and sorted(v) == list(range(len(v))) for s, v in slots.items())
+
+
 def test_write_shards(edges, tmp_path):
     shard_prefix.write_shards(edges, str(tmp_path / "out"), n_shards=4)
     back = edges.sparkSession.read.parquet(str(tmp_path / "out"))
