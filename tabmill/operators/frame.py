@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabmill.operators.ordering import row_index
+from tabmill.session import cut_lineage
 
 
 def _c(x) -> Column:
@@ -172,24 +173,29 @@ def dedupe_ids(df: DataFrame, id_col: str, order: Sequence[str]) -> DataFrame:
     first row keeps it; every later row gets max(id) + its running number
     among all such rows (ordered by id, then ``order``).
 
-    Skew-safe: duplicate ids are found by a partial aggregate, the
-    numbering uses range-partitioned running sums, never a window per id.
+    The rows of duplicated ids are range-partitioned by the whole sort key
+    (an id that holds most rows is cut by the later keys), and a row is its
+    id's first where the row before it, in its slice or at the end of an
+    earlier one, has another id: no window and no join by id.
     """
     max_id = df.select(F.max(id_col)).scalar()
     dup = (df.groupBy(id_col).agg(F.count(F.lit(1)).alias("__cnt"))
            .where(F.col("__cnt") > 1).select(id_col))
     single = df.join(dup, id_col, "left_anti")
-    cand = df.join(dup, id_col, "left_semi")
-    key_order = [id_col, *order]
-    g = row_index(cand, key_order, "__g")
-    dup_rank = row_index(dup, [id_col], "__d")   # 0-based rank of the id among duplicated ids
-    g = g.join(dup_rank, id_col, "inner")
-    first = g.groupBy(id_col).agg(F.min("__g").alias("__g0"))
-    g = g.join(first, id_col, "inner")
-    # position among the non-first rows, 1-based: g - (number of first rows at or before g) + 1
-    new_id = F.lit(max_id) + (F.col("__g") - F.col("__d"))
-    fixed = g.withColumn(id_col, F.when(F.col("__g") > F.col("__g0"), new_id.cast(df.schema[id_col].dataType))
-                         .otherwise(F.col(id_col))).select(*df.columns)
+    sort_cols = [F.col(c).asc_nulls_first() for c in (id_col, *order)]
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    slices = cut_lineage(df.join(dup, id_col, "left_semi").repartitionByRange(n, *sort_cols).withColumn("__pid", F.spark_partition_id()))
+    across = Window.orderBy("__pid")  # one row per slice
+    ends = slices.groupBy("__pid").agg(F.max(id_col).alias("__last")).select("__pid", F.lag("__last").over(across).alias("__before"))
+    here = Window.partitionBy("__pid").orderBy(*sort_cols)
+    before = F.coalesce(F.lag(id_col).over(here), F.col("__before"))
+    marked = slices.join(F.broadcast(ends), "__pid").withColumn("__later", F.coalesce((F.col(id_col) == before).cast("long"), F.lit(0)))
+    marked = cut_lineage(marked.withColumn("__at", F.sum("__later").over(here.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
+    offsets = marked.groupBy("__pid").agg(F.sum("__later").alias("__n")).select(
+        "__pid", F.coalesce(F.sum("__n").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"))
+    new_id = (F.lit(max_id) + F.col("__at") + F.col("__off")).cast(df.schema[id_col].dataType)
+    fixed = marked.join(F.broadcast(offsets), "__pid").withColumn(
+        id_col, F.when(F.col("__later") == 1, new_id).otherwise(F.col(id_col))).select(*df.columns)
     return single.unionByName(fixed)
 
 

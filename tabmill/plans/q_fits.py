@@ -1,6 +1,7 @@
 """Queries on batched fits: the search over seven feature sets, and the
 evaluation (sweep, votes, ROC, leaderboard) of their out-of-fold scores
-(J1, J3, J5, J6, J10, J17-J23 on real fits).
+(J1, J3, J5, J6, J10, J17-J23 on real fits), and the search over kernel
+classifiers (J14).
 
 The fits are iterative, so SQL can't express them; tests hold the fits
 against a plain solver.
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tabmill.operators import batch_fit as bf
 from tabmill.operators import evaluate as ev
+from tabmill.operators import kernel as kn
 from tabmill.operators.dist import zscore
 from tabmill.operators.impute import one_hot_groups
 from tabmill.plans.inputs import study
@@ -112,3 +114,45 @@ def forward_by_score(spark, sf):
     every = _columns(groups, groups)
     path = bf.forward_by_score(bf.table(enc, "id", "label", every, F.lit(1)), every, groups, alpha=0.5)
     return spark.createDataFrame([(k, *p) for k, p in enumerate(path, 1)], "step int, variable string, statistic double, p_value double")
+
+
+# ---- J14: kernel support vectors ------------------------------------------------------------------
+
+KERNELS, GAMMAS, SVC_COSTS, LANDMARKS = ("rbf", "sigmoid"), (0.05, 0.2), (0.1, 1.0, 10.0), 64
+
+
+def _svc_bits() -> F.Column:
+    """Training bits of the shuffle splits."""
+    return sum((F.when(ev.hash_bucket(F.col("id"), F.lit(s + SEED)) < TRAIN, F.lit(1 << s)).otherwise(F.lit(0)) for s in range(SPLITS)), F.lit(0))
+
+
+def _svc_search(enc: DataFrame, every: tuple[str, ...]) -> DataFrame:
+    """model (kernel:gamma:cost), accuracy: the mean over the splits; all fits run in the same passes."""
+    rows = bf.table(enc, "id", "label", every, _svc_bits())
+    fits = [kn.Svc(f"{k}:{g}:{c}", k, g, c, s) for k in KERNELS for g in GAMMAS for c in SVC_COSTS for s in range(SPLITS)]
+    return kn.accuracy(kn.out_of_part(rows, kn.fit_all(rows, fits, kn.landmarks(rows, LANDMARKS))))
+
+
+@query("kernel_svc_search")
+def kernel_svc_search(spark, sf):
+    """Accuracy over five shuffle splits of every kernel, gamma and cost."""
+    enc, groups = _encoded(study(spark, sf))
+    part = F.split("model", ":")
+    return _svc_search(cut_lineage(enc), _columns(groups, groups)).select(
+        part[0].alias("kernel"), part[1].cast("double").alias("gamma"), part[2].cast("double").alias("cost"), F.round("accuracy", 6).alias("accuracy"))
+
+
+@query("kernel_svc_oof")
+def kernel_svc_oof(spark, sf):
+    """Out-of-fold decision values and labels of each kernel at the gamma and cost that its search prefers (ties to the smaller)."""
+    enc, groups = _encoded(study(spark, sf))
+    enc, every = cut_lineage(enc), _columns(groups, groups)
+    best: dict[str, tuple[float, float, float]] = {}
+    for r in _svc_search(enc, every).collect():
+        kernel, gamma, cost = r["model"].split(":")
+        best[kernel] = min(best.get(kernel, (0.0, 0.0, 0.0)), (-r["accuracy"], float(gamma), float(cost)))
+    folded = ev.stratified_folds(enc, "label", "id", FOLDS)
+    rows = bf.table(folded, "id", "label", every, bf.fold_bits("fold", FOLDS))
+    fits = [kn.Svc(k, k, g, c, f) for k, (_, g, c) in best.items() for f in range(1, FOLDS + 1)]
+    scores = kn.out_of_part(rows, kn.fit_all(rows, fits, kn.landmarks(rows, LANDMARKS)))
+    return scores.select("id", "label", "model", F.round("decision", 4).alias("decision"), (F.col("decision") > 0).cast("int").alias("predicted"))

@@ -127,6 +127,23 @@ def test_dedupe_ids(spark):
     assert out == {1: 1, 2: 8, 3: 3, 4: 9, 5: 10, 6: 7}
 
 
+def test_dedupe_ids_hot_id(spark):
+    """One id holds most rows: they lie in several slices, and are numbered as one window numbers them."""
+    data = [(5 if i % 10 else 100 + i % 7 * 10 + i // 100, i) for i in range(600)]
+    df = spark.createDataFrame(data, "id long, seq long")
+    out = {r["seq"]: r["id"] for r in frame.dedupe_ids(df, "id", ["seq"]).collect()}
+    seen, top, want = set(), max(i for i, _ in data), {}
+    counts = {i: sum(x == i for x, _ in data) for i, _ in data}
+    for i, seq in sorted(data):
+        if counts[i] > 1 and i in seen:
+            top += 1
+            want[seq] = top
+        else:
+            want[seq] = i
+        seen.add(i)
+    assert out == want and len(set(out.values())) == len(data)
+
+
 def test_cutoff_strict_and_null_precision(spark):
     s = spark.createDataFrame([(1, "m_1", 0.5, 1), (2, "m_1", 0.2, 0)], "id long, model string, p double, label int")
     sw = {round(r["cut_off"], 3): r for r in ev.cutoff_sweep(s).collect()}
