@@ -4,7 +4,7 @@ One step: predictors = the columns complete *now* (minus excluded ones),
 categorical predictors one-hot encoded over all rows, everything z-scored
 with mean / population std of the training rows (rows whose target is
 known), k = round-half-even(sqrt(n_train)) (optionally forced odd), the k
-nearest training rows found by the exact grid join in ``knn``, then a
+nearest training rows found by the exact index search in ``knn``, then a
 distance-weighted vote (classes; ties -> lowest) or mean (values,
 optionally rounded half-to-even).  The chain imputes columns in ascending
 order of their missing count, each filled column joining the predictors of
@@ -108,11 +108,12 @@ def knn_impute(df: DataFrame, id_col: str, spec: ImputeSpec, predictors: Sequenc
             k -= 1
         return max(k, 1)
 
-    nb = knn.knn_join(query, train, feats, k_of, id_col, id_col, out_q=id_col, out_t="__tid", carry=[t])
+    # k grows with the table: the neighbours are summed where they are found, not handed on as rows
+    sums = knn.knn_sums(query, train, feats, k_of, t, id_col, id_col, by_value=spec.kind == "class")
     if spec.kind == "class":
-        pred = knn.vote(nb, id_col, t)
+        pred = knn.vote_of_sums(sums, id_col, t)
     else:
-        pred = knn.weighted_mean(nb, id_col, t)
+        pred = knn.mean_of_sums(sums, id_col)
         if spec.round_digits is not None:
             pred = pred.withColumn("prediction", F.bround("prediction", spec.round_digits))
     return pred

@@ -32,6 +32,27 @@ def knn_join(queries: DataFrame, train: DataFrame, feats: Sequence[str], k,
     return knn_index.join(queries, train, list(feats), k, qid, tid, out_q, out_t, carry, leaf_rows)
 
 
+def knn_sums(queries: DataFrame, train: DataFrame, feats: Sequence[str], k, y: str, qid: str = "id", tid: str = "id",
+             by_value: bool = False, leaf_rows: int | None = None) -> DataFrame:
+    """Weighted sums over the neighbours that ``knn_join`` finds, one row per
+    query (and value of y if ``by_value``): what ``mean_of_sums`` and
+    ``vote_of_sums`` need, without a row per neighbour."""
+    return knn_index.sums(queries, train, list(feats), k, qid, tid, y, by_value, leaf_rows)
+
+
+def mean_of_sums(sums: DataFrame, qid: str) -> DataFrame:
+    """``weighted_mean`` by distance, from ``knn_sums``."""
+    exact = F.col("zeros") > 0
+    return sums.select(qid, F.when(exact, F.try_divide("zeros_y", "zeros")).otherwise(F.try_divide("wy", "w")).alias("prediction"))
+
+
+def vote_of_sums(sums: DataFrame, qid: str, y: str) -> DataFrame:
+    """``vote`` by distance, from ``knn_sums`` by value."""
+    best = [F.min_by(F.col(y), F.struct((-F.col(c)).alias("a"), F.col(y).alias("b"))).alias(c) for c in ("zeros", "w")]
+    return sums.groupBy(qid).agg(F.max("zeros").alias("most"), *best).select(
+        qid, F.when(F.col("most") > 0, F.col("zeros")).otherwise(F.col("w")).alias("prediction"))
+
+
 def distance_weights(nb: DataFrame, qid: str, weights: str = "distance") -> DataFrame:
     """Neighbour weights: 1/distance, or - when a query has a neighbour at
     distance 0 - weight 1 for those and 0 for the rest; ``uniform`` gives 1."""

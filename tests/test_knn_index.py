@@ -78,3 +78,49 @@ def test_tree_places_every_row_inside_its_split(spark):
     leaf = tree.place(x)
     sizes = np.bincount(leaf, minlength=tree.leaves)
     assert sizes.sum() == 5000 and sorted(sizes)[-2] <= 100 and sizes.max() <= 4100
+
+
+def check_sums(spark, qs, ts, k, **how):
+    """Sums against the neighbours' rows of the join, as mean and as vote."""
+    n = len(qs[0][1])
+    cols = ", ".join(f"f{d} double" for d in range(n))
+    feats = [f"f{d}" for d in range(n)]
+    q = spark.createDataFrame([(i, *x) for i, x in qs], f"id long, {cols}")
+    t = spark.createDataFrame([(i, *x, (i * 7 + 3) % 5, (i * 13 % 101) / 7.0) for i, x in ts], f"id long, {cols}, c int, y double")
+    nb = knn.knn_join(q, t, feats, k, carry=["c", "y"], out_q="id", **how).cache()
+    want = {r["id"]: r["prediction"] for r in knn.weighted_mean(nb, "id", "y").collect()}
+    got = {r["id"]: r["prediction"] for r in knn.mean_of_sums(knn.knn_sums(q, t, feats, k, "y", **how), "id").collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], rel=1e-9) for i in want)
+    want = {r["id"]: r["prediction"] for r in knn.vote(nb, "id", "c").collect()}
+    got = {r["id"]: r["prediction"] for r in knn.vote_of_sums(knn.knn_sums(q, t, feats, k, "c", by_value=True, **how), "id", "c").collect()}
+    assert got == want
+
+
+def test_sums_outlier_nulls_and_parts(spark, monkeypatch):
+    for name, value in (("BIN", 150), ("SUM_CHUNK", 7), ("LAST", 2)):
+        monkeypatch.setattr(knn_index, name, value)
+    rng = random.Random(11)
+    ts = rows(rng, 900, 3) + [(5000, [1e9, -1e9, 0.0]), (5001, [None, 0.0, 0.0])]
+    qs = rows(rng, 30, 3, 9000) + [(9900, [1e9, 0.0, 0.0]), (9901, [0.0, None, 1.0]), (9902, ts[5][1])]
+    check_sums(spark, qs, ts, 31, leaf_rows=60)
+
+
+def test_sums_of_equal_rows_small_sample_and_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(knn_index, "SAMPLE", 100)
+    rng = random.Random(12)
+    ts = [(i, [1.0, 2.0]) if i % 10 else (i, [rng.random(), rng.random() * 3]) for i in range(800)]
+    qs = [(1, [1.0, 2.0]), (2, [1.0, 2.1]), (3, [0.2, 0.2]), (4, [-50.0, 9.0])]
+    check_sums(spark, qs, ts, 15, leaf_rows=30)
+    check_sums(spark, qs, ts[:6], 15)
+
+
+def test_sums_hand_on_fewer_rows_than_neighbours(spark, monkeypatch):
+    seen = []
+    cut = knn_index.cut_lineage
+    monkeypatch.setattr(knn_index, "cut_lineage", lambda df, *a: (seen.append(out := cut(df, *a)), out)[1])
+    rng = random.Random(13)
+    qs, ts = rows(rng, 20, 2, 9000), rows(rng, 3000, 2)
+    q = spark.createDataFrame([(i, *x) for i, x in qs], "id long, a double, b double")
+    t = spark.createDataFrame([(i, *x, 1.0) for i, x in ts], "id long, a double, b double, y double")
+    knn.mean_of_sums(knn.knn_sums(q, t, ["a", "b"], 800, "y"), "id").collect()
+    assert max(d.count() for d in seen) <= len(ts)  # the join wrote 20 * 800 rows
