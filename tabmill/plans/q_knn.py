@@ -17,6 +17,7 @@ from tabmill.operators import impute, knn, profile
 from tabmill.operators.dist import zscore
 from tabmill.plans.inputs import STUDY_MISSING_SQL, STUDY_SQL, study, study_missing
 from tabmill.plans.registry import query
+from tabmill.session import cut_lineage
 
 R = 6
 CATEGORICAL = ["seg", "nation", "region", "big"]
@@ -199,9 +200,9 @@ BASE_CATS = ["nation", "region", "big"]
 
 
 def _impute_one(spark, sf, target, kind):
-    k = _kept(spark, sf)
+    k = cut_lineage(_kept(spark, sf))
     preds = impute.complete_predictors(k, ["id", target, "label"])
-    pred = impute.knn_impute(k, "id", impute.ImputeSpec(target, kind), preds, CATEGORICAL)
+    pred = impute.knn_impute(k, "id", impute.ImputeSpec(target, kind), preds, CATEGORICAL, materialized=True)
     return pred
 
 
