@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabmill.operators import knn_index
 
@@ -81,3 +81,25 @@ def weighted_mean(nb: DataFrame, qid: str, y: str, weights: str = "distance") ->
     """Distance-weighted mean of the neighbours' values."""
     w = distance_weights(nb, qid, weights)
     return w.groupBy(qid).agg((F.sum(F.col("w") * F.col(y)) / F.sum("w")).alias("prediction"))
+
+
+def grid_accuracy(nb: DataFrame, truth: DataFrame, qid: str, y: str, grid: Sequence[tuple[int, str]]) -> DataFrame:
+    """(k, weights, accuracy) of ``vote`` over the neighbours of rank up to k,
+    for all pairs of the grid in one pass over the neighbours: sums per query
+    and label for every k, then the best label of each pair, held against
+    ``truth`` (qid, truth; one row per query)."""
+    near, zero = (lambda k: F.col("rank") <= k), F.col("dist") == 0
+    per = nb.groupBy(qid, y).agg(*[c for k in sorted({k for k, _ in grid}) for c in (
+        F.count_if(near(k)).alias(f"n{k}"), F.count_if(near(k) & zero).alias(f"z{k}"),
+        F.sum(F.when(near(k) & ~zero, 1.0 / F.col("dist")).otherwise(0.0)).alias(f"s{k}"))])
+
+    def best(weight: str) -> Column:
+        return F.min_by(F.col(y), F.struct((-F.col(weight)).alias("a"), F.col(y).alias("b")))
+    picks = []
+    for i, (k, w) in enumerate(grid):
+        label = best(f"n{k}") if w == "uniform" else F.when(F.max(f"z{k}") > 0, best(f"z{k}")).otherwise(best(f"s{k}"))
+        picks.append(label.alias(f"p{i}"))
+    picked = per.groupBy(qid).agg(*picks).join(truth, qid)
+    scored = picked.agg(*[F.avg((F.col(f"p{i}") == F.col("truth")).cast("double")).alias(f"a{i}") for i in range(len(grid))])
+    cells = [F.struct(F.lit(k).alias("k"), F.lit(w).alias("weights"), F.col(f"a{i}").alias("accuracy")) for i, (k, w) in enumerate(grid)]
+    return scored.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*")

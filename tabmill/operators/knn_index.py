@@ -252,7 +252,8 @@ def join(queries: DataFrame, train: DataFrame, feats: Sequence[str], k, qid: str
     first = cut_lineage(q.mapInPandas(route, StructType(fields)))
     top = cut_lineage(search(first.withColumn("radius", endless)).withColumn("rank", rank).where(F.col("rank") <= k))
     radius = top.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.max("dist")).otherwise(endless).alias("radius"))
-    known = first.join(radius, "qid")
+    # routing costs far more than its few bytes suggest: a fixed number of tasks, which small partitions aren't merged below
+    known = first.join(radius, "qid").repartition(3 * spark.sparkContext.defaultParallelism)
     rest = cut_lineage(known.mapInPandas(route, StructType([*fields, StructField("radius", DoubleType())])).where("size(leaves) > 0"))
     if not rest.isEmpty():
         more = search(rest)

@@ -125,35 +125,18 @@ def knn_grid(spark, sf):
     kmax = max(k for k, _ in KNN_GRID)
     nb = knn.knn_join(te, tr, CLS_FEATS, kmax, out_q="id", carry=["label"]).withColumnRenamed("label", "y")
     truth = te.select("id", F.col("label").alias("truth"))
-    outs = []
-    for k, w in KNN_GRID:
-        pred = knn.vote(nb.where(F.col("rank") <= k), "id", "y", weights=w).join(truth, "id")
-        outs.append(pred.agg(_r(F.avg((F.col("prediction") == F.col("truth")).cast("double"))).alias("accuracy"))
-                    .select(F.lit(k).alias("k"), F.lit(w).alias("weights"), "accuracy"))
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out
+    return knn.grid_accuracy(nb, truth, "id", "y", KNN_GRID).withColumn("accuracy", _r(F.col("accuracy")))
 
 
 @query("knn_grid_full", _grid_sql(KNN_GRID_FULL))
 def knn_grid_full(spark, sf):
     """J15 grid over all 19 k of the studied search x weights: one join at
-    the largest k; each neighbour row is dealt to every k that reaches its
-    rank, and one vote per weighting decides for all k at once."""
+    the largest k and one pass over its rows for all k and weights."""
     tr, te = _cls_split(spark, sf)
-    ks = sorted({k for k, _ in KNN_GRID_FULL})
-    nb = knn.knn_join(te, tr, CLS_FEATS, ks[-1], out_q="id", carry=["label"]).withColumnRenamed("label", "y")
-    reach = F.filter(F.array(*[F.lit(k) for k in ks]), lambda k: k >= F.col("rank"))
-    nb = nb.withColumn("k", F.explode(reach)).withColumn("id", F.struct("k", "id"))
+    kmax = max(k for k, _ in KNN_GRID_FULL)
+    nb = knn.knn_join(te, tr, CLS_FEATS, kmax, out_q="id", carry=["label"]).withColumnRenamed("label", "y")
     truth = te.select("id", F.col("label").alias("truth"))
-    out = None
-    for w in ("uniform", "distance"):
-        pred = knn.vote(nb, "id", "y", weights=w).select("id.k", "id.id", "prediction").join(truth, "id")
-        acc = pred.groupBy("k").agg(_r(F.avg((F.col("prediction") == F.col("truth")).cast("double"))).alias("accuracy"))
-        acc = acc.select("k", F.lit(w).alias("weights"), "accuracy")
-        out = acc if out is None else out.unionByName(acc)
-    return out
+    return knn.grid_accuracy(nb, truth, "id", "y", KNN_GRID_FULL).withColumn("accuracy", _r(F.col("accuracy")))
 
 
 # ---- I4 / I5 / I7: imputation ----------------------------------------------------------------------

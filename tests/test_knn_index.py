@@ -124,3 +124,26 @@ def test_sums_hand_on_fewer_rows_than_neighbours(spark, monkeypatch):
     t = spark.createDataFrame([(i, *x, 1.0) for i, x in ts], "id long, a double, b double, y double")
     knn.mean_of_sums(knn.knn_sums(q, t, ["a", "b"], 800, "y"), "id").collect()
     assert max(d.count() for d in seen) <= len(ts)  # the join wrote 20 * 800 rows
+
+
+def test_grid_in_one_pass_as_single_votes(spark):
+    rng = random.Random(14)
+    qs = [(100 + i, 7 * i + 1) for i in range(12)]
+    held = [(q, r, 0.0 if q % 4 == 0 and r < 4 else round(0.1 * r + rng.random() / 50, 6), rng.choice([0, 1, 2]))
+            for q, _ in qs for r in range(1, 10)]
+    nb = spark.createDataFrame(held, "id long, rank int, dist double, y int")
+    truth = spark.createDataFrame([(q, x % 3) for q, x in qs], "id long, truth int")
+    grid = [(k, w) for k in (1, 4, 9) for w in ("uniform", "distance")]
+    want = {}
+    for k, w in grid:
+        p = knn.vote(nb.where(f"rank <= {k}"), "id", "y", weights=w).join(truth, "id").collect()
+        want[k, w] = pytest.approx(sum(r["prediction"] == r["truth"] for r in p) / len(p))
+    got = {(r["k"], r["weights"]): r["accuracy"] for r in knn.grid_accuracy(nb, truth, "id", "y", grid).collect()}
+    assert got == want
+
+
+def test_join_is_not_searched_again_by_its_callers(spark):
+    rng = random.Random(15)
+    make = lambda x: spark.createDataFrame([(i, *v) for i, v in x], "id long, a double, b double")
+    nb = knn.knn_join(make(rows(rng, 40, 2, 9000)), make(rows(rng, 900, 2)), ["a", "b"], 7, leaf_rows=30)
+    assert "FlatMapCoGroupsInPandas" not in nb._jdf.queryExecution().toString()
