@@ -13,7 +13,9 @@ import math
 import random
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
                                        RandomForestClassifier)
@@ -138,14 +140,20 @@ def staged_search(make_est: Callable[..., Estimator], stages: Sequence[Sequence[
 
 
 def oof_predictions(make_est: Callable[[int], Estimator], data: DataFrame, id_col: str, fold_col: str = "fold",
-                    proba: bool = True) -> DataFrame:
+                    proba: bool = True, parallelism: int = 5) -> DataFrame:
     """Out-of-fold predictions (id, fold, prediction[, proba]).
     ``make_est`` gets the number of training rows of the fold (the penalty
-    of a cost C depends on it)."""
+    of a cost C depends on it).  Up to ``parallelism`` folds are fitted at
+    the same time: a fit is a long row of short jobs, which leave most cores
+    idle on their own."""
     sizes = {r[0]: r[1] for r in data.groupBy(fold_col).count().orderBy(fold_col).collect()}
+
+    def fit(f):
+        return make_est(sum(sizes.values()) - sizes[f]).fit(data.where(F.col(fold_col) != f))
+    with ThreadPool(max(1, min(parallelism, len(sizes)))) as pool:
+        models = pool.map(inheritable_thread_target(data.sparkSession)(fit), list(sizes), chunksize=1)
     outs = []
-    for f in sizes:
-        model = make_est(sum(sizes.values()) - sizes[f]).fit(data.where(F.col(fold_col) != f))
+    for f, model in zip(sizes, models):
         pred = model.transform(data.where(F.col(fold_col) == f))
         cols = [id_col, fold_col, F.col("prediction").cast("int").alias("prediction")]
         if proba:
