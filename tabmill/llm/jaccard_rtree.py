@@ -15,9 +15,12 @@ enters the cell of each group's content.  Cells with the same smallest member
 (their hub) share a tree over all their members, in blocks.  Every candidate
 pair comes out of these trees: first each is searched with its hub's point,
 which settles nearly all; one whose members are then still in several
-components is joined with itself, and only pairs across components are
-verified.  Cells of one member are kept out of the shuffle by a bitmap of the
-counters that at least two cells have met in.
+components is joined with itself, in rounds.  A round verifies the next few
+of each member's candidates across components, likest first, so that its pairs
+are a bounded number per member, and a group of near copies has mostly grown
+together before the later ones come up; rounds end when no tree has a
+candidate left whose members are apart.  Cells of one member are kept out of
+the shuffle by a bitmap of the counters that at least two cells have met in.
 
 Defined results: ASCII letters are lower-cased and words are runs of
 anything but ASCII white space; texts with fewer words than a shingle have that
@@ -30,6 +33,7 @@ columns are not read, whatever their names.
 
 from __future__ import annotations
 
+import itertools
 from collections import OrderedDict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -55,6 +59,9 @@ REMEMBERED = 1_000_000
 BATCH_ROWS, PAIRS = 512, 1024
 #: Members verified against one text in one task.
 VERIFY = 256
+#: Candidates of a member, in a tree, that the first rounds go up to, those of every further round,
+#: and candidates that a task holds before it drops those of later rounds.
+ROUNDS, FURTHER, HELD_PAIRS = (1, 8), 56, 1 << 18
 #: Counters of the filters that keep cells of one member out of the shuffle (with
 #: the bits of a cell that each goes by), and cells of a batch.
 FILTERS, CELL_BATCH = ((1 << 28, 0), (1 << 27, 32)), 250_000
@@ -325,14 +332,15 @@ def _chunked(pairs: DataFrame) -> DataFrame:
 
 
 class _Sift:
-    """Collects the index pairs whose sizes and summed coordinate minima, in
-    the boxes' and then in the points' coordinates, allow a link."""
+    """Collects the pairs of rows of ``p`` whose sizes and summed coordinate
+    minima, in the boxes' and then in the points' coordinates, allow a link."""
 
     def __init__(self, p: pd.DataFrame, threshold: int) -> None:
-        self.own, at = np.unique(p["class_id"].to_numpy(), return_index=True)
-        self.pos = np.searchsorted(self.own, p["class_id"].to_numpy())
+        self.ids = p["class_id"].to_numpy()
+        _, at, self.pos = np.unique(self.ids, return_index=True, return_inverse=True)
         self.fine = unpacked(p["counts"].iloc[at])
-        self.box, self.size, self.threshold, self.out = folded(self.fine), p["n"].to_numpy()[at], threshold, []
+        self.box, self.size, self.threshold = folded(self.fine), p["n"].to_numpy(), threshold
+        self.out, self.held = [], 0
 
     def add(self, i: np.ndarray, j: np.ndarray) -> None:
         keep = 100 * np.minimum(self.size[i], self.size[j]) >= self.threshold * np.maximum(self.size[i], self.size[j])
@@ -341,19 +349,74 @@ class _Sift:
         for k in range(0, len(i), PAIRS):
             u, v, need = i[k:k + PAIRS], j[k:k + PAIRS], least[k:k + PAIRS]
             for points in (self.box, self.fine):
-                ok = np.minimum(points[u], points[v]).sum(axis=1) >= need
-                u, v, need = u[ok], v[ok], need[ok]
+                overlap = np.minimum(points[self.pos[u]], points[self.pos[v]]).sum(axis=1).astype(np.int64)
+                ok = overlap >= need
+                u, v, need, overlap = u[ok], v[ok], need[ok], overlap[ok]
             if len(u):
-                self.out.append(np.stack([u, v]))
+                self.out.append(np.stack([u, v, overlap]))
+                self.held += len(u)
 
     def tree(self, x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs out of the trees over the points x and y."""
-        for i, j in rtree_pairs(self.box[x], self.size[x], self.box[y], self.size[y], self.threshold):
+        """Pairs out of the trees over the rows x and y."""
+        for i, j in rtree_pairs(self.box[self.pos[x]], self.size[x], self.box[self.pos[y]], self.size[y], self.threshold):
             yield x[i], y[j]
 
-    def pairs(self) -> pd.DataFrame:
-        i, j = np.unique(np.concatenate(self.out, axis=1), axis=1) if self.out else np.zeros((2, 0), np.int64)
-        return pd.DataFrame({"a": self.own[i], "b": self.own[j]})
+    def taken(self) -> np.ndarray:
+        """The rows of the pairs and their overlap bounds, handed over."""
+        out, self.out, self.held = self.out, [], 0
+        return np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
+
+
+class _Round:
+    """Of the pairs in ``sift``, those with the ranks ``lo`` to ``hi - 1`` among
+    a member's candidates in its tree, and the trees with later ones.
+
+    Candidates are pairs across the components that the first searches have
+    left (base), so a pair has the same rank in every round; each counts for
+    its member of the component that is smaller in the tree, and likelier ones
+    come first.  Pairs that are in one component by now (root) are passed over.
+    """
+
+    def __init__(self, p: pd.DataFrame, sift: _Sift, tree: np.ndarray, lo: int, hi: int) -> None:
+        self.sift, self.tree, self.lo, self.hi = sift, tree, lo, hi
+        self.base, self.root = p["base"].to_numpy(), p["root"].to_numpy()
+        _, at, members = np.unique(np.stack([tree, self.base]), axis=1, return_inverse=True, return_counts=True)
+        self.members = members[at.ravel()]
+        self.later: set[int] = set()
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        apart = self.base[i] != self.base[j]
+        self.sift.add(i[apart], j[apart])
+        if self.sift.held > HELD_PAIRS:
+            i, j, overlap, _ = self.first()
+            self.sift.out.append(np.stack([i, j, overlap]))
+
+    def first(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs with ranks below ``hi`` of those held, their overlap bounds and ranks."""
+        i, j, overlap = self.sift.taken()
+        size, ids = self.sift.size, self.sift.ids
+        mine = (self.members[i] < self.members[j]) | (self.members[i] == self.members[j]) & (self.base[i] < self.base[j])
+        i, j = np.where(mine, i, j), np.where(mine, j, i)
+        order = np.lexsort((ids[j], -overlap / (size[i] + size[j] - overlap), i))
+        i, j, overlap = i[order], j[order], overlap[order]
+        once = np.ones(len(i), bool)
+        once[1:] = (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        i, j, overlap = i[once], j[once], overlap[once]
+        begins = np.flatnonzero(np.diff(i, prepend=-1))
+        rank = np.arange(len(i)) - np.repeat(begins, np.diff(np.append(begins, len(i))))
+        late = rank >= self.hi
+        self.later.update(self.tree[i[late & (self.root[i] != self.root[j])]].tolist())
+        return i[~late], j[~late], overlap[~late], rank[~late]
+
+    def pairs(self, hubs: np.ndarray) -> pd.DataFrame:
+        """a, b of this round's pairs, and (hub, hub) of each tree that needs a further one."""
+        i, j, _, rank = self.first()
+        now = (rank >= self.lo) & (self.root[i] != self.root[j])
+        u, v = self.sift.ids[i[now]], self.sift.ids[j[now]]
+        left = hubs[sorted(self.later)]
+        return pd.DataFrame({
+            "a": np.concatenate([np.minimum(u, v), left]), "b": np.concatenate([np.maximum(u, v), left]),
+            "later": np.repeat([False, True], [len(u), len(left)])}).drop_duplicates()
 
 
 def _groups(p: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -384,22 +447,26 @@ def _from_hubs(star: DataFrame, classes: DataFrame, threshold: int) -> DataFrame
         starts, counts = _groups(p)
         leaf = counts <= FANOUT + 1  # trees of one leaf, all at once
         rest = np.concatenate([np.zeros(0, np.int64), *(np.arange(s + 1, s + m) for s, m in zip(starts[leaf], counts[leaf]))])
-        sift.add(sift.pos[np.repeat(starts[leaf], counts[leaf] - 1)], sift.pos[rest])
+        sift.add(np.repeat(starts[leaf], counts[leaf] - 1), rest)
         for s, m in zip(starts[~leaf], counts[~leaf]):
-            for i, j in sift.tree(sift.pos[s:s + 1], sift.pos[s + 1:s + m]):
+            for i, j in sift.tree(np.arange(s, s + 1), np.arange(s + 1, s + m)):
                 sift.add(i, j)
-        return sift.pairs()
+        i, j, _ = sift.taken()
+        return pd.DataFrame({"a": sift.ids[i], "b": sift.ids[j]})
     return both.join(some, "class_id").withColumn("key", key).groupBy("key").applyInPandas(search, "a long, b long")
 
 
-def _across(star: DataFrame, labels: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a < b) of one hub's members in different components, by joins of the hubs' trees with themselves.
+def _across(star: DataFrame, labels: DataFrame, classes: DataFrame, threshold: int, lo: int, hi: int) -> DataFrame:
+    """Pairs (a < b) of one hub's members (hub, class_id, base) in different
+    components, by joins of the hubs' trees with themselves: those of one
+    round (see ``_Round``), and as (hub, hub, later) the hubs that need
+    another one.
 
     Of hubs with the same members one is kept.  Small trees share tasks; one
     of more than ``BLOCK`` members is dealt by hash into blocks, which are
     joined pairwise, each pair as a group of its own.
     """
-    member = star.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select("hub", "class_id", F.coalesce("root", "class_id").alias("root"))
+    member = star.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select("hub", "class_id", "base", F.coalesce("root", "class_id").alias("root"))
     per = member.groupBy("hub").agg(
         F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m"),
         F.bit_xor(F.xxhash64("class_id")).alias("x"), F.bit_xor(F.xxhash64("class_id", F.lit(1))).alias("y"))
@@ -409,7 +476,7 @@ def _across(star: DataFrame, labels: DataFrame, classes: DataFrame, threshold: i
     ids = cut_lineage(member.select("class_id").distinct())
     some = cut_lineage(pick(classes.select("class_id", "n", "counts"), ids, "class_id"))
     left = cut_lineage(member.join(some, "class_id").withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")))
-    cols = ("hub", "class_id", "root", "n", "counts")
+    cols = ("hub", "class_id", "base", "root", "n", "counts")
     key = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("hub"), F.lit(tasks)).cast("string")).otherwise(F.concat_ws(":", "hub", "i", "j"))
     lower = left.select(*cols, "blocks", F.lit(0).alias("side"), F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
     upper = left.where("block > 0").select(*cols, "blocks", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("i"), F.col("block").alias("j"))
@@ -417,15 +484,9 @@ def _across(star: DataFrame, labels: DataFrame, classes: DataFrame, threshold: i
     def join(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(["hub", "side"], kind="stable")
         sift, side = _Sift(p, threshold), p["side"].to_numpy()
-        root = np.zeros(len(sift.own), np.int64)
-        root[sift.pos] = p["root"].to_numpy()
         start, count = _groups(p)
-
-        def add(i: np.ndarray, j: np.ndarray) -> None:
-            i, j = np.minimum(i, j), np.maximum(i, j)
-            apart = root[i] != root[j]
-            sift.add(i[apart], j[apart])
-
+        found = _Round(p, sift, np.repeat(np.arange(len(start)), count), lo, hi)
+        base = found.base
         single = side[start + count - 1] == 0
         for m in np.unique(count[single & (count <= FANOUT)]):  # trees of one leaf, all of a size at once
             rows = start[single & (count == m)]
@@ -433,20 +494,21 @@ def _across(star: DataFrame, labels: DataFrame, classes: DataFrame, threshold: i
             per_call = max(1, 200_000 // max(1, len(a)))
             for k in range(0, len(rows), per_call):
                 r = rows[k:k + per_call]
-                add(sift.pos[(r[:, None] + a).ravel()], sift.pos[(r[:, None] + b).ravel()])
+                found.add((r[:, None] + a).ravel(), (r[:, None] + b).ravel())
         for s, m, one in zip(start, count, single):
             if one and m <= FANOUT:
                 continue
-            x = sift.pos[s:s + m][side[s:s + m] == 0]
-            y = x if one else sift.pos[s:s + m][side[s:s + m] == 1]
-            names, n = np.unique(root[np.concatenate([x, y])], return_counts=True)
+            all_rows = np.arange(s, s + m)
+            x = all_rows[side[s:s + m] == 0]
+            y = x if one else all_rows[side[s:s + m] == 1]
+            names, n = np.unique(base[all_rows], return_counts=True)
             main = names[n.argmax()]  # pairs within the largest component are not needed
-            for u, v in [(x[root[x] != main], y), *([] if one else [(x[root[x] == main], y[root[y] != main])])]:
+            for u, v in [(x[base[x] != main], y), *([] if one else [(x[base[x] == main], y[base[y] != main])])]:
                 if len(u) and len(v):
                     for i, j in sift.tree(u, v):
-                        add(i, j)
-        return sift.pairs()
-    return lower.union(upper).withColumn("key", key).groupBy("key").applyInPandas(join, "a long, b long").distinct()
+                        found.add(i, j)
+        return found.pairs(p["hub"].to_numpy()[start])
+    return lower.union(upper).withColumn("key", key).groupBy("key").applyInPandas(join, "a long, b long, later boolean").distinct()
 
 
 def near_groups(rows: DataFrame, threshold: int = THRESHOLD, words: int = WORDS) -> DataFrame:
@@ -468,9 +530,17 @@ def _near_groups(rows: DataFrame, threshold: int, words: int) -> DataFrame:
     star = _stars(rep)
     links = _verify(_chunked(_from_hubs(star, rep, threshold)), texts, threshold, words)
     labels = components(links)
-    more = _verify(_chunked(_across(star, labels, rep, threshold)), texts, threshold, words)
-    if not more.isEmpty():
-        labels = components(links.union(more))
+    star = cut_lineage(star.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select("hub", "class_id", F.coalesce("root", "class_id").alias("base")))
+    lo, ends = 0, itertools.chain(ROUNDS, itertools.count(ROUNDS[-1] + FURTHER, FURTHER))
+    while not star.isEmpty():
+        hi = next(ends)
+        found = cut_lineage(_across(star, labels, rep, threshold, lo, hi))
+        more = _verify(_chunked(found.where("NOT later").select("a", "b")), texts, threshold, words)
+        if not more.isEmpty():
+            links = links.union(more)
+            labels = components(links)
+        star = cut_lineage(star.join(found.where("later").select(F.col("a").alias("hub")).distinct(), "hub", "left_semi"))
+        lo = hi
     named = classes.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select(
         "digest", F.coalesce("root", "class_id").alias("comp"))
     return pts.select("rid", "doc_id", "n", "digest").join(named, "digest", "left").drop("digest")

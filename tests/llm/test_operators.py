@@ -10,7 +10,9 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tabmill.llm import bpe, chat_collapse, cover_tree, dedup_mph, html_blocks, jaccard_rtree, mix, quality_zstd, registry, secret_scan, shard_prefix
 from tests.conftest import SF001
@@ -364,6 +366,76 @@ def test_jaccard_near_copies(spark, monkeypatch):
     check_jaccard(data, rows(jaccard_rtree.query(docs(spark, data))))
 
 
+def near_copies(n, size, most, seed):
+    """Copies of one text, with up to ``most`` words of each replaced."""
+    rng, base = random.Random(seed), text(size, seed).split()
+    for i in range(n):
+        w = list(base)
+        for _ in range(rng.randint(1, most)):
+            w[rng.randrange(size)] = f"new{rng.randrange(10**6)}"
+        yield i, " ".join(w), "a"
+
+
+def count_verified(monkeypatch):
+    """The counts of pairs whose texts are compared, call by call."""
+    verify, seen = jaccard_rtree._verify, []
+
+    def counted(pairs, *args):
+        seen.append(pairs.count())
+        return verify(pairs, *args)
+    monkeypatch.setattr(jaccard_rtree, "_verify", counted)
+    return seen
+
+
+def test_jaccard_pairs_of_a_large_group(spark, monkeypatch):
+    """Where the hubs' searches settle little, the joins of trees make a few
+    pairs per member, not all pairs of a group that links throughout."""
+    search = jaccard_rtree._from_hubs
+    monkeypatch.setattr(jaccard_rtree, "_from_hubs", lambda *args: search(*args).groupBy("a").agg(F.min("b").alias("b")))
+    seen = count_verified(monkeypatch)
+    data = list(near_copies(200, 200, 1, 5))
+    check_jaccard(data, rows(jaccard_rtree.query(docs(spark, data))))
+    assert len(seen) > 1 and sum(seen[1:]) <= 10 * len(data)
+
+
+def test_jaccard_rounds_lose_no_link(spark, monkeypatch):
+    """Long texts with much in common, which only their shingles tell apart: each has many candidates and a link to one."""
+    for name, value in (("ROUNDS", (1,)), ("FURTHER", 9), ("BLOCK", 16)):
+        monkeypatch.setattr(jaccard_rtree, name, value)
+    seen = count_verified(monkeypatch)
+    common, data = [f"w{k}" for k in range(7490)], []
+    for i in range(12):
+        own = [f"own{i}x{k}" for k in range(510)]
+        data += [(i, " ".join(common + own), "a"), (100 + i, " ".join(common + own[:450] + [f"other{i}x{k}" for k in range(60)]), "a")]
+    check_jaccard(data, rows(jaccard_rtree.query(docs(spark, data))))
+    assert len(seen) > 3
+
+
+def test_jaccard_rounds_make_each_pair_once(monkeypatch):
+    """Whatever a task drops on the way: together, the rounds make all pairs
+    across components that the bounds allow, and ask for another as long as some are left."""
+    monkeypatch.setattr(jaccard_rtree, "HELD_PAIRS", 50)
+    sets = [jaccard_rtree.shingles(t.encode()) for _, t, _ in near_copies(40, 80, 2, 3)]
+    p = pd.DataFrame({"hub": [0] * 25 + [1] * 15, "class_id": range(100, 140), "base": [k // 3 for k in range(40)], "n": [len(s) for s in sets],
+                      "counts": [jaccard_rtree.counts(s) for s in sets]})
+    p["root"] = p["base"].where(p["base"] > 1, 0)  # two components have met since
+    tree, made = p["hub"].to_numpy(), Counter()
+    pairs = [(a, b) for a, b in itertools.combinations(range(40), 2) if tree[a] == tree[b]]
+    points = jaccard_rtree.unpacked(list(p["counts"]))
+    want = {(100 + a, 100 + b) for a, b in pairs if p["root"][a] != p["root"][b]
+            and np.minimum(points[a], points[b]).sum() >= jaccard_rtree.least_overlap(len(sets[a]), len(sets[b]), 80)}
+    for lo, hi in ((0, 1), (1, 5), (5, 12), (12, 100)):
+        found = jaccard_rtree._Round(p, jaccard_rtree._Sift(p, 80), tree, lo, hi)
+        for k in range(0, len(pairs), 64):
+            found.add(*np.array(pairs[k:k + 64]).T)
+        out = found.pairs(np.array([7, 8]))
+        made.update(zip(out["a"][~out["later"]], out["b"][~out["later"]]))
+        tree_of = {100 + k: h for k, h in enumerate([7] * 25 + [8] * 15)}
+        assert set(out["a"][out["later"]]) == {tree_of[a] for a, _ in want - set(made)}
+        assert (~out["later"]).sum() <= (hi - lo) * len(p)
+    assert set(made) == want and set(made.values()) == {1}
+
+
 def test_jaccard_table(spark):
     d = spark.read.parquet(f"{SF001}/documents.parquet")
     check_jaccard([(r["doc_id"], r["text"], None) for r in d.collect()], rows(jaccard_rtree.query(d)))
