@@ -61,7 +61,7 @@ BATCH_ROWS, PAIRS = 512, 1024
 VERIFY = 256
 #: Candidates of a member, in a tree, that the first rounds go up to, those of every further round,
 #: and candidates that a task holds before it drops those of later rounds.
-ROUNDS, FURTHER, HELD_PAIRS = (1, 8), 56, 1 << 18
+ROUNDS, FURTHER, HELD_PAIRS = (3, 64), 64, 1 << 18
 #: Counters of the filters that keep cells of one member out of the shuffle (with
 #: the bits of a cell that each goes by), and cells of a batch.
 FILTERS, CELL_BATCH = ((1 << 28, 0), (1 << 27, 32)), 250_000
@@ -326,8 +326,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: int, words: int) -> D
 
 
 def _chunked(pairs: DataFrame) -> DataFrame:
-    """The pairs with the number of chunks that a's partners are verified in."""
-    pairs = cut_lineage(pairs)
+    """The written pairs with the number of chunks that a's partners are verified in."""
     return pairs.join(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / VERIFY).alias("chunks")), "a")
 
 
@@ -456,17 +455,16 @@ def _from_hubs(star: DataFrame, classes: DataFrame, threshold: int) -> DataFrame
     return both.join(some, "class_id").withColumn("key", key).groupBy("key").applyInPandas(search, "a long, b long")
 
 
-def _across(star: DataFrame, labels: DataFrame, classes: DataFrame, threshold: int, lo: int, hi: int) -> DataFrame:
-    """Pairs (a < b) of one hub's members (hub, class_id, base) in different
-    components, by joins of the hubs' trees with themselves: those of one
-    round (see ``_Round``), and as (hub, hub, later) the hubs that need
-    another one.
+def _across(member: DataFrame, classes: DataFrame, threshold: int, lo: int, hi: int) -> DataFrame:
+    """Pairs (a < b) of one hub's members (hub, class_id, base, root) in
+    different components, by joins of the hubs' trees with themselves: those
+    of one round (see ``_Round``), and as (hub, hub, later) the hubs that
+    need another one.
 
     Of hubs with the same members one is kept.  Small trees share tasks; one
     of more than ``BLOCK`` members is dealt by hash into blocks, which are
     joined pairwise, each pair as a group of its own.
     """
-    member = star.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select("hub", "class_id", "base", F.coalesce("root", "class_id").alias("root"))
     per = member.groupBy("hub").agg(
         F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m"),
         F.bit_xor(F.xxhash64("class_id")).alias("x"), F.bit_xor(F.xxhash64("class_id", F.lit(1))).alias("y"))
@@ -511,6 +509,11 @@ def _across(star: DataFrame, labels: DataFrame, classes: DataFrame, threshold: i
     return lower.union(upper).withColumn("key", key).groupBy("key").applyInPandas(join, "a long, b long, later boolean").distinct()
 
 
+def _labelled(star: DataFrame, labels: DataFrame) -> DataFrame:
+    """Each class with the root of its component."""
+    return star.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))
+
+
 def near_groups(rows: DataFrame, threshold: int = THRESHOLD, words: int = WORDS) -> DataFrame:
     """rid, doc_id, n, comp of each row (rid, doc_id, text as binary).
 
@@ -528,19 +531,23 @@ def _near_groups(rows: DataFrame, threshold: int, words: int) -> DataFrame:
     rep = pick(own, copies, "rid", "left_anti").select(F.col("rid").alias("class_id"), "n", "counts", "cells")
     texts = rows.select(F.col("rid").alias("class_id"), "text")
     star = _stars(rep)
-    links = _verify(_chunked(_from_hubs(star, rep, threshold)), texts, threshold, words)
+    links = _verify(_chunked(cut_lineage(_from_hubs(star, rep, threshold))), texts, threshold, words)
     labels = components(links)
-    star = cut_lineage(star.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select("hub", "class_id", F.coalesce("root", "class_id").alias("base")))
-    lo, ends = 0, itertools.chain(ROUNDS, itertools.count(ROUNDS[-1] + FURTHER, FURTHER))
-    while not star.isEmpty():
-        hi = next(ends)
-        found = cut_lineage(_across(star, labels, rep, threshold, lo, hi))
-        more = _verify(_chunked(found.where("NOT later").select("a", "b")), texts, threshold, words)
-        if not more.isEmpty():
+    member = cut_lineage(_labelled(star, labels).withColumn("base", F.col("root")))
+    lo = 0
+    for hi in itertools.chain(ROUNDS, itertools.count(ROUNDS[-1] + FURTHER, FURTHER)):
+        found = cut_lineage(_across(member, rep, threshold, lo, hi))
+        pairs = found.where("NOT later").select("a", "b")
+        more = None if pairs.isEmpty() else _verify(_chunked(pairs), texts, threshold, words)
+        grown = more is not None and not more.isEmpty()
+        if grown:
             links = links.union(more)
             labels = components(links)
-        star = cut_lineage(star.join(found.where("later").select(F.col("a").alias("hub")).distinct(), "hub", "left_semi"))
-        lo = hi
+        later = found.where("later").select(F.col("a").alias("hub"))
+        if later.isEmpty():
+            break
+        left = member.join(later.distinct(), "hub", "left_semi")
+        member, lo = cut_lineage(_labelled(left.drop("root"), labels) if grown else left), hi
     named = classes.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select(
         "digest", F.coalesce("root", "class_id").alias("comp"))
     return pts.select("rid", "doc_id", "n", "digest").join(named, "digest", "left").drop("digest")
