@@ -92,14 +92,19 @@ def grid_accuracy(nb: DataFrame, truth: DataFrame, qid: str, y: str, grid: Seque
     per = nb.groupBy(qid, y).agg(*[c for k in sorted({k for k, _ in grid}) for c in (
         F.count_if(near(k)).alias(f"n{k}"), F.count_if(near(k) & zero).alias(f"z{k}"),
         F.sum(F.when(near(k) & ~zero, 1.0 / F.col("dist")).otherwise(0.0)).alias(f"s{k}"))])
+    # at most k labels a query
+    of = per.groupBy(qid).agg(F.collect_list(F.struct(*[c for c in per.columns if c != qid])).alias("__of"))
 
     def best(weight: str) -> Column:
-        return F.min_by(F.col(y), F.struct((-F.col(weight)).alias("a"), F.col(y).alias("b")))
+        return F.array_min(F.transform("__of", lambda x: F.struct((-x[weight]).alias("a"), x[y].alias("b"))))["b"]
+
+    def exact(k: int) -> Column:
+        return F.exists("__of", lambda x: x[f"z{k}"] > 0)
     picks = []
     for i, (k, w) in enumerate(grid):
-        label = best(f"n{k}") if w == "uniform" else F.when(F.max(f"z{k}") > 0, best(f"z{k}")).otherwise(best(f"s{k}"))
+        label = best(f"n{k}") if w == "uniform" else F.when(exact(k), best(f"z{k}")).otherwise(best(f"s{k}"))
         picks.append(label.alias(f"p{i}"))
-    picked = per.groupBy(qid).agg(*picks).join(truth, qid)
+    picked = of.select(qid, *picks).join(truth, qid)
     scored = picked.agg(*[F.avg((F.col(f"p{i}") == F.col("truth")).cast("double")).alias(f"a{i}") for i in range(len(grid))])
     cells = [F.struct(F.lit(k).alias("k"), F.lit(w).alias("weights"), F.col(f"a{i}").alias("accuracy")) for i, (k, w) in enumerate(grid)]
     return scored.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*")

@@ -63,9 +63,9 @@ CLS_FEATS = ["acctbal", "n_orders", "avg_price", "max_price", "share_f"]
 
 
 def _cls_split(spark, sf):
-    s = ev.hash_split(study(spark, sf), "id", 67, method="mod")
+    s = ev.hash_split(study(spark, sf), "id", 67, method="mod").select("id", "label", "is_train", *CLS_FEATS)
     is_train = F.col("is_train") == 1
-    z = zscore(s.select("id", "label", "is_train", *CLS_FEATS), CLS_FEATS, train=is_train)
+    z = zscore(cut_lineage(s), CLS_FEATS, train=is_train)  # read for the scales, both parts and the truth
     return z.where(is_train), z.where(~is_train)
 
 
